@@ -29,6 +29,8 @@ ORDER = 5
 SAMPLE_BYTES = 3_000_000
 #: One in so many sampled documents is not learned from, but sets the threshold of rejection.
 CALIBRATION = 8
+#: A text is rejected only beyond so much of the way from its language's entropy to that of noise.
+NOISE = 0.6
 CACHE = 1_500_000
 CHUNK = 2 << 20
 PAD, END = 1, 2
@@ -203,7 +205,8 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column("lang")[i].as_py() for i in ok], pa.string()), pa.array(bits[ok, np.array(own)[ok]] / n[ok])], ["lang", "h"])
 
     spread = sample.where(kept_back).mapInArrow(calibrate, "lang string, h double").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"), F.max("h").alias("top"), F.count("*").alias("n")).collect()
-    model.limits = {r["lang"]: (max(r["m"] + 8 * r["s"], r["top"]), r["s"]) for r in spread if r["n"] >= 20}
+    flat = -np.log2(model.floor)  # texts of several known languages stay: their entropy lies below that of noise
+    model.limits = {r["lang"]: (max(r["m"] + 8 * r["s"], r["top"], r["m"] + NOISE * (flat - r["m"])), r["s"]) for r in spread if r["n"] >= 20}
     return model
 
 

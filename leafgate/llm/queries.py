@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafgate.llm import langid
+from leafgate.llm import fertility, langid, pii
 from leafgate.llm.decontaminate import contamination
 from leafgate.llm.oracles import ORACLES
 from leafgate.llm.tables import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; the folder is a parameter of the environment."""
+    return f"{os.environ.get('TOKENIZERS_DIR', '/opt/tokenizers')}/{name}"
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -19,5 +26,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs.where(~langid.held_out(F.col("doc_id")))))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op8_language_id)}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_quality, op8_language_id, op9_personal_data)}
 __all__ = ["ORACLES", "QUERIES"]

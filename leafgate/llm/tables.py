@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafgate.plans.ship import shipped
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
