@@ -20,4 +20,19 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op10_mix_sources": """
+WITH RECURSIVE d AS (SELECT doc_id, source, text, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS r FROM documents),
+c AS (SELECT src, count(*) AS n FROM d GROUP BY src),
+s AS (SELECT src, n, row_number() OVER (ORDER BY src) AS i, greatest(1, CAST(floor(sqrt(n) * 240 / sum(sqrt(n)) OVER () + 1e-9) AS BIGINT)) AS q FROM c),
+p AS (SELECT list(q ORDER BY i) AS q, CAST(sum(q) AS BIGINT) AS total FROM s),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS t, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick, q, total FROM p
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda x, j: CASE WHEN j = best THEN x + 1 ELSE x END), best, q, total
+  FROM (SELECT *, list_min(list_transform(list_filter(range(1, len(q) + 1), lambda i: done[i] < q[i] AND done[i] * total // q[i] <= t),
+                  lambda i: ((done[i] * total + total + q[i] - 1) // q[i]) * 100000 + i)) % 100000 AS best FROM run WHERE t < total)),
+slots AS (SELECT t - 1 AS slot, pick, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM run WHERE pick IS NOT NULL),
+o AS (SELECT d.doc_id, d.source, d.r, d.r // 8 AS block, (d.r // 8) // s.q * total + slots.slot AS slot
+      FROM d JOIN s USING (src) JOIN slots ON slots.pick = s.i AND slots.k = (d.r // 8) % s.q CROSS JOIN p)
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot, row_number() OVER (ORDER BY slot, r) - 1 AS position FROM o""",
 }
