@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafgate.llm import fertility, langid, mixing, pii
+from leafgate.llm import fertility, langid, mixing, neardup, pii
 from leafgate.llm.decontaminate import contamination
 from leafgate.llm.oracles import ORACLES
 from leafgate.llm.tables import table
@@ -38,5 +38,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_quality, op8_language_id, op9_personal_data, op10_mix_sources)}
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_near_dedup, op4_decontaminate, op5_quality, op8_language_id, op9_personal_data, op10_mix_sources)}
 __all__ = ["ORACLES", "QUERIES"]
