@@ -35,4 +35,13 @@ slots AS (SELECT t - 1 AS slot, pick, row_number() OVER (PARTITION BY pick ORDER
 o AS (SELECT d.doc_id, d.source, d.r, d.r // 8 AS block, (d.r // 8) // s.q * total + slots.slot AS slot
       FROM d JOIN s USING (src) JOIN slots ON slots.pick = s.i AND slots.k = (d.r // 8) % s.q CROSS JOIN p)
 SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot, row_number() OVER (ORDER BY slot, r) - 1 AS position FROM o""",
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+low AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, CAST(p + 13 AS BIGINT))) AS q FROM win JOIN low USING (s) WHERE m < doc_id),
+g AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT coalesce(list_contains(qs, i), false)), lambda i: w[i]), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""",
 }

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafgate.llm import fertility, langid, mixing, neardup, pii
+from leafgate.llm import fertility, langid, mixing, neardup, pii, substring, suffixes
 from leafgate.llm.decontaminate import contamination
 from leafgate.llm.oracles import ORACLES
 from leafgate.llm.tables import table
@@ -42,5 +42,16 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup, op4_decontaminate, op5_quality, op8_language_id, op9_personal_data, op10_mix_sources)}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_near_dedup, op4_decontaminate, op5_quality, op6_substring_dedup, op7_suffix_dedup, op8_language_id, op9_personal_data, op10_mix_sources)
+}
 __all__ = ["ORACLES", "QUERIES"]
