@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafgate.llm import fertility, langid, maxent, mixing, neardup, pii, substring, suffixes
+from leafgate.llm import fertility, htmltext, langid, maxent, mixing, neardup, pii, substring, suffixes
 from leafgate.llm.decontaminate import contamination
 from leafgate.llm.oracles import ORACLES
 from leafgate.llm.tables import table
@@ -38,6 +38,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scores(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,6 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_lm_score, op3_near_dedup, op4_decontaminate, op5_quality, op6_substring_dedup, op7_suffix_dedup, op8_language_id, op9_personal_data, op10_mix_sources)
+    for f in (op1_html_text, op2_lm_score, op3_near_dedup, op4_decontaminate, op5_quality, op6_substring_dedup, op7_suffix_dedup, op8_language_id, op9_personal_data, op10_mix_sources)
 }
 __all__ = ["ORACLES", "QUERIES"]
