@@ -280,9 +280,9 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _O_TRANSCRIPT = """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS ws FROM conversations),
-o AS (SELECT conv_id, turn AS segment_no, 0 AS word_no, chr(10) || '[' || printf('%.1f', turn) || 's — ' || printf('%.1f', turn + 0.5) || 's]  ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS line FROM c
+o AS (SELECT conv_id, turn AS segment_no, 0 AS word_no, chr(10) || '[' || printf('%.1f', CAST(turn AS DOUBLE)) || 's — ' || printf('%.1f', turn + CAST(0.5 AS DOUBLE)) || 's]  ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS line FROM c
   UNION ALL
-  SELECT conv_id, turn, CAST(i AS INT), '    ' || lpad(printf('%.2f', (i - 1) * 0.25) || 's', CAST(greatest(8, length(printf('%.2f', (i - 1) * 0.25)) + 1) AS INT), ' ') || '  ' || ws[i] FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM c))"""
+  SELECT conv_id, turn, CAST(i AS INT), '    ' || lpad(printf('%.2f', CAST((i - 1) * 0.25 AS DOUBLE)) || 's', CAST(greatest(8, length(printf('%.2f', CAST((i - 1) * 0.25 AS DOUBLE))) + 1) AS INT), ' ') || '  ' || ws[i] FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM c))"""
 
 
 @query(f"{_O_TRANSCRIPT} SELECT * FROM o")
