@@ -15,7 +15,8 @@ caller may pass shares instead: {source: share}; sources that it does not name h
 
 Only DataFrame and SQL functions are used. Hot sources are numbered in parts: buckets by the
 leading digits of the hash are counted, the counts summed up, and documents numbered within their
-bucket. The tables that are sent or joined to every row have one row for each source.
+bucket. The schedule has a row for each slot and in it a count for each source, so its size depends on the number
+of sources and the resolution, not on the documents.
 
 Defined results: a null source is the source ''; null or equal doc_ids and repeated rows each keep
 a place of their own, in the order of doc_id and text hash; nulls in text do not matter; an empty
@@ -31,6 +32,8 @@ BLOCK_SIZE = 8
 RESOLUTION = 240
 BUCKET_ROWS = 20_000
 RESULTS = ("block", "slot", "position")
+#: Up to so many sources the schedule (a row for each slot, with a count for each source) is sent to all tasks.
+BROADCAST_SOURCES = 100
 
 
 def shares(counts: DataFrame, weights: dict[str, int] | None = None, temperature: float = 0.5, resolution: int = RESOLUTION) -> DataFrame:
@@ -73,23 +76,26 @@ def period(sources: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_size: int = BLOCK_SIZE, temperature: float = 0.5, resolution: int = RESOLUTION, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs with block (its number in the source), slot and position."""
-    rows = docs.drop(*(c for c in RESULTS if c in docs.columns)).withColumns({"_src": F.coalesce("source", F.lit("")), "_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    kept = [c for c in docs.columns if c not in RESULTS]
+    own = {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(kept)}  # names of the caller's columns can't clash with those below
+    rows = docs.select(*(c.alias(n) for n, c in own.items()), F.coalesce("source", F.lit("")).alias("_src"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
     keys = rows.groupBy("_src").agg(F.count("*").alias("n"))
+    seen = keys.agg(F.max("n").alias("most"), F.count("*").alias("sources")).first()
     digits = 0
-    most = keys.agg(F.max("n")).first()[0] or 0
-    while most > bucket_rows * 16**digits:
+    while (seen["most"] or 0) > bucket_rows * 16**digits:
         digits += 1
-    bucket = F.substring("_h", 1, digits)
-    rows = rows.withColumn("_b", bucket)
+    rows = rows.withColumn("_b", F.substring("_h", 1, digits))
     before = rows.groupBy("_src", "_b").agg(F.count("*").alias("_c"))
     before = before.select("_src", "_b", (F.sum("_c").over(Window.partitionBy("_src").orderBy("_b")) - F.col("_c")).alias("_before"))
-    inside = Window.partitionBy("_src", "_b").orderBy("_h", "doc_id", F.xxhash64("text"))
+    inside = Window.partitionBy("_src", "_b").orderBy("_h", "_id", "_t")
     rows = rows.withColumn("_r", F.row_number().over(inside)).join(before, ["_src", "_b"]).withColumn("_r", F.col("_r") - 1 + F.col("_before"))
     sources = shares(keys.select(F.col("_src").alias("src"), "n"), weights, temperature, resolution)
-    plan = period(sources).select("*", F.col("total").alias("_q"))
-    own = sources.select(F.col("src").alias("_src"), F.col("share").alias("_share"))
-    rows = rows.join(own, "_src").withColumn("block", F.expr(f"_r div {block_size}"))
-    rows = rows.withColumns({"_turn": F.expr("block div _share"), "_k": F.expr("block % _share")})
-    out = rows.join(plan, (F.col("_src") == F.col("src")) & (F.col("_k") == F.col("k")))
-    had = f"aggregate(ahead, 0L, (a, x) -> a + least(x.n, {block_size} * (_turn * x.share + x.had)))"
-    return out.select(*(c for c in docs.columns if c not in RESULTS), "block", (F.col("_turn") * F.col("_q") + F.col("slot")).alias("slot"), F.expr(f"{had} + _r % {block_size}").alias("position"))
+    plan = period(sources).select(F.col("src").alias("_src"), F.col("k").alias("_k"), F.col("slot").alias("_slot"), F.col("total").alias("_q"), F.col("ahead").alias("_ahead"))
+    quota = sources.select(F.col("src").alias("_src"), F.col("share").alias("_share"))
+    if seen["sources"] <= BROADCAST_SOURCES:  # else Spark joins by shuffle, and splits hot sources
+        plan, quota = F.broadcast(plan), F.broadcast(quota)
+    rows = rows.join(quota, "_src").withColumn("_block", F.expr(f"_r div {block_size}"))
+    rows = rows.withColumns({"_turn": F.expr("_block div _share"), "_k": F.expr("_block % _share")})
+    out = rows.join(plan, ["_src", "_k"])
+    had = f"aggregate(_ahead, 0L, (a, x) -> a + least(x.n, {block_size} * (_turn * x.share + x.had)))"
+    return out.select(*(F.col(n).alias(c) for n, c in zip(own, kept)), F.col("_block").alias("block"), (F.col("_turn") * F.col("_q") + F.col("_slot")).alias("slot"), F.expr(f"{had} + _r % {block_size}").alias("position"))

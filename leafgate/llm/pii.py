@@ -39,6 +39,7 @@ FORMS = {
 _CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _ANY = re.compile(r"[0-9@]")
 _AROUND = 96
+_KEY, _TWIN, _SPANS = "__key", "__twin", "__spans"
 _EDGE = ".,;:!?()[]{}<>\"'#*$%&|"
 _DIGITS = re.compile(r"[^0-9]")
 OCCURRENCE = "key long, twin long, kind string, first int, last int, surface string, before string, around string"
@@ -172,13 +173,12 @@ def personal_data(docs: DataFrame, **how) -> DataFrame:
 def redacted(docs: DataFrame, **how) -> DataFrame:
     """docs with each span replaced by its kind in brackets; columns and rows otherwise unchanged."""
     one = F.struct(F.col("first").alias("a"), F.col("last").alias("b"), F.upper("kind").alias("kind"))
-    by = spans(docs, **how).groupBy("key", "twin").agg(F.array_sort(F.collect_list(one)).alias("_spans"))
-    rows = docs.withColumn("_twin", F.xxhash64("text"))
-    rows = rows.join(by, rows["doc_id"].eqNullSafe(by["key"]) & (rows["_twin"] == by["twin"]), "left").drop("_twin", "key", "twin")
+    by = spans(docs, **how).groupBy(F.col("key").alias(_KEY), F.col("twin").alias(_TWIN)).agg(F.array_sort(F.collect_list(one)).alias(_SPANS))
+    rows = docs.join(by, docs["doc_id"].eqNullSafe(by[_KEY]) & (F.xxhash64(docs["text"]) == by[_TWIN]), "left").drop(_KEY, _TWIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = batch.column("text").to_pylist(), batch.column("_spans")
+            texts, marks = batch.column("text").to_pylist(), batch.column(_SPANS)
             for i in range(batch.num_rows):
                 if marks[i].is_valid:
                     text, out, at = texts[i], [], 0
@@ -188,6 +188,6 @@ def redacted(docs: DataFrame, **how) -> DataFrame:
                             at = s["b"]
                     texts[i] = "".join([*out, text[at:]])
             table = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            yield table.drop_columns(["_spans"])
+            yield table.drop_columns([_SPANS])
 
     return rows.mapInArrow(run, docs.schema)
