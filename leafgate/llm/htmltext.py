@@ -35,6 +35,7 @@ UNSEEN = _words("head title script style template noscript iframe noembed nofram
 PARAGRAPH_ENDERS = _words("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd")
 BLOCK = PARAGRAPH_ENDERS | _words("html body caption tr td th thead tbody tfoot option optgroup legend")
 SPACED = _words("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure menu dir")
+FORMATTING = _words("a b big code em font i nobr s small strike strong tt u")
 # Start tag: open elements that it ends, and those beyond which it does not look.
 IMPLIED = {
     "li": (_words("li"), _words("ul ol menu dir")),
@@ -125,6 +126,8 @@ def parse(page: str) -> Node:
                     if stack[i].tag == tag:
                         del stack[i:]
                         break
+                    if tag in FORMATTING and stack[i].tag in BLOCK:
+                        break  # it ends no block that began inside
                     if stack[i].tag in _SCOPE and tag not in IMPLIED and tag != "table":
                         break
                 continue

@@ -1,0 +1,54 @@
+import hashlib
+import random
+import re
+
+from leafgate.llm.decontaminate import contamination, decontaminate
+from tests.llm.conftest import rows
+
+
+def words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def brute(docs, items):
+    out = []
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for item, x in items:
+            x = words(x)
+            size = min(10, len(x))
+            for k in range(len(x) - size + 1) if size else ():
+                for p in range(len(w) - size + 1):
+                    if w[p : p + size] == x[k : k + size]:
+                        hit |= set(range(p, p + size))
+                        found.add("null" if item is None else str(item))
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=lambda t: tuple((x is None, x) for x in t))
+
+
+COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def given(make, spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["A", "b", "c!", "é-d"]) for _ in range(n))
+    items = [(i, text(rng.choice([1, 3, 9, 10, 11, 14]))) for i in range(6)] + [(2, "zz " * 12), (None, "q w e"), (20, None), (21, " . ")]
+    docs = [(i, text(rng.choice([0, 5, 9, 10, 30, 60]))) for i in range(25)] + [(30, None), (None, text(12)), (31, "zz " * 3000), (31, "zz " * 3000), (32, "Q, W; e")]
+    return docs, items, spark.createDataFrame(items, "item_id long, text string"), make(*docs)
+
+
+def test_equals_brute_force_in_one_block_and_many(make, spark):
+    docs, items, bench, frame = given(make, spark)
+    want = brute(docs, items)
+    assert rows(contamination(frame, bench), *COLUMNS) == want
+    assert rows(contamination(frame, bench, block_windows=20), *COLUMNS) == want
+
+
+def test_stage_and_empty_tables(make, spark):
+    docs, items, bench, frame = given(make, spark)
+    clean = [r[0] for r in brute(docs, items) if not r[5]]
+    out = decontaminate(frame, bench, block_windows=20)
+    assert out.columns == frame.columns and [r[0] for r in rows(out, "doc_id")] == clean
+    assert contamination(frame.limit(0), bench).count() == 0
+    assert contamination(frame, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate(frame, bench.limit(0)).count() == len(docs)
