@@ -12,21 +12,39 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 LEVEL, GAP, LEAST = 200.0, 4.0, 2.0
 
 
-def gate_clips(blocks: DataFrame, key: str, order: list[str], ts: str, level: Column, threshold: float = LEVEL, gap: float = GAP) -> DataFrame:
-    """key, clip_no (from 1), start_ts, end_ts, n_blocks, seconds, closed. ts names a timestamp; order says how blocks of a key follow."""
+def gate_blocks(blocks: DataFrame, key: str, order: list[str], ts: str, level: Column, threshold: float = LEVEL, gap: float = GAP, keep: list[str] | None = None) -> DataFrame:
+    """The blocks that belong to clips: key, order, ts, `keep`, clip_no (from 1), t (seconds), past (1: the block closes its clip)."""
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     ordered = Window.partitionBy(key).orderBy(*order)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocks.select(key, *dict.fromkeys([*order, ts]), (level >= threshold).alias("audible"), seconds.alias("t"))
+    names = list(dict.fromkeys([key, *order, ts, *(keep or [])]))
+    rows = blocks.select(*names, (level >= threshold).alias("audible"), seconds.alias("t"))
     rows = rows.withColumn("run", F.sum(F.col("audible").cast("long")).over(so_far)).where("run > 0")
     run = Window.partitionBy(key, "run")
     rows = rows.withColumn("s0", F.min(F.when(~F.col("audible"), F.col("t"))).over(run))
     rows = rows.withColumn("past", (~F.col("audible") & (F.col("t") - F.col("s0") >= gap)).cast("long"))
     rows = rows.withColumn("nth", F.sum("past").over(run.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("opens", (F.col("audible") & (F.coalesce(F.lag("past").over(ordered), F.lit(1)) == 1)).cast("long"))
-    rows = rows.withColumn("clip_no", F.sum("opens").over(so_far)).where("past = 0 or nth = 1")
-    out = rows.groupBy(key, "clip_no").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count("*").alias("n_blocks"), (F.max("t") - F.min("t")).alias("seconds"), (F.max("past") == 1).alias("closed"))
-    return out
+    return rows.withColumn("clip_no", F.sum("opens").over(so_far)).where("past = 0 or nth = 1").select(*names, "clip_no", "t", "past")
+
+
+def gate_clips(blocks: DataFrame, key: str, order: list[str], ts: str, level: Column, threshold: float = LEVEL, gap: float = GAP) -> DataFrame:
+    """key, clip_no (from 1), start_ts, end_ts, n_blocks, seconds, closed. ts names a timestamp; order says how blocks of a key follow."""
+    rows = gate_blocks(blocks, key, order, ts, level, threshold, gap)
+    return rows.groupBy(key, "clip_no").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count("*").alias("n_blocks"), (F.max("t") - F.min("t")).alias("seconds"), (F.max("past") == 1).alias("closed"))
+
+
+def clip_payloads(rows: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
+    """key, clip_no, n_bytes, payload: the blocks' bytes in order. rows: of gate_blocks, with payload (binary) kept."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.hex(payload).alias("_hex"))))
+    whole = F.unhex(F.array_join(F.transform(parts, lambda x: x["_hex"]), ""))
+    return rows.groupBy(key, "clip_no").agg(F.sum(F.octet_length(payload)).alias("n_bytes"), whole.alias("payload"))
+
+
+def sample_blocks(samples: DataFrame, key: str, index: str, value: str, frames: int = 1024) -> DataFrame:
+    """key, block_no, n, level: samples (index from 0) in blocks of so many, with the root of their mean square."""
+    square = F.col(value).cast("double") * F.col(value).cast("double")
+    return samples.groupBy(key, F.floor(F.col(index) / frames).cast("long").alias("block_no")).agg(F.count(value).alias("n"), F.coalesce(F.sqrt(F.avg(square)), F.lit(0.0)).alias("level"))
 
 
 def long_enough(clips: DataFrame, least: float = LEAST) -> DataFrame:

@@ -253,12 +253,13 @@ s AS (SELECT *, min(t) FILTER (NOT audible) OVER (PARTITION BY user_id, run) AS
 p AS (SELECT *, NOT audible AND t - s0 >= 86400 AS past FROM s),
 q AS (SELECT *, sum(CAST(past AS INT)) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth, coalesce(lag(past) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AND audible AS opens FROM p),
 c AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS clip_no FROM q),
-g AS (SELECT user_id, CAST(clip_no AS BIGINT) AS clip_no, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_blocks, round(max(t) - min(t), 3) AS seconds, bool_or(past) AS closed FROM c WHERE NOT past OR nth = 1 GROUP BY ALL)"""
+g AS (SELECT user_id, CAST(clip_no AS BIGINT) AS clip_no, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS end_ts, count(*) AS n_blocks, round(max(t) - min(t), 3) AS seconds, bool_or(past) AS closed FROM c WHERE NOT past OR nth = 1 GROUP BY ALL)"""
 
 
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = gate.gate_clips(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "ts", F.col("value"), 60, 86400)
-    return out.withColumn("seconds", F.round("seconds", 3))
+    said = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_ts", "end_ts")}
+    return out.withColumns({"seconds": F.round("seconds", 3), **said})
 
 
 @query(f"{_O_GATE} SELECT * FROM g")
@@ -271,6 +272,20 @@ def gate_min_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.long_enough(_gate(spark, sf_dir), 172800)
 
 
+@query(_O_GATE.rsplit("g AS (", 1)[0].rstrip().rstrip(",") + """, b AS (SELECT c.user_id, CAST(clip_no AS BIGINT) AS clip_no, coalesce(props, '') AS p, c.ts, c.event_id FROM c JOIN events USING (event_id) WHERE NOT past OR nth = 1)
+SELECT user_id, clip_no, CAST(sum(strlen(p)) AS BIGINT) AS n_bytes, md5(string_agg(p, '' ORDER BY ts, event_id)) AS digest FROM b GROUP BY ALL""")
+def clip_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").withColumn("pcm", F.coalesce("props", F.lit("")).cast("binary"))
+    rows = gate.gate_blocks(events, "user_id", ["ts", "event_id"], "ts", F.col("value"), 60, 86400, keep=["pcm"])
+    return gate.clip_payloads(rows, "user_id", ["ts", "event_id"], "pcm").select("user_id", "clip_no", "n_bytes", F.md5("payload").alias("digest"))
+
+
+@query("SELECT vec_id, i // 16 AS block_no, count(*) AS n, round(sqrt(avg(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS level FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY ALL")
+def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    return gate.sample_blocks(samples, "vec_id", "i", "x", 16).withColumn("level", F.round("level", 6))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(tx.text_or_empty("text"), r"\s+"), lambda w: w != "")
     timed = F.transform(words, lambda w, i: F.struct((i * 0.25).cast("double").alias("start"), w.alias("word")))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from leafgate.functions.text import stem
@@ -42,6 +43,20 @@ def block_stream(spark: SparkSession, folder: str, schema: str | StructType, fil
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+SEGMENTS = "segments array<struct<start: double, end: double, text: string, words: array<struct<start: double, word: string>>>>"
+
+
+def transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """path, segment_no, start, end, text, words of JSON transcripts: what a recogniser, run elsewhere, has written."""
+    rows = spark.read.schema(SEGMENTS).json(folder, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode_outer("segments").alias("segment_no", "s"))
+    return rows.where("s is not null").select("path", "segment_no", "s.start", "s.end", "s.text", "s.words")
+
+
+def write_clips(clips: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The clips of a stream as Parquet, each once."""
+    return clips.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
 def write_transcript(lines: DataFrame, path: str, key: str) -> None:
     """One text file of the lines in order: a transcript is for one reader."""
     lines.orderBy(key, "segment_no", "word_no").select("line").coalesce(1).write.mode("overwrite").text(path)

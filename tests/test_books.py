@@ -77,3 +77,10 @@ def test_transcript_lines(spark, tmp_path):
     assert [r["line"] for r in out.orderBy("segment_no", "word_no").collect()] == ["\n[0.3s — 1.5s]  hi", "           ?  a", "      12.50s  b", "\n[2.0s — 3.0s]  x"]
     files.write_transcript(out, str(tmp_path / "t"), "id")
     assert "12.50s  b" in "".join(p.read_text() for p in (tmp_path / "t").glob("part-*"))
+
+
+def test_transcripts_of_a_recogniser(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"segments": [{"start": 0.5, "end": 1.0, "text": "x", "words": [{"word": "x"}]}, {"start": 1.0, "end": 2.0, "text": "y"}]}')
+    (tmp_path / "b.json").write_text('{"segments": []}')
+    got = files.transcripts(spark, str(tmp_path)).orderBy("segment_no").collect()
+    assert [(r["segment_no"], r["text"], r["words"] and r["words"][0]["start"]) for r in got] == [(0, "x", None), (1, "y", None)]
