@@ -8,8 +8,8 @@ that it starts in. Words under a window that also starts in a smaller document a
 
 Before that, each slice of documents sorts its own windows: one that an earlier document of
 the slice holds is decided at once and does not travel. So of a passage that very many documents share, a
-bucket gets one string for each slice, not one for each document. Strings travel compressed, grouped by bucket. The number of
-buckets follows the size of the input, so that a bucket is about `BUCKET_BYTES`.
+bucket gets one string for each slice, not one for each document. Strings travel compressed, those of `HELD_BYTES` for one
+bucket together. The number of buckets follows the size of the input, so that a bucket is about `BUCKET_BYTES`.
 
 Windows are compared by 64-bit hashes, and equal ones once more by their first, middle and last words and their length.
 
@@ -26,16 +26,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from leafgate.llm.textarrays import NON_SPACE, U, Words, chunks, covered, ragged, sliding_argmin, strings, texts_of
+from leafgate.llm.textarrays import NON_SPACE, Texts, U, Words, chunks, covered, ragged, sliding_argmin, strings
 
 WINDOW, MINI = 13, 3
-BUCKET_BYTES = 6 << 20
-SLICE = 4 << 20
+BUCKET_BYTES = 12 << 20
+HELD_BYTES = 64 << 20
+SLICE = 2 << 20
+PRESS = 3
 LAST = (1 << 63) - 1  # stands for a null doc_id
-PARTS = "bucket int, doc_id long, twin long, data binary"
-DECIDED = "doc_id long, twin long, data binary"
+PARTS = "bucket int, doc_id long, twin int, data binary"
+DECIDED = "doc_id long, twin int, data binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -45,19 +47,41 @@ def buckets_for(docs: DataFrame, growth: float, size: int = BUCKET_BYTES) -> int
     return max(8, int(total * growth / size) + 1)
 
 
-def packed(columns: dict[str, np.ndarray | pa.Array]) -> bytes:
-    """Columns as one compressed Arrow stream."""
-    batch = pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], list(columns))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+class Packer:
+    """Rows on their way to buckets, held until they are worth compressing together."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, list[pa.RecordBatch]] = {}
+        self.size = 0
+
+    def add(self, bucket: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> None:
+        """bucket ascends."""
+        batch = pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], list(columns))
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            self.held.setdefault(int(bucket[i]), []).append(batch.slice(i, j - i))
+        self.size += batch.nbytes
+
+    def rows(self) -> Iterator[tuple]:
+        press = zstandard.ZstdCompressor(level=PRESS)
+        for bucket, batches in self.held.items():
+            table = pa.Table.from_batches(batches).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            yield bucket, None, None, press.compress(sink.getvalue())
+        self.held, self.size = {}, 0
 
 
 def unpacked(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_next_batch()
 
 
+def twin_of() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.hash("doc_id", "text")
+
+
 def least_owner(hashes: np.ndarray, owner: np.ndarray, proof: np.ndarray) -> np.ndarray:
     """For each window: the smallest owner of an equal one. proof: rows of further hashes that equal windows share."""
     order = np.lexsort((owner, hashes))
@@ -88,7 +112,7 @@ def _decided(batch: pa.RecordBatch, doc: np.ndarray, at: np.ndarray) -> Iterator
 
 
 def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "data": pa.binary()}
+    kinds = {"bucket": pa.int32(), "twin": pa.int32(), "data": pa.binary()}
     columns = list(zip(*rows)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns)], list(names))
 
@@ -97,6 +121,7 @@ def super_kmers(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket set: packed strings of a slice; bucket null: windows of a document that are decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer()
         for batch, texts in chunks(batches, most=SLICE):
             words = Words(texts, NON_SPACE)
             hashes, whole = words.windows(WINDOW)
@@ -121,18 +146,15 @@ def super_kmers(docs: DataFrame, buckets: int) -> DataFrame:
             last = first + run_length - 1 + WINDOW - 1
             bucket = (mini[a[begin]] % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
+            first, last = first[order], last[order]
             doc = words.doc[first]
-            cut = np.flatnonzero(np.diff(bucket[order])) + 1
-            for part in np.split(order, cut):
-                if len(part):
-                    data = packed({
-                        "doc_id": ids[doc[part]], "twin": twins[doc[part]], "at": (first[part] - words.first[doc[part]]).astype(np.int32),
-                        "text": strings(texts.buf, words.start[first[part]], words.end[last[part]]).cast(pa.large_string(), safe=False),
-                    })
-                    rows.append((int(bucket[part[0]]), None, None, data))
+            packer.add(bucket[order], {"doc_id": ids[doc], "twin": twins[doc], "at": (first - words.first[doc]).astype(np.int32), "text": strings(texts.buf, words.start[first], words.end[last])})
+            if packer.size > HELD_BYTES:
+                rows += packer.rows()
             yield _rows(rows, ("bucket", "doc_id", "twin", "data"))
+        yield _rows(list(packer.rows()), ("bucket", "doc_id", "twin", "data"))
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("twin"), "text").mapInArrow(run, PARTS)
+    return docs.select("doc_id", twin_of().alias("twin"), "text").mapInArrow(run, PARTS)
 
 
 def _resolve(group: pa.Table) -> pa.Table:
@@ -144,27 +166,36 @@ def _resolve(group: pa.Table) -> pa.Table:
             rows.append((doc, twin, data))
         else:
             blobs.append(unpacked(data))
-    if blobs:
-        table = pa.Table.from_batches(blobs).combine_chunks()
-        texts = texts_of(table["text"])
+    parts = []
+    for blob in blobs:  # one at a time: only hashes and places of all are held together
+        texts = binary_texts(blob["text"])
         words = Words(texts, NON_SPACE)
         hashes, whole = words.windows(WINDOW)
         at = np.flatnonzero(whole)
-        ids, twins, place = (table[c].to_numpy() for c in ("doc_id", "twin", "at"))
-        owner = ids[words.doc[at]]
-        lost = least_owner(hashes[at], owner, _proof(words, at)) < owner
-        at, d = at[lost], words.doc[at[lost]]
-        where = place[d] + (at - words.first[d])
-        order = np.lexsort((where, twins[d], ids[d]))
-        d, where = d[order], where[order].astype(np.int32)
-        cut = np.flatnonzero((ids[d][1:] != ids[d][:-1]) | (twins[d][1:] != twins[d][:-1])) + 1
-        for part, places in zip(np.split(d, cut), np.split(where, cut)):
-            if len(part):
-                own = int(ids[part[0]])
-                rows.append((None if own == LAST else own, int(twins[part[0]]), places.tobytes()))
+        row = words.doc[at]
+        parts.append((hashes[at], _proof(words, at), *(blob[c].to_numpy()[row] for c in ("doc_id", "twin")), blob["at"].to_numpy()[row] + (at - words.first[row])))
+    if parts:
+        hashes, proof, ids, twins, where = (np.concatenate(x, axis=-1) for x in zip(*parts))
+        lost = least_owner(hashes, ids, proof) < ids
+        ids, twins, where = ids[lost], twins[lost], where[lost]
+        order = np.lexsort((where, twins, ids))
+        ids, twins, where = ids[order], twins[order], where[order].astype(np.int32)
+        cut = np.flatnonzero((ids[1:] != ids[:-1]) | (twins[1:] != twins[:-1])) + 1
+        for i, t, places in zip(np.split(ids, cut), np.split(twins, cut), np.split(where, cut)):
+            if len(i):
+                rows.append((None if i[0] == LAST else int(i[0]), int(t[0]), places.tobytes()))
     return pa.Table.from_batches([_rows(rows, ("doc_id", "twin", "data"))])
 
 
+def binary_texts(column: pa.Array | pa.ChunkedArray) -> Texts:
+    """Texts of a large_binary column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    buf = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    return Texts(buf[offs[0] : offs[-1]], offs - offs[0])
+
+
 def decided(parts: DataFrame, buckets: int, resolve: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """By document: data, all its decided windows. parts: of super_kmers."""
     key = F.coalesce("bucket", -1 - F.pmod(F.col("twin"), F.lit(buckets)).cast("int"))
@@ -195,6 +226,6 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     buckets = buckets_for(docs, 3.2)
     marks = decided(super_kmers(docs, buckets), buckets, _resolve)
-    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("doc_id", "text").alias("t"), "text")
+    rows = docs.select(F.col("doc_id").alias("d"), twin_of().alias("t"), "text")
     out = rows.join(marks, rows.d.eqNullSafe(marks.doc_id) & (rows.t == marks.twin), "left")
     return out.select(F.col("d").alias("doc_id"), "text", "data").mapInArrow(_apply, RESULT)

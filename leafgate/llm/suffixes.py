@@ -29,13 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafgate.llm.substring import LAST, PARTS, _rows, buckets_for, decided, packed, unpacked
+from leafgate.llm.substring import HELD_BYTES, LAST, PARTS, Packer, _rows, binary_texts, buckets_for, decided, twin_of, unpacked
 from leafgate.llm.textarrays import MULT, PLAIN, Texts, U, chunks, mix, powers, ragged, sliding_argmin, strings
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 16
 PERIOD, COVER = 7, (0, 1, 3)
 SLICE = 2 << 20
 BUCKET_BYTES = 12 << 20
+BLOCK_BYTES = 3 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -69,6 +70,7 @@ def pieces(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket set: pieces of text of a slice, each with its suffix starts; bucket null: starts of a document that are decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer()
         for batch, texts in chunks(batches, most=SLICE):
             size = np.diff(texts.offs)
             starts = np.maximum(size - LENGTH + 1, 0)
@@ -99,16 +101,16 @@ def pieces(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = (gram[anchor] % U(buckets)).astype(np.int64)
             own = np.flatnonzero(~copy)
             own = own[np.argsort(bucket[own], kind="stable")]
-            for part in np.split(own, np.flatnonzero(np.diff(bucket[own])) + 1):
-                if len(part):
-                    data = packed({
-                        "doc_id": ids[part], "twin": twins[part], "at": place[part].astype(np.int32), "anchor": (anchor[part] - first[part]).astype(np.int32),
-                        "text": strings(texts.buf, first[part], last[part]),
-                    })
-                    rows.append((int(bucket[part[0]]), None, None, data))
+            packer.add(bucket[own], {
+                "doc_id": ids[own], "twin": twins[own], "at": place[own].astype(np.int32), "anchor": (anchor[own] - first[own]).astype(np.int32),
+                "text": strings(texts.buf, first[own], last[own]),
+            })
+            if packer.size > HELD_BYTES:
+                rows += packer.rows()
             yield _rows(rows, ("bucket", "doc_id", "twin", "data"))
+        yield _rows(list(packer.rows()), ("bucket", "doc_id", "twin", "data"))
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("twin"), "text").mapInArrow(run, PARTS)
+    return docs.select("doc_id", twin_of().alias("twin"), "text").mapInArrow(run, PARTS)
 
 
 def first_equal(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -161,41 +163,44 @@ def _resolve(group: pa.Table) -> pa.Table:
             rows.append((doc, twin, data))
         else:
             blobs.append(unpacked(data))
-    if blobs:
-        table = pa.Table.from_batches(blobs).combine_chunks()
-        texts = _texts(table["text"])
-        word = _eight(texts.buf)
-        spot = texts.offs[:-1] + table["anchor"].to_numpy()
+    names = []
+    for blob in blobs:
+        texts = binary_texts(blob["text"])
+        word, spot = _eight(texts.buf), texts.offs[:-1] + blob["anchor"].to_numpy()
         name = np.zeros(len(spot), U)
         for i in range(0, GRAM, 8):
             name = mix(name ^ word[spot + i])
-        _, which, times = np.unique(name, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(times[which] > 1)
-        if len(shared):
-            table = table.take(pa.array(shared)).sort_by([("doc_id", "ascending"), ("at", "ascending")])
-            texts = _texts(table["text"])
-            ids, twins, place = (table[c].to_numpy() for c in ("doc_id", "twin", "at"))
-            at, first = first_equal(texts)
-            piece, lead = (np.searchsorted(texts.offs, x, "right") - 1 for x in (at, first))
-            start, before = place[piece] + at - texts.offs[piece], place[lead] + first - texts.offs[lead]
-            lost = np.flatnonzero((ids[piece] != ids[lead]) | (start != before))
-            if len(lost):
-                p, s = piece[lost], start[lost]
-                new = np.ones(len(lost), bool)
-                new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(lost)) - 1
-                rows += _by_document(ids[p[head]], twins[p[head]], s[head].astype(np.int64), s[tail].astype(np.int64) + 1)
+        names.append(name)
+    if names:
+        own, which, times = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(n) for n in names])
+        shared = [np.flatnonzero(times[w] > 1) for w in np.split(which, ends[:-1])]
+        name = np.concatenate([n[k] for n, k in zip(names, shared)])
+        table = pa.Table.from_batches([b.take(pa.array(k)) for b, k in zip(blobs, shared)])
+        order = np.argsort(name, kind="stable")
+        size = np.cumsum(np.diff(binary_texts(table["text"]).offs)[order])
+        new = np.flatnonzero(np.diff(name[order])) + 1  # an anchor's pieces stay in one block
+        cut = [int(new[i]) for i in np.flatnonzero(np.diff(size[new - 1] // BLOCK_BYTES, prepend=0))] if len(new) else []
+        for part in np.split(order, cut):
+            if len(part):
+                rows += _sorted_block(table.take(pa.array(part)).sort_by([("doc_id", "ascending"), ("at", "ascending")]))
     return pa.Table.from_batches([_rows(rows, ("doc_id", "twin", "data"))])
 
 
-def _texts(column: pa.ChunkedArray) -> Texts:
-    array = column.combine_chunks()
-    if isinstance(array, pa.ChunkedArray):
-        array = pa.concat_arrays(array.chunks) if array.num_chunks else pa.array([], pa.large_binary())
-    offs = np.frombuffer(array.buffers()[1], np.int64, len(array) + 1, array.offset * 8)
-    buf = np.frombuffer(array.buffers()[2], np.uint8)
-    return Texts(buf[offs[0] : offs[-1]], offs - offs[0])
+def _sorted_block(table: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
+    """What starts earlier among the pieces of one block, which come in the order of their starts."""
+    texts = binary_texts(table["text"])
+    ids, twins, place = (table[c].to_numpy() for c in ("doc_id", "twin", "at"))
+    at, first = first_equal(texts)
+    piece, lead = (np.searchsorted(texts.offs, x, "right") - 1 for x in (at, first))
+    start, before = place[piece] + at - texts.offs[piece], place[lead] + first - texts.offs[lead]
+    lost = np.flatnonzero((ids[piece] != ids[lead]) | (start != before))
+    p, s = piece[lost], start[lost]
+    new = np.ones(len(lost), bool)
+    new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(lost))[: len(head)] - 1
+    yield from _by_document(ids[p[head]], twins[p[head]], s[head].astype(np.int64), s[tail].astype(np.int64) + 1)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +227,6 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     buckets = buckets_for(docs, 3.8, BUCKET_BYTES)
     marks = decided(pieces(docs, buckets), buckets, _resolve)
-    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("doc_id", "text").alias("t"), "text")
+    rows = docs.select(F.col("doc_id").alias("d"), twin_of().alias("t"), "text")
     out = rows.join(marks, rows.d.eqNullSafe(marks.doc_id) & (rows.t == marks.twin), "left")
     return out.select(F.col("d").alias("doc_id"), "text", "data").mapInArrow(_apply, RESULT)
