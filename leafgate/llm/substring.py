@@ -9,7 +9,9 @@ that it starts in. Words under a window that also starts in a smaller document a
 Before that, each slice of documents sorts its own windows: one that an earlier document of
 the slice holds is decided at once and does not travel. So of a passage that very many documents share, a
 bucket gets one string for each slice, not one for each document. Strings travel compressed, those of `HELD_BYTES` for one
-bucket together. The number of buckets follows the size of the input, so that a bucket is about `BUCKET_BYTES`.
+bucket together. Minimisers that very many documents share would make hot buckets, so they come last in the order
+of hashes: a window takes one only if all its candidates are such, and then lies within what the documents share. Which ones,
+a sample of slices says; any choice gives the same result. The number of buckets follows the size of the input, so that a bucket is about `BUCKET_BYTES`.
 
 Windows are compared by 64-bit hashes, and equal ones once more by their first, middle and last words and their length.
 
@@ -35,6 +37,8 @@ BUCKET_BYTES = 12 << 20
 HELD_BYTES = 64 << 20
 SLICE = 2 << 20
 PRESS = 3
+#: So many shared minimisers at most come last; one slice of SAMPLED looks for those in more than one of RARE documents.
+HOT, SAMPLED, RARE = 30_000, 8, 32
 LAST = (1 << 63) - 1  # stands for a null doc_id
 PARTS = "bucket int, doc_id long, twin int, data binary"
 DECIDED = "doc_id long, twin int, data binary"
@@ -117,9 +121,50 @@ def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns)], list(names))
 
 
+class Shared:
+    """Hashes of runs that very many documents share."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hashes & U(0xFFFFF)] = True
+
+    def last(self, values: np.ndarray) -> np.ndarray:
+        """values, where those of shared runs are the largest."""
+        at = np.flatnonzero(self.maybe[values & U(0xFFFFF)])
+        if not len(at):
+            return values
+        near = np.minimum(np.searchsorted(self.hashes, values[at]), len(self.hashes) - 1)
+        at = at[self.hashes[near] == values[at]]
+        out = values.copy()
+        out[at] |= U(0xFFFFFFFF00000000)
+        return out
+
+
+def widely_shared(docs: DataFrame, runs_of: Callable[[Texts], np.ndarray]) -> Shared:
+    """The HOT most frequent at most. runs_of: hashes of all runs of a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, (_, texts) in enumerate(chunks(batches, most=SLICE)):
+            if i % SAMPLED == 0:
+                own, n = np.unique(runs_of(texts), return_counts=True)
+                often = n >= max(16, texts.n // RARE)
+                yield pa.RecordBatch.from_arrays([pa.array(own[often].view(np.int64)), pa.array(n[often])], ["run", "n"])
+
+    found = docs.select("text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return Shared(found.orderBy(F.desc("n"), "run").limit(HOT).toArrow()["run"].to_numpy().view(U))
+
+
+def _runs(texts: Texts) -> np.ndarray:
+    hashes, whole = Words(texts, NON_SPACE).windows(MINI)
+    return hashes[whole]
+
+
 def super_kmers(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket set: packed strings of a slice; bucket null: windows of a document that are decided."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(widely_shared(docs, _runs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer()
         for batch, texts in chunks(batches, most=SLICE):
@@ -135,7 +180,7 @@ def super_kmers(docs: DataFrame, buckets: int) -> DataFrame:
             rows = [(None, *r) for r in _decided(batch, words.doc[at[lost]], at[lost] - words.first[words.doc[at[lost]]])]
             # of equal windows with one owner all travel; they are decided alike
             mini, _ = words.windows(MINI)
-            anchor = sliding_argmin(mini[: len(mini) - MINI + 1], WINDOW - MINI + 1)
+            anchor = sliding_argmin(shared.value.last(mini)[: len(mini) - MINI + 1], WINDOW - MINI + 1)
             open_ = at[~lost]
             a = anchor[open_]
             new = np.ones(len(open_), bool)

@@ -4,7 +4,7 @@ Of every string of `LENGTH` bytes only the first start counts (smallest doc_id,
 the bytes under all other starts are removed.
 
 Suffixes are dealt to buckets by content: the leftmost smallest of the hashes of the `GRAM`-byte
-strings in the first LENGTH bytes of a suffix names its bucket, so equal ones meet. Neighbouring suffixes
+strings in the first LENGTH bytes of a suffix names its bucket, so equal ones meet (strings that very many documents share come last). Neighbouring suffixes
 with one such anchor travel as one piece of text. A bucket is sorted by itself, in blocks of memory that do not
 grow with the input: pieces whose anchor occurs once are done. Of the others, the suffixes are
 sorted by their first eight bytes. What ties is resolved by ranks of a sample: positions
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafgate.llm.substring import HELD_BYTES, LAST, PARTS, Packer, _rows, binary_texts, buckets_for, decided, twin_of, unpacked
+from leafgate.llm.substring import HELD_BYTES, LAST, PARTS, Packer, _rows, binary_texts, buckets_for, decided, twin_of, unpacked, widely_shared
 from leafgate.llm.textarrays import MULT, PLAIN, Texts, U, chunks, mix, powers, ragged, sliding_argmin, strings
 
 LENGTH, GRAM = 100, 16
@@ -48,7 +48,7 @@ def _eight(buf: np.ndarray) -> np.ndarray:
 def _hashes(texts: Texts, size: int) -> np.ndarray:
     """Hash of the string of so many bytes from each place on."""
     p = texts.prefix(PLAIN)
-    n = len(texts.buf) - size + 1
+    n = max(0, len(texts.buf) - size + 1)
     return mix((p[size:] - p[:n]) * powers(pow(MULT, -1, 1 << 64), len(texts.buf) + 1)[:n])
 
 
@@ -69,6 +69,8 @@ def _by_document(ids: np.ndarray, twins: np.ndarray, at: np.ndarray, end: np.nda
 def pieces(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket set: pieces of text of a slice, each with its suffix starts; bucket null: starts of a document that are decided."""
 
+    common = docs.sparkSession.sparkContext.broadcast(widely_shared(docs, lambda texts: _hashes(texts, GRAM)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer()
         for batch, texts in chunks(batches, most=SLICE):
@@ -79,7 +81,7 @@ def pieces(docs: DataFrame, buckets: int) -> DataFrame:
             at = ragged(texts.offs[:-1], starts)
             doc = np.repeat(np.arange(texts.n), starts)
             gram = _hashes(texts, GRAM)
-            anchor = sliding_argmin(gram, LENGTH - GRAM + 1)[at]
+            anchor = sliding_argmin(common.value.last(gram), LENGTH - GRAM + 1)[at]
             new = np.ones(len(at), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             begin = np.flatnonzero(new)
