@@ -33,10 +33,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leafgate.llm.textarrays import NON_SPACE, Texts, U, Words, chunks, covered, ragged, sliding_argmin, strings
 
 WINDOW, MINI = 13, 3
-BUCKET_BYTES = 12 << 20
-HELD_BYTES = 64 << 20
-SLICE = 2 << 20
-PRESS = 3
+BUCKET_BYTES = 16 << 20
+HELD_BYTES = 48 << 20
+PART_BYTES = 8 << 20
+SLICE = 1 << 20
+PRESS = 5
 #: So many shared minimisers at most come last; one slice of SAMPLED looks for those in more than one of RARE documents.
 HOT, SAMPLED, RARE = 30_000, 8, 32
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -45,10 +46,12 @@ DECIDED = "doc_id long, twin int, data binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def buckets_for(docs: DataFrame, growth: float, size: int = BUCKET_BYTES) -> int:
-    """growth: bytes that travel for a byte of text."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(8, int(total * growth / size) + 1)
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def buckets_for(total: float, size: int = BUCKET_BYTES) -> int:
+    return max(8, int(total / size) + 1)
 
 
 class Packer:
@@ -242,35 +245,64 @@ def binary_texts(column: pa.Array | pa.ChunkedArray) -> Texts:
 
 
 def decided(parts: DataFrame, buckets: int, resolve: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """By document: data, all its decided windows. parts: of super_kmers."""
-    key = F.coalesce("bucket", -1 - F.pmod(F.col("twin"), F.lit(buckets)).cast("int"))
-    return parts.withColumn("bucket", key).groupBy("bucket").applyInArrow(resolve, DECIDED).groupBy("doc_id", "twin").agg(F.collect_list("data").alias("data"))
+    """doc_id, twin, data: decided windows, some rows for a document. parts: of super_kmers."""
+    key = F.coalesce("bucket", -1 - F.pmod(F.col("twin"), F.lit(buckets)))
+    return parts.withColumn("bucket", key).groupBy("bucket").applyInArrow(resolve, DECIDED)
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in chunks(batches, most=SLICE):
-        words = Words(texts, NON_SPACE)
-        marks = batch.column("data")
-        n_removed, sha = np.zeros(texts.n, np.int64), []
-        for i in range(texts.n):
-            a, b = words.first[i], words.first[i + 1]
-            keep = np.arange(a, b)
-            if marks[i].is_valid:
-                places = np.concatenate([np.frombuffer(x, np.int32) for x in marks[i].as_py()]).astype(np.int64)
-                gone = covered(places, WINDOW, int(b - a))
-                n_removed[i], keep = gone.sum(), keep[~gone]
-            size = words.end[keep] - words.start[keep]
-            out = np.full(int(size.sum()) + len(keep), 32, np.uint8)
-            to = np.cumsum(size + 1) - size - 1
-            out[ragged(to, size)] = texts.buf[ragged(words.start[keep], size)]
-            sha.append(hashlib.sha256(out[:-1].tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.count, pa.int64()), pa.array(n_removed), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+def applied(docs: DataFrame, marks: DataFrame, parts: int, apply: Callable[[Texts, list[list[bytes]]], dict[str, np.ndarray | list]], schema: str) -> DataFrame:
+    """What apply makes of each text and its decided windows. Texts travel compressed to the part of their document."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer()
+        for batch, texts in chunks(batches, most=SLICE):
+            part = batch.column("part").to_numpy()
+            order = np.argsort(part, kind="stable")
+            text = strings(texts.buf, texts.offs[:-1][order], texts.offs[1:][order])
+            packer.add(part[order], {"doc_id": batch.column("doc_id").take(pa.array(order)), "twin": batch.column("twin").take(pa.array(order)), "text": text})
+            if packer.size > HELD_BYTES:
+                yield _rows([(r[0], r[3]) for r in packer.rows()], ("bucket", "data"))
+        yield _rows([(r[0], r[3]) for r in packer.rows()], ("bucket", "data"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        marks: dict[tuple, list[bytes]] = {}
+        for doc, twin, data in zip(*(right[c].to_pylist() for c in ("doc_id", "twin", "data"))):
+            marks.setdefault((doc, twin), []).append(data)
+        out = []
+        for blob in left["data"]:
+            batch = unpacked(blob.as_py())
+            own = [marks.get(k, []) for k in zip(batch["doc_id"].to_pylist(), batch["twin"].to_pylist())]
+            columns = {"doc_id": batch["doc_id"], **apply(binary_texts(batch["text"]), own)}
+            out.append(pa.RecordBatch.from_arrays([columns[n] if n == "doc_id" else pa.array(columns[n]) for n in names], names))
+        empty = [pa.array([], pa.string() if "string" in f else pa.int64()) for f in schema.split(", ")]
+        return pa.Table.from_batches(out or [pa.RecordBatch.from_arrays(empty, names)])
+
+    part = F.pmod(twin_of(), F.lit(parts))
+    texts = docs.select("doc_id", twin_of().alias("twin"), part.alias("part"), "text").mapInArrow(run, "bucket int, data binary")
+    marks = marks.withColumn("bucket", F.pmod("twin", F.lit(parts)))
+    return texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(meet, schema)
+
+
+def _kept(texts: Texts, marks: list[list[bytes]]) -> dict[str, np.ndarray | list]:
+    words = Words(texts, NON_SPACE)
+    n_removed, sha = np.zeros(texts.n, np.int64), []
+    for i in range(texts.n):
+        a, b = words.first[i], words.first[i + 1]
+        keep = np.arange(a, b)
+        if marks[i]:
+            places = np.concatenate([np.frombuffer(x, np.int32) for x in marks[i]]).astype(np.int64)
+            gone = covered(places, WINDOW, int(b - a))
+            n_removed[i], keep = gone.sum(), keep[~gone]
+        size = words.end[keep] - words.start[keep]
+        out = np.full(int(size.sum()) + len(keep), 32, np.uint8)
+        out[ragged(np.cumsum(size + 1) - size - 1, size)] = texts.buf[ragged(words.start[keep], size)]
+        sha.append(hashlib.sha256(out[:-1].tobytes()).hexdigest())
+    return {"n_words": words.count.astype(np.int64), "n_removed": n_removed, "kept_sha256": sha}
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
-    buckets = buckets_for(docs, 3.2)
-    marks = decided(super_kmers(docs, buckets), buckets, _resolve)
-    rows = docs.select(F.col("doc_id").alias("d"), twin_of().alias("t"), "text")
-    out = rows.join(marks, rows.d.eqNullSafe(marks.doc_id) & (rows.t == marks.twin), "left")
-    return out.select(F.col("d").alias("doc_id"), "text", "data").mapInArrow(_apply, RESULT)
+    total = text_bytes(docs)
+    buckets = buckets_for(3.2 * total)  # so many bytes travel for one of text
+    return applied(docs, decided(super_kmers(docs, buckets), buckets, _resolve), buckets_for(total, PART_BYTES), _kept, RESULT)

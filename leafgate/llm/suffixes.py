@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafgate.llm.substring import HELD_BYTES, LAST, PARTS, Packer, _rows, binary_texts, buckets_for, decided, twin_of, unpacked, widely_shared
+from leafgate.llm.substring import HELD_BYTES, LAST, PART_BYTES, PARTS, Packer, _rows, applied, binary_texts, buckets_for, decided, text_bytes, twin_of, unpacked, widely_shared
 from leafgate.llm.textarrays import MULT, PLAIN, Texts, U, chunks, mix, powers, ragged, sliding_argmin, strings
 
 LENGTH, GRAM = 100, 16
 PERIOD, COVER = 7, (0, 1, 3)
-SLICE = 2 << 20
+SLICE = 1 << 20
 BUCKET_BYTES = 12 << 20
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -205,30 +205,25 @@ def _sorted_block(table: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
     yield from _by_document(ids[p[head]], twins[p[head]], s[head].astype(np.int64), s[tail].astype(np.int64) + 1)
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in chunks(batches, most=SLICE):
-        marks = batch.column("data")
-        size = np.diff(texts.offs)
-        n_removed, n_spans, sha = np.zeros(texts.n, np.int64), np.zeros(texts.n, np.int64), []
-        for i in range(texts.n):
-            own = texts.buf[texts.offs[i] : texts.offs[i + 1]]
-            if marks[i].is_valid:
-                pairs = np.concatenate([np.frombuffer(x, np.int32) for x in marks[i].as_py()]).reshape(-1, 2).astype(np.int64)
-                step = np.zeros(len(own) + 1, np.int32)
-                np.add.at(step, pairs[:, 0], 1)
-                np.add.at(step, pairs[:, 1] + LENGTH - 1, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                n_removed[i] = gone.sum()
-                n_spans[i] = (gone[1:] & ~gone[:-1]).sum() + gone[0]
-                own = own[~gone]
-            sha.append(hashlib.sha256(own.tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n_removed), pa.array(n_spans), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _kept(texts: Texts, marks: list[list[bytes]]) -> dict[str, np.ndarray | list]:
+    n_removed, n_spans, sha = np.zeros(texts.n, np.int64), np.zeros(texts.n, np.int64), []
+    for i in range(texts.n):
+        own = texts.buf[texts.offs[i] : texts.offs[i + 1]]
+        if marks[i]:
+            pairs = np.concatenate([np.frombuffer(x, np.int32) for x in marks[i]]).reshape(-1, 2).astype(np.int64)
+            step = np.zeros(len(own) + 1, np.int32)
+            np.add.at(step, pairs[:, 0], 1)
+            np.add.at(step, pairs[:, 1] + LENGTH - 1, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            n_removed[i] = gone.sum()
+            n_spans[i] = (gone[1:] & ~gone[:-1]).sum() + gone[0]
+            own = own[~gone]
+        sha.append(hashlib.sha256(own.tobytes()).hexdigest())
+    return {"n_bytes": np.diff(texts.offs), "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": sha}
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    buckets = buckets_for(docs, 3.8, BUCKET_BYTES)
-    marks = decided(pieces(docs, buckets), buckets, _resolve)
-    rows = docs.select(F.col("doc_id").alias("d"), twin_of().alias("t"), "text")
-    out = rows.join(marks, rows.d.eqNullSafe(marks.doc_id) & (rows.t == marks.twin), "left")
-    return out.select(F.col("d").alias("doc_id"), "text", "data").mapInArrow(_apply, RESULT)
+    total = text_bytes(docs)
+    buckets = buckets_for(3.4 * total, BUCKET_BYTES)  # so many bytes travel for one of text
+    return applied(docs, decided(pieces(docs, buckets), buckets, _resolve), buckets_for(total, PART_BYTES), _kept, RESULT)
