@@ -30,6 +30,7 @@ from leafgate.llm.textarrays import NON_SPACE, Texts, U, Words, chunks, ragged
 
 MIN_WORDS = 50
 REACH = 8.0
+BROADCAST_GROUPS = 10_000
 SLICE = 3 << 20
 KEPT_WORDS = 300_000
 #: Least half-width of a band, for each measure.
@@ -165,6 +166,8 @@ def quality(docs: DataFrame, vocabulary: str, reach: float = REACH) -> DataFrame
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )
     usual = rows.where("n_words >= 50 and not base_failed").groupBy("grp").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(f"_{c}") for c in LEAST))
+    if usual.count() <= BROADCAST_GROUPS:  # a row for each language: no shuffle by language, which may be hot
+        usual = F.broadcast(usual)
     inside = F.lit(True)
     for c, least in LEAST.items():
         low, mid, high = (F.col(f"_{c}")[i] for i in range(3))
