@@ -13,7 +13,8 @@ bucket together. Minimisers that very many documents share would make hot bucket
 of hashes: a window takes one only if all its candidates are such, and then lies within what the documents share. Which ones,
 a sample of slices says; any choice gives the same result. The number of buckets follows the size of the input, so that a bucket is about `BUCKET_BYTES`.
 
-Windows are compared by 64-bit hashes, and equal ones once more by their first, middle and last words and their length.
+Windows are compared by 64-bit hashes, and equal ones once more by a second, independent hash of their words. Both are of
+the words alone: what white space stands between them does not matter.
 
 Defined results: null and short texts have no windows and lose nothing; a null doc_id is larger
 than all others, and rows of one doc_id never remove each other's words; repeated rows give repeated rows; extra
@@ -30,9 +31,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafgate.llm.textarrays import NON_SPACE, Texts, U, Words, chunks, covered, ragged, sliding_argmin, strings
+from leafgate.llm.textarrays import NON_SPACE, Texts, U, Words, chunks, covered, mix, powers, ragged, sliding_argmin, strings
 
 WINDOW, MINI = 13, 3
+PROOF_MULT = 0xA0761D6478BD642F
 BUCKET_BYTES = 16 << 20
 HELD_BYTES = 48 << 20
 PART_BYTES = 8 << 20
@@ -92,22 +94,33 @@ def twin_of() -> Column:
 def least_owner(hashes: np.ndarray, owner: np.ndarray, proof: np.ndarray) -> np.ndarray:
     """For each window: the smallest owner of an equal one. proof: rows of further hashes that equal windows share."""
     order = np.lexsort((owner, hashes))
-    h = hashes[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    same = ~new
-    for row in proof:
-        p = row[order]
-        new[1:] |= same[1:] & (p[1:] != p[:-1])
+    new, split = _breaks(hashes[order], proof[:, order])
+    if split:  # different windows of one hash: those that the proof tells apart must not lie between equal ones
+        order = np.lexsort((owner, *proof, hashes))
+        new, _ = _breaks(hashes[order], proof[:, order])
     at = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     out = np.empty(len(owner), owner.dtype)
     out[order] = owner[order][at]
     return out
 
 
+def _breaks(hashes: np.ndarray, proof: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Where other windows begin, and whether any of those have the hash of the one before."""
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    split = ~new
+    split[1:] &= (proof[:, 1:] != proof[:, :-1]).any(axis=0)
+    return new | split, bool(split.any())
+
+
 def _proof(words: Words, at: np.ndarray) -> np.ndarray:
-    ends = words.end[at + WINDOW - 1] - words.start[at]
-    return np.stack([words.hash[at], words.hash[at + WINDOW // 2], words.hash[at + WINDOW - 1], ends.astype(U)]) if len(at) else np.zeros((4, 0), U)
+    """A second hash of the words of each window."""
+    own = mix(words.hash ^ U(PROOF_MULT))
+    p = powers(PROOF_MULT, WINDOW)
+    out = np.zeros(len(at), U)
+    for j in range(WINDOW):
+        out += own[at + j] * p[j]
+    return mix(out)[None]
 
 
 def _decided(batch: pa.RecordBatch, doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[int | None, int, bytes]]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from leafgate.llm import substring, suffixes
@@ -64,6 +65,23 @@ def test_words_equal_brute_force(make, seed):
     assert got == brute_words(docs)
 
 
+@pytest.mark.parametrize("far", [False, True])  # in one slice, and only meeting in a bucket
+def test_spacing_between_words_does_not_matter(make, monkeypatch, far):
+    if far:
+        monkeypatch.setattr(substring, "SLICE", 1)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i + 1, "start%d " % i + gap.join(words) + " end%d" % i) for i, gap in enumerate([" ", "\r\n", " ", "  ", "\n\n", "\t"])]
+    got = rows(substring.substring_dedup(make(*docs)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_words(docs)
+    assert [r[2] for r in got] == [0, 30, 30, 30, 30, 30]
+
+
+def test_windows_of_one_hash_are_told_apart_by_the_proof():
+    hashes, owner = np.full(4, 7, np.uint64), np.array([1, 2, 3, 4])
+    proof = np.array([[5, 6, 5, 6]], np.uint64)
+    assert substring.least_owner(hashes, owner, proof).tolist() == [1, 2, 1, 2]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_bytes_equal_brute_force(make, seed):
     docs = given(seed)
