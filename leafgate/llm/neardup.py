@@ -11,11 +11,12 @@ the threshold shares none with a probability below 0.0001.
 Exact copies are one text from the start. In each group of texts that share a sketch, every text
 is compared with two leaders: the text that shares most sketches with others, and the first by a hash that differs by band;
 and with the first of those that share the next one, two or three sketches too. So the number of compared pairs follows the number
-of members, not its square, in groups of any size. Two members that match neither leader meet in the smaller groups
-and, under other leaders, in the other bands. Classes are the connected components.
+of members, not its square, where the members are copies of one text. What that leaves apart is compared in full: in each
+group that still holds more than one component, all pairs of different components, blocks of about `TOGETHER` members
+against each other. So any two near copies that share a sketch are in one class. Classes are the connected components.
 
-The text of a leader is dealt to as many tasks as its members need, so a group may hold any part of
-all rows. Components cut their lineage by tables in the shared folder.
+The text of a leader is dealt to as many tasks as its members need, and a group's blocks to as many as they are, so a group
+may hold any part of all rows; one of n different texts that are no copies costs n * n / 2 comparisons. Components cut their lineage by tables in the shared folder.
 
 Defined results: fewer than five words are one k-mer; a null or wordless text is in a class of its
 own; equal texts share a class; rows with one doc_id are one document, and a null doc_id stands in a class
@@ -32,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leafgate.llm.tables import written
-from leafgate.llm.textarrays import NON_SPACE, U, Words, chunks, mix, texts_of
+from leafgate.llm.textarrays import NON_SPACE, Texts, U, Words, chunks, mix, texts_of
 
 K, TAKE, BANDS, THRESHOLD = 5, 3, 16, 0.8
 PER_TASK = 200
+#: Members, and bytes of their texts, of one block of a group that is compared in full; bytes of a bucket of pairs of blocks.
+TOGETHER, BLOCK_BYTES, BUCKET_BYTES = 500, 4 << 20, 8 << 20
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -117,15 +120,15 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
-    """id and sketches of every text with words."""
+    """id, sketches and bytes of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in chunks(batches):
             some, sk = sketches(*labels(Words(t, NON_SPACE)), t.n)
             ids = batch.column("doc_id").take(pa.array(some))
-            yield pa.RecordBatch.from_arrays([ids, pa.FixedSizeListArray.from_arrays(pa.array(sk.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], ["id", "sketches"])
+            yield pa.RecordBatch.from_arrays([ids, pa.FixedSizeListArray.from_arrays(pa.array(sk.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64())), pa.array(np.diff(t.offs)[some].astype(np.int64))], ["id", "sketches", "bytes"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, sketches array<long>")
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, sketches array<long>, bytes long")
 
 
 def _pairs(sketched: DataFrame) -> DataFrame:
@@ -188,8 +191,56 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("class"))
 
 
+def _across(sketched: DataFrame, named: DataFrame, docs: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between texts that share a sketch and are in different components so far. named: id, class."""
+    each = sketched.join(named.hint("merge"), "id", "left").select("id", F.coalesce("class", "id").alias("class"), "bytes", F.posexplode("sketches").alias("band", "sketch"))
+    blocks = F.ceil(F.greatest(F.count("*") / TOGETHER, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    groups = each.groupBy("band", "sketch").agg(blocks, F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    groups = groups.where("n > 2 and low < high").select("band", "sketch", "blocks")  # of two, one has led
+    members = written(each.join(groups.hint("merge"), ["band", "sketch"]).withColumn("block", F.expr("cast(pmod(xxhash64(id, band), blocks) as int)")), "apart")
+    size = members.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0]
+    if size is None:
+        return None
+    buckets = int(size / BUCKET_BYTES) + 8
+    dealt = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("block", "other"), "k": F.greatest("block", "other")})
+    texts = docs.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = written(texts.join(sketched.select("id", "sketches").hint("merge"), F.col("doc_id") == F.col("id")).select("id", "sketches", "text"), "texts")
+    dealt = dealt.select("id", "class", "band", "sketch", "block", "i", "k").join(texts.hint("merge"), "id")
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys = np.stack([table[c].to_numpy().astype(np.int64) for c in ("band", "sketch", "i", "k")])
+        order = np.lexsort(keys)
+        cut = np.flatnonzero((keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)) + 1
+        found: list[tuple[int, int]] = []
+        for at in np.split(order, cut):
+            part = table.take(pa.array(at)).combine_chunks()
+            ids, own, block, (band, _, i, k) = part["id"].to_numpy(), part["class"].to_numpy().copy(), part["block"].to_numpy(), keys[:, at[0]]
+            if (own == own[0]).all():
+                continue
+            before = np.array(part["sketches"].to_pylist(), np.int64)[:, :band]
+            said = [x for b in part.select(["text"]).to_batches() for _, t in chunks(iter([b])) for x in _each(t)]
+            n = np.array([len(x) for x in said])
+            for x in range(len(at) - 1):
+                y = np.arange(x + 1, len(at))
+                y = y[(own[y] != own[x]) & ((i == k) | (block[y] != block[x])) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-6)]
+                for z in y[(before[y] != before[x]).all(axis=1)].tolist():  # others meet in the group of an earlier band
+                    if own[z] != own[x] and similarity(said[z], said[x], threshold) >= threshold:
+                        found.append((int(ids[z]), int(ids[x])))
+                        own[own == own[z]] = own[x]
+        return pa.table({"id": pa.array([u for u, _ in found], pa.int64()), "leader": pa.array([v for _, v in found], pa.int64())})
+
+    bucket = F.pmod(F.xxhash64("band", "sketch", "i", "k"), F.lit(buckets))
+    return written(dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(meet, "id long, leader long"), "across")
+
+
+def _each(texts: Texts) -> list[np.ndarray]:
+    """Labels of each text."""
+    label, doc = labels(Words(texts, NON_SPACE))
+    return np.split(label, np.searchsorted(doc, np.arange(1, texts.n)))
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links between different texts, by the smallest doc_id of each: id, leader. With copies: id, leader of equal texts."""
+    """id, leader: links that join the near copies of each class, by the smallest doc_id of each text. With copies: id, leader of equal texts."""
     # the lists of ids grow with the documents: they are joined by shuffle at every size
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     same = docs.select("doc_id", F.md5("text").alias("h"), F.length("text").alias("n"))
@@ -199,7 +250,11 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = written(_pairs(sketched), "pairs")
     needed = pairs.select(F.explode(F.array("id", "leader")).alias("doc_id")).distinct()
     texts = docs.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = _verified(pairs, written(texts, "texts"), threshold)
+    named = components(_verified(pairs, written(texts, "texts"), threshold))
+    found = named.select("id", F.col("class").alias("leader"))
+    across = _across(sketched, named, docs, threshold)
+    if across is not None:
+        found = found.unionByName(across)
     # copies of a text without words are no near copies: each stays alone
     copies = copies.join(sketched.select(F.col("id").alias("leader")), "leader", "left_semi").select("id", "leader")
     return found.unionByName(copies)

@@ -2,6 +2,9 @@ import random
 
 import numpy as np
 
+import pytest
+
+from leafgate.llm import neardup
 from leafgate.llm.neardup import classes, components, deduplicated, similarity
 from tests.llm.conftest import rows
 
@@ -49,6 +52,22 @@ def test_classes_of_planted_copies(make):
     assert sorted({k for k in kept if k is not None}) == sorted(set(want.values())) and None in kept
 
 
+@pytest.mark.parametrize("together", [500, 150])  # in one block, and in many
+def test_pairs_on_one_template(make, monkeypatch, together):
+    """All texts share sketches with all others, and each is like its partner alone."""
+    monkeypatch.setattr(neardup, "TOGETHER", together)
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, docs = fresh(340), []
+    for i in range(200):
+        own = fresh(60)
+        docs += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:18] + fresh(42)))]
+    label = [neardup.labels(neardup.Words(neardup.texts_of(neardup.pa.array([t])), neardup.NON_SPACE))[0] for _, t in docs]
+    assert all(similarity(label[i], label[i + 1]) >= 0.8 for i in range(0, 400, 2))
+    assert all(similarity(label[0], x) < 0.8 for x in label[2:])
+    assert rows(classes(make(*docs)), "doc_id", "class_id") == [(i, i - i % 2) for i in range(400)]
+
+
 def test_components_of_a_chain_and_empty_tables(spark, make):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i != 15] + [(5, 5)], "id long, leader long")
     got = dict(rows(components(edges), "id", "class"))
