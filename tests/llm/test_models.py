@@ -70,6 +70,16 @@ def test_quality_counts(make):
     assert fertility.quality(make((1, "a")).limit(0), queries.vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_quality_bands_reject_what_the_base_rules_keep(spark):
+    at = "/root/testdata/sf0.01"
+    good = {r["doc_id"] for r in spark.read.parquet(f"{at}/labels.parquet").where("quality = 1").collect()}
+    past = [r for r in queries.QUERIES["op5_quality"](spark, at).collect() if not r["base_failed"]]
+    junk = [r["kept"] for r in past if r["n_symbols"] > r["n_words"]]
+    clean = [r["kept"] for r in past if r["doc_id"] in good and r["n_symbols"] <= r["n_words"]]
+    assert junk and junk.count(False) >= len(junk) / 4
+    assert clean and clean.count(False) <= len(clean) / 50
+
+
 def test_tokens_are_those_of_whole_texts():
     import sentencepiece
 
