@@ -2,28 +2,32 @@
 
 A page becomes a tree: end tags that HTML lets authors omit are implied (a paragraph ends where a
 block begins, a list item, table cell, row or option where the next one does), stray end tags are
-ignored, elements deeper than `DEEPEST` hang on that level. Then the tree is rendered. Everything a browser would
-show is kept, navigation and footers too; what it would not show is left out: head, scripts, styles, templates,
-`hidden`, `display:none`, `visibility:hidden`, closed details and dialogs, and fallback content.
+ignored; what lies in elements deeper than `DEEPEST` hangs on that level, in its order, and their hiding and end tags hold. Tags are read
+as HTML says: a quote opens a value only after an equals sign. Then the tree is rendered. Everything a browser would
+show is kept, navigation, footers, formulas and the labels of drawings too; what it would not show is left out: head, scripts, styles, templates,
+`hidden`, `display:none`, closed details and dialogs, and fallback content. `visibility` is inherited: what it hides is left out, but for
+descendants that are set visible again.
 Runs of white space become one space. Blocks begin on a new line, paragraphs, headings, lists and tables
 stand between blank lines; items carry a bullet or number and are indented by level; preformatted text
 stays as it is; the cells of a table's columns are aligned (up to `WIDEST` characters, so a long cell widens nothing but itself),
-row and column spans included.
+row and column spans included, the latter up to `MOST_SPAN` as HTML has it.
 
 Defined results: a null or empty page gives an empty text and zero counts; text without tags is itself; an unclosed
-comment, tag or script reaches to the end of the page; repeated rows give repeated rows; extra columns are ignored.
+comment or script reaches to the end of the page, and so does a tag after which no > follows; a tag whose quote never closes ends at its first >; however long
+and deep a page is, it is read whole; repeated rows give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-DEEPEST, WIDEST, MOST_SPAN = 150, 60, 200
+DEEPEST, WIDEST, MOST_SPAN = 150, 60, 1000
 RESULT = "page_id long, title string, text string, n_lines long, n_items long, n_tables long"
 
 _words = lambda s: frozenset(s.split())
@@ -31,7 +35,7 @@ _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 RAW = _words("script style xmp iframe noembed noframes noscript")
 RCDATA = _words("title textarea")
-UNSEEN = _words("head title script style template noscript iframe noembed noframes object audio video canvas datalist meta link base svg math")
+UNSEEN = _words("head title script style template noscript iframe noembed noframes object audio video canvas datalist meta link base desc metadata defs symbol annotation annotation-xml")
 PARAGRAPH_ENDERS = _words("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd")
 BLOCK = PARAGRAPH_ENDERS | _words("html body caption tr td th thead tbody tfoot option optgroup legend")
 SPACED = _words("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure menu dir")
@@ -52,9 +56,13 @@ IMPLIED = {
     "body": (_words("head"), _words("html")),
 }
 _SCOPE = _words("table td th caption button object template html")
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+    r"(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^ \t\n\r\f>]*+))?+)*+)>"
+)
+_ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)\"|'([^']*+)'|((?![\"'])[^ \t\n\r\f>]*+)))?+")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _BREAK = "\x00"
 
@@ -70,11 +78,54 @@ class Node:
         return (
             self.tag in UNSEEN
             or "hidden" in a
-            or ("style" in a and bool(_HIDING.search(a["style"])))
+            or ("style" in a and bool(_NOT_SHOWN.search(a["style"])))
             or (self.tag == "dialog" and "open" not in a)
         )
 
 
+def _visible(node: Node, shown: bool) -> bool:
+    """Takes out what `visibility` hides; whether anything is left. shown: what the node inherits."""
+    if m := [*_VISIBILITY.finditer(node.attributes.get("style", ""))]:
+        shown = m[-1][1].lower() in ("visible", "initial")
+    node.children = [c for c in node.children if (shown if isinstance(c, str) else _visible(c, shown))]
+    return shown or bool(node.children)
+
+
+class Deep:
+    """Open elements beyond the deepest level, of which only tags and hiding are kept."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool]] = []
+        self.count: Counter[str] = Counter()
+
+    def hidden(self) -> bool:
+        return bool(self.open) and self.open[-1][1]
+
+    def push(self, node: Node) -> None:
+        self.open.append((node.tag, self.hidden() or node.hidden() or any(m[1].lower() in ("hidden", "collapse") for m in _VISIBILITY.finditer(node.attributes.get("style", "")))))
+        self.count[node.tag] += 1
+
+    def close(self, tag: str) -> bool:
+        """Whether an element of that tag was open here; it and what it holds is closed."""
+        if not self.count[tag]:
+            return False
+        while self.open:
+            last = self.open.pop()[0]
+            self.count[last] -= 1
+            if last == tag:
+                break
+        return True
+
+    def start(self, tag: str) -> None:
+        """What a start tag ends by implication."""
+        if self.open and (self.open[-1][0] == "p" and tag in PARAGRAPH_ENDERS or tag in IMPLIED and self.open[-1][0] in IMPLIED[tag][0]):
+            self.close(self.open[-1][0])
+
+    def clear(self) -> None:
+        self.open.clear()
+        self.count.clear()
+
+
 def _attributes(said: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(said):
@@ -86,10 +137,11 @@ def parse(page: str) -> Node:
     page = page.replace(_BREAK, "")
     root = Node("html")
     stack = [root]
+    deep = Deep()
     at, n = 0, len(page)
 
     def text(said: str) -> None:
-        if said:
+        if said and not deep.hidden():
             stack[-1].children.append(unescape(said) if "&" in said else said)
 
     def close(tags: frozenset[str], stop: frozenset[str]) -> None:
@@ -122,6 +174,11 @@ def parse(page: str) -> Node:
             at = m.end()
             tag = m[2].lower()
             if m[1]:
+                if deep.open and (deep.close(tag) or tag in FORMATTING):
+                    if tag in BLOCK and not deep.hidden():
+                        stack[-1].children.append(Node(tag))  # nothing but a line's end
+                    continue
+                open_now = len(stack)
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         del stack[i:]
@@ -130,15 +187,20 @@ def parse(page: str) -> Node:
                         break  # it ends no block that began inside
                     if stack[i].tag in _SCOPE and tag not in IMPLIED and tag != "table":
                         break
+                if len(stack) < open_now:
+                    deep.clear()
                 continue
-            if tag in PARAGRAPH_ENDERS:
+            if deep.open:
+                deep.start(tag)
+            elif tag in PARAGRAPH_ENDERS:
                 close(frozenset(["p"]), _SCOPE)
-            if tag in IMPLIED:
+            if tag in IMPLIED and not deep.open:
                 close(*IMPLIED[tag])
             if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in stack)):
                 continue
             node = Node(tag, _attributes(m[3]) if m[3] else None)
-            stack[-1].children.append(node)
+            if not deep.hidden():
+                stack[-1].children.append(node)
             if tag in VOID:
                 continue
             if tag in RAW or tag in RCDATA:
@@ -149,6 +211,9 @@ def parse(page: str) -> Node:
                 at = n if gt < 0 else gt + 1
             elif len(stack) < DEEPEST:
                 stack.append(node)
+            else:
+                deep.push(node)
+    _visible(root, True)
     return root
 
 

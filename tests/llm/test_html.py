@@ -1,3 +1,6 @@
+import random
+from html.parser import HTMLParser
+
 import pytest
 
 from leafgate.llm.htmltext import extracted, render
@@ -43,3 +46,56 @@ def test_rows(spark):
     got = sorted(((r["page_id"] or 0), r["title"], r["text"], r["n_lines"], r["n_items"], r["n_tables"]) for r in extracted(pages).collect())
     assert got == [(0, "", "z", 1, 0, 0), (1, "a b", "- x\n\ny", 3, 1, 1), (2, "", "", 0, 0, 0), (2, "", "", 0, 0, 0)]
     assert extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a<a href=it's>b</a>c</p> tail", "abc\n\ntail"),
+        ('<p>x<a class="a"b">y</a> rest "q" end', 'xy rest "q" end'),
+        ("<p class=o'brien>hello</p> x", "hello\n\nx"),
+        ('<img alt="5" tall">text', "5text"),
+        ("<a title=don't href=x>a</a> it's fine <b>z", "a it's fine z"),
+        ('<p title="x>open</p> and <b>more</b>', "open\n\nand more"),
+        ("<a\nhref = 'q>r' b=c>k</a>", "k"),
+        ("<a href=>e</a><a =x>f</a>", "ef"),
+        ("x < y <b", "x < y"),
+        ('<div style="visibility:hidden">no<p style="visibility:visible">yes</p>no</div>', "yes"),
+        ('<ul style="visibility: collapse"><li>no</ul><p>yes', "yes"),
+        ('<div style="display:none">no<p style="visibility:visible">no</p></div>yes', "yes"),
+        ("<svg><title>t</title><desc>d</desc><text>label</text></svg><math><mi>x</mi><annotation>a</annotation></math>", "labelx"),
+    ],
+)
+def test_tags_are_read_as_html_says(page, text):
+    assert render(page)[1] == text
+
+
+def test_elements_beyond_the_deepest_keep_their_order_hiding_and_ends():
+    inner = "deep<span hidden>no<b>no</b></span> er<p>par</div>two"
+    page = "<div>" * 400 + inner + "</div>" * 400 + "out"
+    assert render(page)[1] == "deep er\npar\ntwo\nout"
+    assert render("<div>" * 50_000 + "x" + "</div>" * 50_000 + "y")[1] == "x\ny"
+    assert render("<li>" * 1000 + "k")[2] == 1000
+
+
+def test_visible_words_are_those_of_the_standard_librarys_tokeniser():
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.said = []
+
+        def handle_data(self, data):
+            self.said.append(data)
+
+    rng = random.Random(4)
+    value = lambda: rng.choice(['"a b"', "'c>d'", "it's", 'x"y', "", "z", "'\"'", '"\'"'])
+    tag = lambda: rng.choice(["b", "i", "span", "p", "div", "li", "td", "em"])
+    for _ in range(2000):
+        page = ""
+        for k in range(rng.randint(1, 12)):
+            attributes = "".join(f" {rng.choice(['class', 'href', 'x'])}{rng.choice(['=', ' = '])}{value() or 'v'}" for _ in range(rng.randint(0, 3)))
+            page += rng.choice([f"w{k} ", f"<{tag()}{attributes}>", f"</{tag()}>", f"w{k}&amp;\n"])
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert "".join(render(page)[1].replace("-", "").split()) == "".join("".join(plain.said).split()), page
