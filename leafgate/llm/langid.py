@@ -3,7 +3,9 @@
 One model of order `ORDER` per language over the letters of a word with its ends, kept as sorted
 64-bit n-gram hashes with their discounted probabilities, and sorted context hashes with their
 back-off mass. A text goes to the language of the lowest cross-entropy per character. A text is
-rejected where even that lies above what `CALIBRATION` held-back documents of the language show.
+rejected where even that lies above the limit of its language. Limits come from pieces of `PIECE` letters of the one in `CALIBRATION` sampled documents
+that are held back: their median entropy, and the larger of `SPREADS` spreads (median to ninth decile) and `NOISE` of the way to the entropy of noise.
+A language with fewer than `FEW` pieces has the limits of all pieces together, and without any piece the limit is from noise alone: there is always one.
 
 Training reads whole texts of a bounded sample: about `sample_bytes` per language (a hash of the
 doc_id decides, so the sample is the same in every run). The model that is sent to the executors
@@ -29,8 +31,8 @@ ORDER = 5
 SAMPLE_BYTES = 3_000_000
 #: One in so many sampled documents is not learned from, but sets the threshold of rejection.
 CALIBRATION = 8
-#: A text is rejected only beyond so much of the way from its language's entropy to that of noise.
-NOISE = 0.6
+#: A text is rejected only beyond so much of the way from its language's entropy to that of noise, and so many spreads.
+NOISE, SPREADS, PIECE, FEW = 0.6, 8, 200, 20
 CACHE = 1_500_000
 CHUNK = 2 << 20
 PAD, END = 1, 2
@@ -155,18 +157,39 @@ class Scorer:
                 self.known, self.bits = both[order], np.concatenate([self.bits, new])[order]
         return bits[which]
 
-    def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Bits by text and language, and characters by text."""
+    def by_word(self, texts: Texts) -> tuple[Words, np.ndarray, np.ndarray]:
+        """The words of texts, bits by word and language, and characters by word."""
         words, at, which = distinct_words(texts)
         n_lang = len(self.model.langs)
         if not len(at) or not n_lang:
-            return np.zeros((texts.n, n_lang)), np.zeros(texts.n)
+            return words, np.zeros((len(which), n_lang)), np.zeros(len(which))
         grams = Grams(lowered(texts, words, at))
         each = self._of(grams)
-        out = np.empty((texts.n, n_lang))
-        for k in range(n_lang):
-            out[:, k] = np.bincount(words.doc, np.bincount(grams.word, each[:, k], len(at))[which], texts.n)
-        return out, np.bincount(words.doc, np.bincount(grams.word, minlength=len(at))[which], texts.n)
+        bits = np.stack([np.bincount(grams.word, each[:, k], len(at)) for k in range(n_lang)], axis=1)
+        return words, bits[which], np.bincount(grams.word, minlength=len(at))[which]
+
+    def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Bits by text and language, and characters by text."""
+        words, bits, chars = self.by_word(texts)
+        out = np.zeros((texts.n, bits.shape[1]))
+        for k in range(bits.shape[1]):
+            out[:, k] = np.bincount(words.doc, bits[:, k], texts.n)
+        return out, np.bincount(words.doc, chars, texts.n)
+
+    def pieces(self, texts: Texts, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each full piece of the texts: its text, and its entropy in the language of that text."""
+        words, bits, chars = self.by_word(texts)
+        own = np.array([self.model.langs.index(x) if x in self.model.langs else -1 for x in langs])
+        before = np.cumsum(chars) - chars
+        first = words.first[:-1]
+        begin = before[np.minimum(first, len(before) - 1)] if len(before) else np.zeros(texts.n)
+        known = own[words.doc] >= 0
+        key = (words.doc.astype(np.int64) << 40 | ((before - begin[words.doc]) // PIECE).astype(np.int64))[known]
+        piece, which = np.unique(key, return_inverse=True)
+        n = np.bincount(which, chars[known], len(piece))
+        total = np.bincount(which, bits[np.arange(len(bits)), own[words.doc]][known], len(piece)) if len(piece) else n
+        full = n >= PIECE / 2
+        return (piece >> 40)[full], (total / np.maximum(n, 1))[full]
 
 
 def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -199,14 +222,19 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch, texts in chunks(batches):
-            bits, n = scorer(texts)
-            own = [scorer.model.langs.index(x) if x in scorer.model.langs else -1 for x in batch.column("lang").to_pylist()]
-            ok = np.flatnonzero((n >= 60) & (np.array(own) >= 0))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column("lang")[i].as_py() for i in ok], pa.string()), pa.array(bits[ok, np.array(own)[ok]] / n[ok])], ["lang", "h"])
+            langs = batch.column("lang").to_pylist()
+            doc, h = scorer.pieces(texts, langs)
+            yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in doc], pa.string()), pa.array(h)], ["lang", "h"])
 
-    spread = sample.where(kept_back).mapInArrow(calibrate, "lang string, h double").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"), F.max("h").alias("top"), F.count("*").alias("n")).collect()
+    middle = [F.percentile("h", p).alias(n) for p, n in ((0.5, "m"), (0.9, "top"))]
+    seen = sample.where(kept_back).mapInArrow(calibrate, "lang string, h double")
+    spread = {r["lang"]: r for r in seen.rollup("lang").agg(*middle, F.count("*").alias("n")).collect()}  # null: of all languages
     flat = -np.log2(model.floor)  # texts of several known languages stay: their entropy lies below that of noise
-    model.limits = {r["lang"]: (max(r["m"] + 8 * r["s"], r["top"], r["m"] + NOISE * (flat - r["m"])), r["s"]) for r in spread if r["n"] >= 20}
+    for lang in model.langs:
+        r = spread.get(lang)
+        r = r if r and r["n"] >= FEW else spread.get(None)
+        m, s = (r["m"], r["top"] - r["m"]) if r and r["n"] else (flat / 2, 0.0)
+        model.limits[lang] = (m + max(SPREADS * s, NOISE * (flat - m)), s)
     return model
 
 
@@ -228,8 +256,8 @@ class Decision:
                 text = texts.buf[texts.offs[i] : texts.offs[i + 1]].tobytes().decode("utf-8", "replace")
                 ok[i] = bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
             self.lang[ok], self.score[ok], self.bits[ok] = best[ok], (1 / odds.sum(1))[ok], low[ok]
-            limit = np.array([model.limits.get(x, (np.inf, 0))[0] for x in model.langs])
-            slack = np.array([8 * model.limits.get(x, (np.inf, 0))[1] for x in model.langs])
+            limit = np.array([model.limits[x][0] for x in model.langs])
+            slack = np.array([SPREADS * model.limits[x][1] for x in model.langs])
             self.rejected = ~ok | (low > limit[best] + slack[best] * 60 / np.maximum(n, 1))
 
 
