@@ -9,9 +9,9 @@ from pyspark.sql import Column, functions as F
 
 #: Upper-case words that stay. Fixed values.
 ACRONYMS = (
-    "AI ML UK US EU UN NATO FBI CIA NASA CEO CFO CTO HR IT PR ID OK TV PC USB PDF MP3 TTS GPU CPU RAM API URL "
-    "HTML CSS SQL GMT EST PST BC AD WWII WWI USA UAE PTSD DNA RNA VIP RSVP"
-).split()
+    "AI", "ML", "UK", "US", "EU", "UN", "NATO", "FBI", "CIA", "NASA", "CEO", "CFO", "CTO", "HR", "IT", "PR", "ID", "OK", "TV", "PC", "USB", "PDF", "MP3", "TTS", "GPU",
+    "CPU", "RAM", "API", "URL", "HTML", "CSS", "SQL", "GMT", "EST", "PST", "BC", "AD", "WWII", "WWI", "USA", "UAE", "PTSD", "DNA", "RNA", "VIP", "RSVP",
+)
 #: Forms of a heading line, each from the line's start, whatever the case. Fixed values.
 HEADINGS = (
     r"chapter\s+[\divxlcdm]+",
@@ -58,10 +58,19 @@ def strip_controls(t: Column) -> Column:
     return F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 
 
-def deshout(t: Column, acronyms: list[str] | tuple[str, ...] = tuple(ACRONYMS)) -> Column:
-    """Whole words of three or more A-Z keep only their first capital, unless they are acronyms."""
-    calm = lambda w: F.when(w.rlike("^[A-Z]{3,}$") & ~w.isin(*acronyms), F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1 << 30)))).otherwise(w)
-    return F.array_join(F.transform(F.split(t, r"(?U)\b"), calm), "")
+_MARK = "\uffff"  # no character: texts that hold it all the same go the slower way
+
+
+def _calm(w: Column, acronyms: list[str] | tuple[str, ...]) -> Column:
+    return F.when(w.isin(*acronyms), w).otherwise(F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1 << 30))))
+
+
+def deshout(t: Column, acronyms: list[str] | tuple[str, ...] = ACRONYMS) -> Column:
+    """Whole words of three or more A-Z keep only their first capital, unless they are acronyms. Texts without three capitals in a row pass as they are."""
+    parts = F.split(F.regexp_replace(t, r"(?U)(?=[A-Z]{3})\b([A-Z]{3,})\b", f"{_MARK}$1{_MARK}"), _MARK)  # every second one is such a word
+    marked = F.array_join(F.transform(parts, lambda w, i: F.when(i % 2 == 1, _calm(w, acronyms)).otherwise(w)), "")
+    every = F.array_join(F.transform(F.split(t, r"(?U)\b"), lambda w: F.when(w.rlike("^[A-Z]{3,}$"), _calm(w, acronyms)).otherwise(w)), "")
+    return F.when(~t.rlike("[A-Z]{3}"), t).when(t.contains(_MARK), every).otherwise(marked)
 
 
 def strip_ends(t: Column) -> Column:
@@ -77,8 +86,8 @@ def clean(t: Column) -> Column:
 
 def split_lines(t: Column) -> Column:
     """Lines by any Unicode line end; none after the last end, none in an empty text."""
-    parts = F.split(t, _LINE_ENDS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole = F.regexp_replace(t, f"(?:{_LINE_ENDS})\\z", "")  # the last line's end opens no further line
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(whole, _LINE_ENDS))
 
 
 def split_sentences(t: Column) -> Column:

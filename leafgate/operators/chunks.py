@@ -1,39 +1,60 @@
-"""Greedy chunks of sentences, bounded by characters or words. A longer sentence stays whole."""
+"""Greedy chunks of sentences, bounded by characters or words. A longer sentence stays whole.
+
+What a chunk holds depends on all sentences before it, so this is one Arrow pass over the texts, linear in their length.
+White space is all of Unicode's. A null text is empty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Callable
 
-from leafgate.functions.text import split_sentences, strip_ends, word_count
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 CHARS, WORDS = 4000, 200
+_BETWEEN = re.compile(r"(?<=[.!?])\s+")
 
 
-def by_chars(text: Column, size: int = CHARS) -> Column:
-    """Chunks are stripped; an empty text has none."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+def _grouped(sentences: list[str], sizes: list[int], most: int, gap: int = 0) -> list[list[str]]:
+    """Sentences in order, a new group where one more would be beyond `most`. gap: what each one held adds to its size."""
+    out: list[list[str]] = []
+    used = 0
+    for s, n in zip(sentences, sizes):
+        if not out or used + n > most:
+            out.append([])
+            used = 0
+        out[-1].append(s)
+        used += n + gap
+    return out
 
-    def add(a: Column, s: Column) -> Column:
-        full = (F.length(a["cur"]) + F.length(s) > size) & (a["cur"] != "")
-        done = F.when(full, F.array_append(a["done"], strip_ends(a["cur"]))).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.concat(F.when(full, F.lit("")).otherwise(a["cur"]), s, F.lit(" ")).alias("cur"))
 
-    last = lambda a: F.when(strip_ends(a["cur"]) != "", F.array_append(a["done"], strip_ends(a["cur"]))).otherwise(a["done"])
-    return F.aggregate(split_sentences(text), start, add, last)
+def _chunks_by_chars(text: str, size: int) -> list[str]:
+    sentences = _BETWEEN.split(text)
+    return [c for g in _grouped(sentences, list(map(len, sentences)), size, gap=1) if (c := " ".join(g).strip())]
 
 
-def by_words(text: Column, most: int = WORDS) -> Column:
-    """Sentences of a chunk are joined by one space and not stripped; an empty text has one empty chunk."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
+def _chunks_by_words(text: str, most: int) -> list[str]:
+    sentences = _BETWEEN.split(text)
+    return [" ".join(g) for g in _grouped(sentences, [len(s.split()) for s in sentences], most)]
+
 
-    def add(a: Column, s: Column) -> Column:
-        full = (a["n"] + word_count(s) > most) & (F.size(a["cur"]) > 0)
-        done = F.when(full, F.array_append(a["done"], F.array_join(a["cur"], " "))).otherwise(a["done"])
-        cur = F.when(full, F.array(s)).otherwise(F.array_append(a["cur"], s))
-        return F.struct(done.alias("done"), cur.alias("cur"), (F.when(full, F.lit(0)).otherwise(a["n"]) + word_count(s)).alias("n"))
+def _over(chunks: Callable[[str, int], list[str]], text: Column, most: int) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: chunks(t or "", most))
 
-    last = lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["done"], F.array_join(a["cur"], " "))).otherwise(a["done"])
-    return F.aggregate(split_sentences(text), start, add, last)
+    return run(text)
+
+
+def by_chars(text: Column, size: int = CHARS) -> Column:
+    """Chunks are stripped; an empty text has none."""
+    return _over(_chunks_by_chars, text, size)
+
+
+def by_words(text: Column, most: int = WORDS) -> Column:
+    """Sentences of a chunk are joined by one space and not stripped; an empty text has one empty chunk."""
+    return _over(_chunks_by_words, text, most)
 
 
 def chunked(rows: DataFrame, chunks: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from leafgate.functions.signal import pcm_seconds
+
 LEVEL, GAP, LEAST = 200.0, 4.0, 2.0
 
 
@@ -36,9 +38,20 @@ def gate_clips(blocks: DataFrame, key: str, order: list[str], ts: str, level: Co
 
 def clip_payloads(rows: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
     """key, clip_no, n_bytes, payload: the blocks' bytes in order. rows: of gate_blocks, with payload (binary) kept."""
-    parts = F.array_sort(F.collect_list(F.struct(*order, F.hex(payload).alias("_hex"))))
-    whole = F.unhex(F.array_join(F.transform(parts, lambda x: x["_hex"]), ""))
-    return rows.groupBy(key, "clip_no").agg(F.sum(F.octet_length(payload)).alias("n_bytes"), whole.alias("payload"))
+    return rows.groupBy(key, "clip_no").agg(*_joined(order, payload))
+
+
+def clip_audio(rows: DataFrame, key: str, order: list[str], payload: str, rate: str, channels: str) -> DataFrame:
+    """clip_payloads with sample rate, channels and seconds: all that a writer of 16-bit PCM files needs. rate and channels, kept too, are of the clip's first block."""
+    first = [F.min_by(c, F.struct(*order)).cast("int").alias(n) for c, n in ((rate, "rate"), (channels, "channels"))]
+    out = rows.groupBy(key, "clip_no").agg(*_joined(order, payload), *first)
+    return out.withColumn("seconds", pcm_seconds(F.col("n_bytes"), F.col("rate"), F.col("channels")))
+
+
+def _joined(order: list[str], payload: str) -> list[Column]:
+    by = ", ".join(f"`{c}`" for c in order)
+    whole = F.coalesce(F.expr(f"listagg(`{payload}`) within group (order by {by})"), F.lit(b""))
+    return [F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)).cast("long").alias("n_bytes"), whole.alias("payload")]
 
 
 def sample_blocks(samples: DataFrame, key: str, index: str, value: str, frames: int = 1024) -> DataFrame:

@@ -12,18 +12,26 @@ def manifest(chapters: DataFrame, chunks: Column) -> DataFrame:
     return chapters.select("book_id", "chapter_no", "title", F.size(chunks).cast("long").alias("n_chunks"), safe_name(F.col("chapter_no"), F.col("title")).alias("fname"))
 
 
-def pending(work: DataFrame, done: DataFrame, key: str | list[str] = "fname") -> DataFrame:
+#: What tells a result apart: file names are numbered anew in each book.
+KEY = ("book_id", "fname")
+
+
+def _keys(key: str | list[str] | tuple[str, ...]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def pending(work: DataFrame, done: DataFrame, key: str | list[str] | tuple[str, ...] = KEY) -> DataFrame:
     """Work whose result is not there yet."""
-    return work.join(done, key, "left_anti")
+    return work.join(done, _keys(key), "left_anti")
 
 
-def finished(work: DataFrame, done: DataFrame, key: str | list[str] = "fname") -> DataFrame:
-    return work.join(done, key, "left_semi")
+def finished(work: DataFrame, done: DataFrame, key: str | list[str] | tuple[str, ...] = KEY) -> DataFrame:
+    return work.join(done, _keys(key), "left_semi")
 
 
-def progress(work: DataFrame, done: DataFrame, key: str, by: str) -> DataFrame:
-    """Per `by`: items, items done, chunks, chunks done. work has n_chunks; done has one row for each key."""
-    flags = work.join(done.select(key, F.lit(True).alias("_done")), key, "left")
+def progress(work: DataFrame, done: DataFrame, key: str | list[str] | tuple[str, ...] = KEY, by: str = "book_id") -> DataFrame:
+    """Per `by`: items, items done, chunks, chunks done. work has n_chunks; done may name a key more than once."""
+    flags = work.join(done.select(*_keys(key)).distinct().withColumn("_done", F.lit(True)), _keys(key), "left")
     return flags.groupBy(by).agg(
         F.count("*").alias("n_items"), F.count_if("_done").alias("n_done"), F.sum("n_chunks").alias("n_chunks"), F.sum(F.when(F.col("_done"), F.col("n_chunks")).otherwise(0)).alias("chunks_done")
     )

@@ -15,6 +15,11 @@ def transcript_lines(segments: DataFrame, key: str) -> DataFrame:
     return segments.select(key, "segment_no", F.posexplode(said).alias("word_no", "line"))
 
 
+def transcript_texts(lines: DataFrame, key: str) -> DataFrame:
+    """key, text: the lines of a key in order, joined by line feeds."""
+    return lines.groupBy(key).agg(F.expr("listagg(line, '\\n') within group (order by segment_no, word_no)").alias("text"))
+
+
 def preview(lines: DataFrame, key: str, n: int = 35) -> DataFrame:
     """The first lines, a top-k by place."""
     return lines.orderBy(key, "segment_no", "word_no").limit(n)

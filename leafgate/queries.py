@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafgate.functions import signal, text as tx
 from leafgate.operators import chapters as ch, chunks, gate, lines as ln, manifest as mf, transcript as tr
-from leafgate.plans import book
+from leafgate.plans import book, engines
+from leafgate.plans.scratch import fresh
+from leafgate.plans.ship import shipped
+from leafgate.sources import files
+from leafgate.streaming.gate import gate_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +33,7 @@ def query(oracle: str | None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +314,111 @@ def transcript_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.preview(transcript_lines(spark, sf_dir), "conv_id")
 
 
-@query(None)
+_O_COUNTS = "list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {'n': len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')), 'k': 1})"
+_O_GREEDY = "list_reduce(m, lambda a, x: CASE WHEN a.n + x.n > 200 THEN {'n': x.n, 'k': a.k + 1} ELSE {'n': a.n + x.n, 'k': a.k} END).k"
+_O_MANIFEST = f"""{_O_CHAPTERS},
+k AS (SELECT book_id, chapter_no, title, {_O_CHAIN} AS t FROM (SELECT book_id, chapter_no, title, text AS t FROM c)),
+n AS (SELECT book_id, chapter_no, title, {_O_COUNTS} AS m FROM k)
+SELECT book_id, chapter_no, title, CAST({_O_GREEDY} AS BIGINT) AS n_chunks, {_O_NAME.format(n='chapter_no', t='title')} AS fname FROM n"""
+
+
+@query(_O_MANIFEST)
 def book_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path: repeated lines, chapters, cleaning, word chunks, names."""
     return book.work(_headed(spark, sf_dir))
+
+
+# sources and sinks: written to the shared folder, and read again
+
+
+@query(_O_MANIFEST)
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = fresh(spark, "manifest")
+    files.write_manifest(book_manifest(spark, sf_dir), at)
+    return spark.read.schema("chapter_no int, title string, n_chunks long, fname string, book_id string").parquet(at)
+
+
+def _books(spark: SparkSession, sf_dir: str, between: str) -> str:
+    """A text file for each source, in a folder of its own."""
+    at = fresh(spark, "books")
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", tx.text_or_empty("text").alias("text"))
+    docs.groupBy("source").agg(F.expr(f"listagg(text, '{between}') within group (order by doc_id)").alias("text")).write.partitionBy("source").text(at)
+    return at
+
+
+@query("SELECT 'source=' || source AS book_id, 1 AS chapter_no, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY source")
+def chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.chapter_files(spark, _books(spark, sf_dir, "\\n"), recursive=True).select("book_id", "chapter_no", F.md5("text").alias("digest"))
+
+
+@query("SELECT CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_no, md5(coalesce(text, '')) AS digest FROM documents")
+def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = files.extracted_pages(spark, _books(spark, sf_dir, "\\u000c"), lambda b: b.decode()[:-1].split("\f"), "*.txt", recursive=True)
+    return pages.select("page_no", F.md5("text").alias("digest"))
+
+
+@query("SELECT DISTINCT 'source=' || source AS book_id, 'txt' AS kind, true AS filled FROM documents")
+def finished_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _books(spark, sf_dir, "\\n")
+    found = files.finished_outputs(spark, at, "*.txt").withColumn("length", F.lit(1))
+    sizes = files.audio_files(spark, at, "*.txt", recursive=True).select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("book_id"), "length")
+    return found.drop("length").join(sizes, "book_id").select("book_id", F.regexp_extract("fname", r"\.([^.]*)$", 1).alias("kind"), (F.col("length") > 0).alias("filled"))
+
+
+@query(_O_TRANSCRIPT + " SELECT conv_id, md5(string_agg(line, chr(10) ORDER BY segment_no, word_no) || chr(10)) AS digest FROM o GROUP BY conv_id")
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = fresh(spark, "transcripts")
+    files.write_transcript(transcript_lines(spark, sf_dir), at, "conv_id")
+    return spark.read.schema("value string, conv_id long").text(at, wholetext=True).select("conv_id", F.md5("value").alias("digest"))
+
+
+@query("SELECT conv_id, CAST(turn AS INT) AS segment_no, coalesce(text, '') AS text, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS INT) AS n_words FROM conversations")
+def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested segments as a recogniser writes them, a JSON file for each conversation."""
+    at = fresh(spark, "recognised")
+    one = F.struct("segment_no", "start", "end", "text", "words")
+    said = _segments(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("segments"))
+    said.write.partitionBy("conv_id").json(at)
+    rows = files.transcripts(spark, at, recursive=True)
+    return rows.select(F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("long").alias("conv_id"), "segment_no", "text", F.size("words").alias("n_words"))
+
+
+@query(f"{_O_GATE} SELECT CAST(user_id AS VARCHAR) AS device, clip_no, start_ts, end_ts, n_blocks, seconds, closed FROM g WHERE seconds >= 172800")
+def stream_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of blocks of text-named devices, an end for each device, clips of two days or more to a table."""
+    at = fresh(spark, "blocks")
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("device"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    ends = events.groupBy("device").agg(F.expr("max(ts) + interval 1 second").alias("ts"), F.max("event_id").alias("event_id"), F.lit(None).cast("double").alias("value"))
+    events.unionByName(ends).write.parquet(at)
+    stream = files.block_stream(spark, at, events.schema, files_per_trigger=1_000_000)
+    clips = gate_stream(stream, "device", "ts", "event_id", "value", 60, 86400, least=172800, late="1 day")
+    query = files.write_clips(clips, f"{at}-clips", f"{at}-state", availableNow=True)
+    query.awaitTermination()
+    out = spark.read.schema("key string, clip_no long, start_ts timestamp, end_ts timestamp, n_blocks long, seconds double, closed boolean").parquet(f"{at}-clips")
+    said = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_ts", "end_ts")}
+    return out.withColumnRenamed("key", "device").withColumns({"seconds": F.round("seconds", 3), **said})
+
+
+@query(_O_GATE.rsplit("g AS (", 1)[0].rstrip().rstrip(",") + """, b AS (SELECT c.user_id, CAST(clip_no AS BIGINT) AS clip_no, coalesce(props, '') AS p, c.ts, c.event_id FROM c JOIN events USING (event_id) WHERE NOT past OR nth = 1)
+SELECT user_id, clip_no, CAST(sum(strlen(p)) AS BIGINT) AS n_bytes, 8000 AS rate, CAST(1 + arg_min(event_id, (ts, event_id)) % 2 AS INT) AS channels, round(sum(strlen(p)) / (8000 * 2 * (1 + arg_min(event_id, (ts, event_id)) % 2)), 6) AS seconds FROM b GROUP BY ALL""")
+def clip_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").withColumns({"pcm": F.coalesce("props", F.lit("")).cast("binary"), "rate": F.lit(8000), "channels": (1 + F.col("event_id") % 2).cast("int")})
+    rows = gate.gate_blocks(events, "user_id", ["ts", "event_id"], "ts", F.col("value"), 60, 86400, keep=["pcm", "rate", "channels"])
+    return gate.clip_audio(rows, "user_id", ["ts", "event_id"], "pcm", "rate", "channels").drop("payload").withColumn("seconds", F.round("seconds", 6))
+
+
+@query("SELECT doc_id, round(CASE WHEN strlen(t) < 2 THEN 0 ELSE sqrt(list_sum(list_transform(range(0, strlen(t) // 2), lambda i: pow(ascii(t[2 * i + 1]) + 256 * ascii(t[2 * i + 2]), 2))) / (strlen(t) // 2)) END, 3) AS level FROM (SELECT doc_id, substr(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 64) AS t FROM documents)")
+def pcm_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first printable letters of a text as 16-bit samples: a block."""
+    block = F.substring(F.regexp_replace(tx.text_or_empty("text"), "[^ -~]", ""), 1, 64).cast("binary")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(signal.pcm_rms(block), 3).alias("level"))
+
+
+@query(_O_WORDS + ", j AS (SELECT doc_id, c, CAST(unnest(range(1, len(c) + 1)) AS INT) AS j FROM e) SELECT source AS book_id, CAST(doc_id AS INT) AS chapter_no, j - 1 AS chunk_no, md5('voice:' || c[j]) AS digest FROM j JOIN documents USING (doc_id)")
+def synthesised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks through a registered engine, which stands for a model: it gives back the voice and the text."""
+    engines.register("echo", engines.Settings(lambda voice: lambda chunk: f"{voice}:{chunk}".encode(), "words", 200, needs_voice=True))
+    settings = book.Settings(engine="echo", voice="voice").checked()
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("chapter_no"), tx.text_or_empty("text").alias("text"))
+    audio = engines.synthesised(chunks.chunked(docs, settings.chunks(F.col("text"))), "echo", "voice")
+    return audio.select("book_id", "chapter_no", "chunk_no", F.md5("audio").alias("digest"))

@@ -5,30 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from leafgate.functions.text import stem
+from leafgate.operators.manifest import stitched
+from leafgate.operators.transcript import transcript_texts
 
 
-def chapter_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, title, text of the *.txt files of a folder. An empty folder is an error."""
-    rows = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), stem(F.col("_metadata.file_name")).alias("title"), F.col("value").alias("text"))
-    if rows.isEmpty():
+def _plain(path: Column) -> Column:
+    """A file's path or name as it stands on disk: Spark's metadata has it encoded as a URI."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _folder(path: Column) -> Column:
+    """Name of the folder that a file is in."""
+    return F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
+
+
+def _loaded(read: Callable[[], DataFrame], folder: str) -> DataFrame:
+    try:
+        return read()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+            raise FileNotFoundError(f"no folder {folder}") from e
+        raise
+
+
+def chapter_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """path, book_id (the folder that a file is in), chapter_no (from 1, in the order of names), title, text of the *.txt files of a folder. None is an error."""
+    reader = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", recursive)
+    rows = _loaded(lambda: reader.text(folder, wholetext=True), folder)
+    rows = rows.select(_plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+    names = rows.select("path").withColumn("book_id", _folder(F.col("path")))  # numbered without the texts
+    names = names.withColumn("chapter_no", F.row_number().over(Window.partitionBy(F.regexp_extract("path", "^(.*)/", 1)).orderBy("path")))
+    if names.isEmpty():
         raise FileNotFoundError(f"no .txt files in {folder}")
-    return rows
+    return rows.join(names, "path").select("path", "book_id", "chapter_no", stem(F.col("path")).alias("title"), "text")
 
 
-def audio_files(spark: SparkSession, folder: str, pattern: str = "*.mp3") -> DataFrame:
+def audio_files(spark: SparkSession, folder: str, pattern: str = "*.mp3", recursive: bool = False) -> DataFrame:
     """path, length of finished audio, by name; contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length").orderBy("path")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    return _loaded(lambda: reader.load(folder), folder).select("path", "length").orderBy("path")
+
+
+def finished_outputs(spark: SparkSession, folder: str, pattern: str = "*.mp3") -> DataFrame:
+    """book_id, fname of the audio in a folder of book folders: what manifest.pending takes as done."""
+    return audio_files(spark, folder, pattern, recursive=True).select(_folder(F.col("path")).alias("book_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"))
+
+
+def stitched_folder(spark: SparkSession, folder: str, pattern: str = "*.mp3", numeric: bool = False) -> DataFrame:
+    """The audio of one folder in the order of names, as one list, and the output beside the folder. None is an error."""
+    found = audio_files(spark, folder, pattern)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    at = F.regexp_extract("path", "^(.*)/", 1)
+    return stitched(found.select(at.alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname")), "folder", numeric=numeric).withColumn("output", F.concat("folder", F.lit("_full.mp3")))
 
 
-def extracted_pages(spark: SparkSession, folder: str, extract: Callable[[bytes], Iterable[str | None]], pattern: str = "*.pdf") -> DataFrame:
+def extracted_pages(spark: SparkSession, folder: str, extract: Callable[[bytes], Iterable[str | None]], pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
     """book_id, page_no (from 1), text, by a caller's extractor of one file's pages. No extractor is built in."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(stem(F.col("path")).alias("book_id"), "content")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    files = _loaded(lambda: reader.load(folder), folder).select(stem(F.col("path")).alias("book_id"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -46,20 +87,22 @@ def block_stream(spark: SparkSession, folder: str, schema: str | StructType, fil
 SEGMENTS = "segments array<struct<start: double, end: double, text: string, words: array<struct<start: double, word: string>>>>"
 
 
-def transcripts(spark: SparkSession, folder: str) -> DataFrame:
+def transcripts(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """path, segment_no, start, end, text, words of JSON transcripts: what a recogniser, run elsewhere, has written."""
-    rows = spark.read.schema(SEGMENTS).json(folder, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode_outer("segments").alias("segment_no", "s"))
+    reader = spark.read.schema(SEGMENTS).option("recursiveFileLookup", recursive)
+    rows = _loaded(lambda: reader.json(folder, multiLine=True), folder).select(_plain(F.col("_metadata.file_path")).alias("path"), F.posexplode_outer("segments").alias("segment_no", "s"))
     return rows.where("s is not null").select("path", "segment_no", "s.start", "s.end", "s.text", "s.words")
 
 
-def write_clips(clips: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The clips of a stream as Parquet, each once."""
-    return clips.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+def write_clips(clips: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """The clips of a stream as Parquet, each once. trigger: as of DataStreamWriter.trigger."""
+    writer = clips.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def write_transcript(lines: DataFrame, path: str, key: str) -> None:
-    """One text file of the lines in order: a transcript is for one reader."""
-    lines.orderBy(key, "segment_no", "word_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """One text file for each key, in a folder key=..: a transcript is for one reader. Keys are dealt to all tasks."""
+    transcript_texts(lines, key).write.mode("overwrite").partitionBy(key).text(path)
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:

@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from leafgate.functions.signal import pcm_rms, rms
-from leafgate.operators.gate import gate_clips, long_enough
+from leafgate.operators.gate import clip_audio, gate_clips, long_enough
+from leafgate.sources.files import block_stream, write_clips
 from leafgate.streaming.gate import drain, gate_stream
 
 T0 = datetime(2024, 1, 1)
@@ -66,7 +67,7 @@ def test_stream_equals_batch(spark, tmp_path):
         lo, hi = T0 + timedelta(seconds=30 * part), T0 + timedelta(seconds=30 * (part + 1))
         rows.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = gate_stream(stream, "k", "ts", "event", "level", late="1 day").writeStream.format("memory").queryName("clips").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = gate_stream(stream, "k", "ts", "event", "level", least=0, late="1 day").writeStream.format("memory").queryName("clips").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = sorted((r["key"], r["start_ts"], r["end_ts"], r["n_blocks"]) for r in spark.table("clips").collect())
     all_clips = gate_clips(rows, "k", ["ts", "event"], "ts", F.col("level"))
@@ -74,6 +75,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert drain(rows, "k", ["ts", "event"], "ts", "level").count() == long_enough(all_clips.where("not closed")).count()
 
 
+def test_streams_of_named_devices_end_and_drop_short_clips(spark, tmp_path):
+    blocks = {"mic α": [(0, 900), (1, 0), (5, 0), (6, 900), (7, 0)], "mic β": [(0, 900), (1, 900)], "mic γ": [(0, 900), (3, 900), (3.5, 0)], "δ": [(0, 900), (9, 900)]}
+    rows = [(k, i, T0 + timedelta(seconds=t), float(x)) for k, b in blocks.items() for i, (t, x) in enumerate(b)]
+    rows += [(k, 99, T0 + timedelta(seconds=60), None) for k in blocks if k != "δ"]  # the streams of all but one end
+    frame = spark.createDataFrame(rows, "device string, event long, ts timestamp, level double")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = block_stream(spark, str(tmp_path / "in"), frame.schema)
+    query = write_clips(gate_stream(stream, "device", "ts", "event", "level", late="1 day"), str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True)
+    query.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    sec = lambda x: (x - T0).total_seconds()
+    got = sorted((r["key"], r["clip_no"], sec(r["start_ts"]), sec(r["end_ts"]), r["n_blocks"], r["closed"]) for r in out.collect())
+    assert got == [("mic α", 1, 0, 5, 3, True), ("mic γ", 1, 0, 3.5, 3, False)]  # 6 to 7 and all of β are short, δ is still open
+    again = write_clips(gate_stream(stream, "device", "ts", "event", "level", late="1 day"), str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True)
+    again.awaitTermination()
+    assert out.count() == 2  # each clip once
+
+
+def test_audio_of_clips(spark):
+    rows = [("a", 1, i, p, 8000, 1 + (i > 0)) for i, p in enumerate([b"\x01\x02", b"", None, b"\x03\x00"])] + [("b", 1, 0, None, 44100, 2)]
+    frame = spark.createDataFrame(rows, "k string, clip_no long, pos int, pcm binary, rate int, ch int")
+    got = {r["k"]: r for r in clip_audio(frame, "k", ["pos"], "pcm", "rate", "ch").collect()}
+    a, b = got["a"], got["b"]
+    assert (bytes(a["payload"]), a["n_bytes"], a["rate"], a["channels"], a["seconds"]) == (b"\x01\x02\x03\x00", 4, 8000, 1, 4 / 16000)
+    assert (bytes(b["payload"]), b["n_bytes"], b["rate"], b["channels"], b["seconds"]) == (b"", 0, 44100, 2, 0)
+
+
 def test_levels(spark):
     row = spark.sql("select cast(array() as array<smallint>) as e, array(cast(-32768 as smallint), cast(32767 as smallint)) as s, X'0080FF7F' as b, X'' as z").select(rms(F.col("e")), rms(F.col("s")), pcm_rms(F.col("b")), pcm_rms(F.col("z"))).first()
     assert row[0] == 0 and abs(row[1] - row[2]) < 1e-9 and abs(row[1] - 32767.5) < 0.1 and row[3] == 0
