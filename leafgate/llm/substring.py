@@ -7,9 +7,10 @@ of the minimiser. There the windows of all strings are sorted, and each finds th
 that it starts in. Words under a window that also starts in a smaller document are removed.
 
 Before that, each slice of documents sorts its own windows: one that an earlier document of
-the slice holds is decided at once and does not travel. So of a passage that very many documents share, a
-bucket gets one string for each slice, not one for each document. Strings travel compressed, those of `HELD_BYTES` for one
-bucket together. Minimisers that very many documents share would make hot buckets, so they come last in the order
+the slice holds is decided at once and does not travel. Strings travel compressed, those of `HELD_BYTES` for one
+bucket together, and of equal ones among them only that of the smallest document does. So of a passage that very many documents share, a
+bucket gets one string for each `HELD_BYTES`, not one for each document; and where the input is large, strings of widely shared
+minimisers are first combined in `salts` parts, and what each part leaves is combined again. Minimisers that very many documents share would make hot buckets, so they come last in the order
 of hashes: a window takes one only if all its candidates are such, and then lies within what the documents share. Which ones,
 a sample of slices says; any choice gives the same result. The number of buckets follows the size of the input, so that a bucket is about `BUCKET_BYTES`.
 
@@ -28,9 +29,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leafgate.llm.tables import written
 from leafgate.llm.textarrays import NON_SPACE, Texts, U, Words, chunks, covered, mix, powers, ragged, sliding_argmin, strings
 
 WINDOW, MINI = 13, 3
@@ -56,12 +60,17 @@ def buckets_for(total: float, size: int = BUCKET_BYTES) -> int:
     return max(8, int(total / size) + 1)
 
 
+#: Of a table of packed strings: which stay, and rows (doc_id, twin, data) of what the others have lost to them.
+Combine = Callable[[pa.Table], tuple[np.ndarray, Iterator[tuple]]]
+
+
 class Packer:
     """Rows on their way to buckets, held until they are worth compressing together."""
 
-    def __init__(self) -> None:
+    def __init__(self, combine: Combine | None = None) -> None:
         self.held: dict[int, list[pa.RecordBatch]] = {}
         self.size = 0
+        self.combine = combine
 
     def add(self, bucket: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> None:
         """bucket ascends."""
@@ -72,16 +81,24 @@ class Packer:
         self.size += batch.nbytes
 
     def rows(self) -> Iterator[tuple]:
-        press = zstandard.ZstdCompressor(level=PRESS)
         for bucket, batches in self.held.items():
             table = pa.Table.from_batches(batches).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            yield bucket, None, None, press.compress(sink.getvalue())
+            if self.combine:
+                stay, lost = self.combine(table)
+                for r in lost:
+                    yield None, *r
+                table = table.take(pa.array(stay)) if len(stay) < table.num_rows else table
+            yield bucket, None, None, packed(table)
         self.held, self.size = {}, 0
 
 
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table.combine_chunks())
+    return zstandard.ZstdCompressor(level=PRESS).compress(sink.getvalue())
+
+
 def unpacked(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_next_batch()
 
@@ -137,6 +154,41 @@ def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns)], list(names))
 
 
+def equal_strings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a table of packed strings in the order of string, doc_id and place, and for each the first row of its string. Strings are compared byte by byte."""
+    texts = binary_texts(table["text"])
+    start, end = texts.offs[:-1], texts.offs[1:]
+    order = np.lexsort((table["at"].to_numpy(), table["doc_id"].to_numpy(), end - start, texts.hashes(start, end)))
+    h, size = texts.hashes(start, end)[order], (end - start)[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h[1:] != h[:-1]) | (size[1:] != size[:-1])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    again = np.flatnonzero(head != order)
+    text = table["text"]
+    other = again[~pc.equal(text.take(pa.array(order[again])), text.take(pa.array(head[again]))).to_numpy()]
+    head[other] = order[other]
+    return order, head
+
+
+def _combined(table: pa.Table) -> tuple[np.ndarray, Iterator[tuple]]:
+    """Strings whose words a smaller document has among the same strings lose all their windows."""
+    order, head = equal_strings(table)
+    ids, twins, at, n = (table[c].to_numpy() for c in ("doc_id", "twin", "at", "n"))
+    gone = ids[order] > ids[head]
+    lost = np.sort(order[gone])
+    row = np.repeat(lost, n[lost])
+    return np.sort(order[~gone]), _by_document(ids[row], twins[row], ragged(at[lost].astype(np.int64), n[lost].astype(np.int64)))
+
+
+def _by_document(ids: np.ndarray, twins: np.ndarray, where: np.ndarray) -> Iterator[tuple[int | None, int, bytes]]:
+    order = np.lexsort((where, twins, ids))
+    ids, twins, where = ids[order], twins[order], where[order].astype(np.int32)
+    cut = np.flatnonzero((ids[1:] != ids[:-1]) | (twins[1:] != twins[:-1])) + 1
+    for i, t, places in zip(np.split(ids, cut), np.split(twins, cut), np.split(where, cut)):
+        if len(i):
+            yield (None if i[0] == LAST else int(i[0])), int(t[0]), places.tobytes()
+
+
 class Shared:
     """Hashes of runs that very many documents share."""
 
@@ -145,13 +197,19 @@ class Shared:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.hashes & U(0xFFFFF)] = True
 
+    def places(self, values: np.ndarray) -> np.ndarray:
+        """Where shared ones are."""
+        at = np.flatnonzero(self.maybe[values & U(0xFFFFF)])
+        if not len(at):
+            return at
+        near = np.minimum(np.searchsorted(self.hashes, values[at]), len(self.hashes) - 1)
+        return at[self.hashes[near] == values[at]]
+
     def last(self, values: np.ndarray) -> np.ndarray:
         """values, where those of shared runs are the largest."""
-        at = np.flatnonzero(self.maybe[values & U(0xFFFFF)])
+        at = self.places(values)
         if not len(at):
             return values
-        near = np.minimum(np.searchsorted(self.hashes, values[at]), len(self.hashes) - 1)
-        at = at[self.hashes[near] == values[at]]
         out = values.copy()
         out[at] |= U(0xFFFFFFFF00000000)
         return out
@@ -176,13 +234,23 @@ def _runs(texts: Texts) -> np.ndarray:
     return hashes[whole]
 
 
-def super_kmers(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket set: packed strings of a slice; bucket null: windows of a document that are decided."""
+def salted(bucket: np.ndarray, minimiser: np.ndarray, shared: Shared, buckets: int, salts: int) -> np.ndarray:
+    """bucket, where strings of widely shared minimisers go to one of the `salts` parts of their bucket by task. See decided."""
+    if salts == 1:
+        return bucket
+    at = shared.places(minimiser)
+    out = bucket.copy()
+    out[at] = buckets + bucket[at] * salts + TaskContext.get().partitionId() % salts
+    return out
+
+
+def super_kmers(docs: DataFrame, buckets: int, salts: int = 1) -> DataFrame:
+    """bucket set: packed strings; bucket null: windows of a document that are decided."""
 
     shared = docs.sparkSession.sparkContext.broadcast(widely_shared(docs, _runs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer()
+        packer = Packer(_combined)
         for batch, texts in chunks(batches, most=SLICE):
             words = Words(texts, NON_SPACE)
             hashes, whole = words.windows(WINDOW)
@@ -205,11 +273,11 @@ def super_kmers(docs: DataFrame, buckets: int) -> DataFrame:
             run_length = np.diff(np.append(begin, len(open_)))
             first = open_[begin]
             last = first + run_length - 1 + WINDOW - 1
-            bucket = (mini[a[begin]] % U(buckets)).astype(np.int64)
+            bucket = salted((mini[a[begin]] % U(buckets)).astype(np.int64), mini[a[begin]], shared.value, buckets, salts)
             order = np.argsort(bucket, kind="stable")
             first, last = first[order], last[order]
             doc = words.doc[first]
-            packer.add(bucket[order], {"doc_id": ids[doc], "twin": twins[doc], "at": (first - words.first[doc]).astype(np.int32), "text": strings(texts.buf, words.start[first], words.end[last])})
+            packer.add(bucket[order], {"doc_id": ids[doc], "twin": twins[doc], "at": (first - words.first[doc]).astype(np.int32), "n": run_length[order].astype(np.int32), "text": strings(texts.buf, words.start[first], words.end[last])})
             if packer.size > HELD_BYTES:
                 rows += packer.rows()
             yield _rows(rows, ("bucket", "doc_id", "twin", "data"))
@@ -238,13 +306,7 @@ def _resolve(group: pa.Table) -> pa.Table:
     if parts:
         hashes, proof, ids, twins, where = (np.concatenate(x, axis=-1) for x in zip(*parts))
         lost = least_owner(hashes, ids, proof) < ids
-        ids, twins, where = ids[lost], twins[lost], where[lost]
-        order = np.lexsort((where, twins, ids))
-        ids, twins, where = ids[order], twins[order], where[order].astype(np.int32)
-        cut = np.flatnonzero((ids[1:] != ids[:-1]) | (twins[1:] != twins[:-1])) + 1
-        for i, t, places in zip(np.split(ids, cut), np.split(twins, cut), np.split(where, cut)):
-            if len(i):
-                rows.append((None if i[0] == LAST else int(i[0]), int(t[0]), places.tobytes()))
+        rows += _by_document(ids[lost], twins[lost], where[lost])
     return pa.Table.from_batches([_rows(rows, ("doc_id", "twin", "data"))])
 
 
@@ -257,10 +319,30 @@ def binary_texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(buf[offs[0] : offs[-1]], offs - offs[0])
 
 
-def decided(parts: DataFrame, buckets: int, resolve: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """doc_id, twin, data: decided windows, some rows for a document. parts: of super_kmers."""
-    key = F.coalesce("bucket", -1 - F.pmod(F.col("twin"), F.lit(buckets)))
-    return parts.withColumn("bucket", key).groupBy("bucket").applyInArrow(resolve, DECIDED)
+def salts_for(total: float) -> int:
+    """So many parts of hot buckets that each gets strings of some hundred packs, whatever the size of the input."""
+    return max(1, int(total / (100 * HELD_BYTES)))
+
+
+def decided(parts: DataFrame, buckets: int, resolve: Callable[[pa.Table], pa.Table], combine: Combine, salts: int = 1) -> DataFrame:
+    """doc_id, twin, data: what is decided, some rows for a document. parts: of super_kmers."""
+    parts = parts.withColumn("bucket", F.coalesce("bucket", -1 - F.pmod(F.col("twin"), F.lit(buckets))))
+    if salts == 1:
+        return parts.groupBy("bucket").applyInArrow(resolve, DECIDED)
+
+    def once(group: pa.Table) -> pa.Table:
+        """Resolves a bucket, or combines a part of a hot one."""
+        bucket = group["bucket"][0].as_py()
+        if bucket < buckets:
+            done = resolve(group)
+            return pa.table([pa.nulls(done.num_rows, pa.int32()), *done.columns], ["bucket", *done.column_names])
+        table = pa.Table.from_batches([unpacked(x.as_py()) for x in group["data"]]).combine_chunks()
+        stay, lost = combine(table)
+        return pa.Table.from_batches([_rows([((bucket - buckets) // salts, None, None, packed(table.take(pa.array(stay)))), *((None, *r) for r in lost)], ("bucket", "doc_id", "twin", "data"))])
+
+    first = written(parts.groupBy("bucket").applyInArrow(once, PARTS), "combined")
+    rest = first.where("bucket is not null").groupBy("bucket").applyInArrow(resolve, DECIDED)
+    return first.where("bucket is null").drop("bucket").unionByName(rest)
 
 
 def applied(docs: DataFrame, marks: DataFrame, parts: int, apply: Callable[[Texts, list[list[bytes]]], dict[str, np.ndarray | list]], schema: str) -> DataFrame:
@@ -314,8 +396,8 @@ def _kept(texts: Texts, marks: list[list[bytes]]) -> dict[str, np.ndarray | list
     return {"n_words": words.count.astype(np.int64), "n_removed": n_removed, "kept_sha256": sha}
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     total = text_bytes(docs)
-    buckets = buckets_for(3.2 * total)  # so many bytes travel for one of text
-    return applied(docs, decided(super_kmers(docs, buckets), buckets, _resolve), buckets_for(total, PART_BYTES), _kept, RESULT)
+    buckets, salts = buckets_for(3.2 * total), salts or salts_for(total)  # so many bytes travel for one of text
+    return applied(docs, decided(super_kmers(docs, buckets, salts), buckets, _resolve, _combined, salts), buckets_for(total, PART_BYTES), _kept, RESULT)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from leafgate.llm import substring, suffixes
+from leafgate.llm.textarrays import Texts
 from tests.llm.conftest import rows
 
 LAST = 1 << 63
@@ -99,3 +100,60 @@ def test_every_pair_of_remainders_meets_in_the_cover():
     for a in range(p):
         for b in range(p):
             assert any((a + d) % p in cover and (b + d) % p in cover for d in range(p))
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "a", "abcdefgh é", "a\x00b"])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_blocks_are_in_suffix_order(monkeypatch, alphabet, seed):
+    """The blocks, one after another, are the sorted suffixes; equal neighbours are found."""
+    monkeypatch.setattr(suffixes, "SORTED", 64)
+    rng = random.Random(seed)
+    shared = "".join(rng.choice(alphabet) for _ in range(150))
+    pieces = []
+    for i in range(20):
+        own = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90)))
+        pieces.append((own + shared[rng.randrange(60) :] + own[: rng.randrange(9)] * 3).encode())
+    pieces += [pieces[3], pieces[4][5:]]
+    buf = np.frombuffer(b"".join(pieces), np.uint8)
+    offs = np.append(0, np.cumsum([len(p) for p in pieces]))
+    anchor = np.array([rng.randrange(len(p)) for p in pieces])  # any anchors: suffixes of all residues tie
+    blocks = list(suffixes.suffix_blocks(Texts(buf, offs), anchor))
+    assert len(blocks) > 1 or alphabet == "a"
+    said = [(pieces[p][k:], int(offs[p]) + k) for p in range(len(pieces)) for k in range(len(pieces[p]) - 99)]
+    text = {at: t for t, at in said}
+    got = [int(x) for at, _ in blocks for x in at]
+    assert sorted(got) == sorted(text)
+    assert [text[x] for x in got] == sorted(text.values())
+    for at, same in blocks:
+        assert same.tolist() == [False] + [text[int(x)][:100] == text[int(y)][:100] for x, y in zip(at, at[1:])]
+    first = {}
+    for t, at in sorted(said, key=lambda x: x[1]):
+        first.setdefault(t[:100], at)
+    later, leads = suffixes.first_equal(Texts(buf, offs), anchor)
+    assert dict(zip(later.tolist(), leads.tolist())) == {at: first[t[:100]] for t, at in said if first[t[:100]] != at}
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_hot_strings_are_combined_on_their_way(make, monkeypatch, salts):
+    """Widely shared passages over many small packs: the result is the same, and a bucket gets few of their strings."""
+    monkeypatch.setattr(substring, "HELD_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "HELD_BYTES", 2000)
+    monkeypatch.setattr(substring, "SLICE", 15_000)
+    monkeypatch.setattr(suffixes, "SLICE", 15_000)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    hot = " ".join(word() for _ in range(60))
+    docs = [(rng.randrange(1000), f"{word()} {word()} {hot if i % 3 else hot[100:]} {word()}") for i in range(120)] + [(None, hot), (5, None)]
+    assert len(substring.widely_shared(make(*docs), substring._runs).hashes) > 40  # so there are hot ones
+    got = rows(substring.substring_dedup(make(*docs), salts=salts), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_words(docs)
+    got = rows(suffixes.suffix_dedup(make(*docs), salts=salts), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_bytes(docs)
+
+
+def test_very_long_texts(make):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:30_000])), (3, "x " * 100_000)]
+    assert rows(substring.substring_dedup(make(*docs)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(docs)
+    assert rows(suffixes.suffix_dedup(make(*docs)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(docs)
