@@ -8,9 +8,9 @@ that it starts in. Words under a window that also starts in a smaller document a
 
 Before that, each slice of documents sorts its own windows: one that an earlier document of
 the slice holds is decided at once and does not travel. Strings travel compressed, those of `HELD_BYTES` for one
-bucket together, and of equal ones among them only that of the smallest document does. So of a passage that very many documents share, a
-bucket gets one string for each `HELD_BYTES`, not one for each document; and where the input is large, strings of widely shared
-minimisers are first combined in `salts` parts, and what each part leaves is combined again. Minimisers that very many documents share would make hot buckets, so they come last in the order
+bucket together, and of equal ones with widely shared minimisers only that of the smallest document does. So of a passage that very many documents share, a
+bucket gets one string for each `HELD_BYTES`, not one for each document; and where the input is large, those strings
+are first combined in `salts` parts, and what each part leaves is combined again. Minimisers that very many documents share would make hot buckets, so they come last in the order
 of hashes: a window takes one only if all its candidates are such, and then lies within what the documents share. Which ones,
 a sample of slices says; any choice gives the same result. The number of buckets follows the size of the input, so that a bucket is about `BUCKET_BYTES`.
 
@@ -67,10 +67,11 @@ Combine = Callable[[pa.Table], tuple[np.ndarray, Iterator[tuple]]]
 class Packer:
     """Rows on their way to buckets, held until they are worth compressing together."""
 
-    def __init__(self, combine: Combine | None = None) -> None:
+    def __init__(self, combine: Combine | None = None, hot: int = 0, order: tuple[str, ...] = ()) -> None:
         self.held: dict[int, list[pa.RecordBatch]] = {}
         self.size = 0
-        self.combine = combine
+        self.combine, self.hot = combine, hot  # equal strings are combined in buckets from hot on
+        self.order = [(c, "ascending") for c in order]  # rows that are like their neighbours take less room
 
     def add(self, bucket: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> None:
         """bucket ascends."""
@@ -83,7 +84,9 @@ class Packer:
     def rows(self) -> Iterator[tuple]:
         for bucket, batches in self.held.items():
             table = pa.Table.from_batches(batches).combine_chunks()
-            if self.combine:
+            if self.order:
+                table = table.sort_by(self.order)
+            if self.combine and bucket >= self.hot:
                 stay, lost = self.combine(table)
                 for r in lost:
                     yield None, *r
@@ -236,8 +239,6 @@ def _runs(texts: Texts) -> np.ndarray:
 
 def salted(bucket: np.ndarray, minimiser: np.ndarray, shared: Shared, buckets: int, salts: int) -> np.ndarray:
     """bucket, where strings of widely shared minimisers go to one of the `salts` parts of their bucket by task. See decided."""
-    if salts == 1:
-        return bucket
     at = shared.places(minimiser)
     out = bucket.copy()
     out[at] = buckets + bucket[at] * salts + TaskContext.get().partitionId() % salts
@@ -250,7 +251,7 @@ def super_kmers(docs: DataFrame, buckets: int, salts: int = 1) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(widely_shared(docs, _runs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(_combined)
+        packer = Packer(_combined, buckets)
         for batch, texts in chunks(batches, most=SLICE):
             words = Words(texts, NON_SPACE)
             hashes, whole = words.windows(WINDOW)
@@ -327,8 +328,8 @@ def salts_for(total: float) -> int:
 def decided(parts: DataFrame, buckets: int, resolve: Callable[[pa.Table], pa.Table], combine: Combine, salts: int = 1) -> DataFrame:
     """doc_id, twin, data: what is decided, some rows for a document. parts: of super_kmers."""
     parts = parts.withColumn("bucket", F.coalesce("bucket", -1 - F.pmod(F.col("twin"), F.lit(buckets))))
-    if salts == 1:
-        return parts.groupBy("bucket").applyInArrow(resolve, DECIDED)
+    if salts == 1:  # what each task has combined meets in its bucket
+        return parts.withColumn("bucket", F.when(F.col("bucket") >= buckets, F.col("bucket") - buckets).otherwise(F.col("bucket"))).groupBy("bucket").applyInArrow(resolve, DECIDED)
 
     def once(group: pa.Table) -> pa.Table:
         """Resolves a bucket, or combines a part of a hot one."""

@@ -13,8 +13,8 @@ splitters from a sample of them, and one block at a time is sorted: by the leadi
 offset that both share. Suffixes that agree in LENGTH bytes are neighbours in this order; neighbours are compared byte by byte, so nothing rests on hashes.
 Memory beyond the part's text is a rank for three sevenths of it, and one block.
 
-What travels is combined before: of equal pieces that a task holds together only the earliest goes on. Where the input is large, pieces of widely shared anchors are
-combined once more on their way (see substring.decided).
+Each slice of documents first compares its own pieces: a copy of an earlier piece is decided at once and does not travel. Pieces of widely shared anchors are
+combined further on their way (see substring).
 
 Defined results: null texts are empty; texts below LENGTH bytes lose nothing; a null doc_id is larger
 than all others; rows of one doc_id count as one document; repeated rows give repeated rows; extra columns
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, buckets: int, salts: int = 1) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(widely_shared(docs, lambda texts: _hashes(texts, GRAM)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(_combined)
+        packer = Packer(_combined, buckets)
         for batch, texts in chunks(batches, most=SLICE):
             size = np.diff(texts.offs)
             starts = np.maximum(size - LENGTH + 1, 0)
@@ -104,13 +104,25 @@ def pieces(docs: DataFrame, buckets: int, salts: int = 1) -> DataFrame:
             ids = batch.column("doc_id").fill_null(LAST).to_numpy()[doc]
             twins = batch.column("twin").to_numpy()[doc]
             place = first - texts.offs[doc]
+            whole = texts.hashes(first, last)
+            order = np.lexsort((place, ids, last - first, whole))
+            same = np.zeros(len(order), bool)
+            same[1:] = (whole[order][1:] == whole[order][:-1]) & ((last - first)[order][1:] == (last - first)[order][:-1])
+            lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+            copy = np.zeros(len(order), bool)
+            copy[order] = (ids[order] != ids[lead]) | (place[order] != place[lead])
+            gone = np.flatnonzero(copy)  # in the order of the text, so neighbours make one range
+            new = np.append(True, (doc[gone][1:] != doc[gone][:-1]) | (place[gone][1:] != (place + count)[gone][:-1]))[: len(gone)]
+            head = gone[new]
+            tail = gone[np.append(np.flatnonzero(new)[1:], len(gone))[: len(head)] - 1]
+            rows = [(None, *r) for r in _by_document(ids[head], twins[head], place[head], (place + count)[tail])]
             bucket = salted((gram[anchor] % U(buckets)).astype(np.int64), gram[anchor], common.value, buckets, salts)
-            own = np.argsort(bucket, kind="stable")
+            own = np.flatnonzero(~copy)
+            own = own[np.argsort(bucket[own], kind="stable")]
             packer.add(bucket[own], {
                 "doc_id": ids[own], "twin": twins[own], "at": place[own].astype(np.int32), "anchor": (anchor[own] - first[own]).astype(np.int32),
                 "text": strings(texts.buf, first[own], last[own]),
             })
-            rows: list[tuple] = []
             if packer.size > HELD_BYTES:
                 rows += packer.rows()
             yield _rows(rows, ("bucket", "doc_id", "twin", "data"))
@@ -134,7 +146,9 @@ def _ties(head: np.ndarray) -> np.ndarray:
 def _heads(*keys: np.ndarray) -> np.ndarray:
     """Of each place, the first of its run of equal keys."""
     new = np.ones(len(keys[0]), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    new[1:] = keys[0][1:] != keys[0][:-1]
+    for k in keys[1:]:
+        new[1:] |= k[1:] != k[:-1]
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
@@ -152,7 +166,7 @@ class Sample:
         keys = [_eight(np.append(texts.buf, np.zeros(8, np.uint8)))[at].byteswap() & (U(0xFFFFFFFFFFFFFFFF) << ((8 - left) * 8).astype(U))]
         if not texts.buf.all():  # zero bytes in the text: what lies beyond an end comes before them
             keys.insert(0, left)
-        order = np.lexsort(keys)
+        order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])
         head = _heads(*(k[order] for k in keys))
         self.rank = np.empty(len(at), np.int64)
         self.rank[order] = head
@@ -161,10 +175,11 @@ class Sample:
             own = order[tied]
             to = at[own] + step
             after = np.where(to < end[own], self.rank[self.place[np.minimum(to, n - 1)]] + 1, 0)
-            again = np.lexsort((after, self.rank[own]))
-            own, after = own[again], after[again]
+            both = self.rank[own] << 32 | after
+            again = np.argsort(both)
+            own = own[again]
             order[tied] = own
-            head = tied[_heads(self.rank[own], after)]
+            head = tied[_heads(both[again])]
             self.rank[own] = head
             tied = tied[_ties(head)]
             seen, step = seen + step, (seen + step) // PERIOD * PERIOD
@@ -194,7 +209,7 @@ def suffix_blocks(texts: Texts, anchor: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def _block(at: np.ndarray, key: np.ndarray, sample: Sample, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     at, key = at[order], key[order]
     group = _heads(key)
     tied = _ties(group)
@@ -203,15 +218,22 @@ def _block(at: np.ndarray, key: np.ndarray, sample: Sample, word: np.ndarray) ->
         own, g = at[tied], group[tied]
         r = sample.residue[own]
         by_own = sample.of(own, OFFSET[r, r])
-        again = np.lexsort((own, by_own, g))
+        again = np.argsort(g << 32 | by_own)
         own, r, by_own = own[again], r[again], by_own[again]
-        # groups of several residues: each list is in order, and lists are merged two by two
-        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        size = np.diff(np.append(first, len(g)))
-        several = np.repeat(np.maximum.reduceat(r, first) != np.minimum.reduceat(r, first), size)
-        if several.any():
-            mine = np.flatnonzero(several)
-            own[mine], r[mine], by_own[mine] = (x[mine][_merged(own[mine], r[mine], g[mine], sample)] for x in (own, r, by_own))
+        # groups of several residues are split by the next eight bytes, and what is left of several by merging the lists of its residues
+        mine = _several(g, r)
+        if len(mine):
+            deeper = word[own[mine] + 8].byteswap()
+            by = np.argsort(deeper)
+            level = np.empty(len(by), np.int64)
+            level[by] = _heads(deeper[by])
+            by = np.argsort(g[mine] << 32 | level, kind="stable")  # stable: residues' lists stay in order
+            own[mine], r[mine], by_own[mine] = (x[mine][by] for x in (own, r, by_own))
+            part = _heads(g[mine], level[by])
+            left = _several(part, r[mine])
+            mine, part = mine[left], part[left]
+            if len(mine):
+                own[mine], r[mine], by_own[mine] = (x[mine][_merged(own[mine], r[mine], part, sample)] for x in (own, r, by_own))
         at[tied] = own
         rank[tied] = by_own * PERIOD + r
     same = np.zeros(len(at), bool)
@@ -223,8 +245,17 @@ def _block(at: np.ndarray, key: np.ndarray, sample: Sample, word: np.ndarray) ->
     return at, same
 
 
+def _several(group: np.ndarray, residue: np.ndarray) -> np.ndarray:
+    """Places in groups (ascending) of several residues."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[: len(group)]
+    if not len(first):
+        return first
+    size = np.diff(np.append(first, len(group)))
+    return np.flatnonzero(np.repeat(np.maximum.reduceat(residue, first) != np.minimum.reduceat(residue, first), size))
+
+
 def _merged(at: np.ndarray, residue: np.ndarray, group: np.ndarray, sample: Sample) -> np.ndarray:
-    """The order of suffixes of several residues, which agree within their group in eight bytes and are in order within group and residue."""
+    """The order of suffixes of several residues, which agree within their group in eight bytes or more and are in order within group and residue."""
     lists = [np.flatnonzero(residue == r) for r in range(PERIOD)]
     place = np.empty(len(at), np.int64)
     for r, mine in enumerate(lists):
