@@ -179,10 +179,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).where("u != v").distinct(), "stars")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        # the smallest neighbours are written before they are joined: so the join reads two shuffles of its own, and Spark splits the rows of a hot centre
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = written(both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         after = written(small, "stars")
         # a star forest: no id is both a centre and a point, and no point has two centres
         done = after.groupBy("u").count().where("count > 1").limit(1).count() == 0 and after.join(after.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count() == 0

@@ -1,32 +1,36 @@
-"""Reading the tables, and where intermediate tables go."""
+"""Reading the tables, and intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from leafgate.plans.scratch import fresh
 from leafgate.plans.ship import shipped
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+_made: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share. Only where none is set, as in tests in local mode, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    at = fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(at)
+    _made.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def made() -> list[str]:
+    """Paths of the tables that this process has written, in order."""
+    return list(_made)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    for p in paths:
+        path = hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

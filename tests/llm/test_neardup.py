@@ -1,4 +1,6 @@
+import bisect
 import random
+import re
 
 import numpy as np
 
@@ -74,3 +76,77 @@ def test_components_of_a_chain_and_empty_tables(spark, make):
     assert got == {i: 0 if i <= 15 else 16 for i in range(1, 31) if i != 16}
     assert classes(make((1, "a")).limit(0)).count() == 0
     assert rows(classes(make((1, "a b c d e f"), (2, "g h i j k l"))), "doc_id", "class_id", "n_in_class", "kept") == [(1, 1, 1, True), (2, 2, 1, True)]
+
+
+def brute(docs, threshold=0.8):
+    """Classes by all pairs of texts: k-mers with the number of equal ones before, the longest common subsequence of them."""
+    names: dict[tuple, int] = {}
+    labels = {}
+    for i, text in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        seen: dict[tuple, int] = {}
+        own = []
+        for p in range(max(1, len(words) - 4) if words else 0):
+            k = tuple(words[p : p + 5])
+            seen[k] = seen.get(k, 0) + 1
+            own.append(names.setdefault((k, seen[k]), len(names)))
+        labels.setdefault(i, own)
+    of = {i: i for i in labels}
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    ids = sorted(labels)
+    sets = {i: set(labels[i]) for i in ids}
+    n_links = 0
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            if not labels[i] or not labels[j] or len(sets[i] & sets[j]) < threshold * max(len(sets[i]), len(sets[j])) - 1e-9:
+                continue
+            place = {k: p for p, k in enumerate(labels[j])}
+            tails: list[int] = []
+            for p in (place[k] for k in labels[i] if k in place):
+                at = bisect.bisect_left(tails, p)
+                tails[at : at + 1] = [p]
+            if len(tails) >= threshold * (len(labels[i]) + len(labels[j]) - len(tails)) - 1e-9:
+                n_links += 1
+                a, b = sorted((top(i), top(j)))
+                of[b] = a
+    return {i: top(i) for i in ids}, n_links
+
+
+def test_classes_equal_all_pairs_on_the_drivers_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, n = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert n > 10
+    assert dict(rows(classes(docs), "doc_id", "class_id")) == want
+
+
+@pytest.mark.parametrize("kind", ["template", "chain", "moved"])
+def test_classes_equal_all_pairs_on_made_groups(make, kind):
+    """Four hundred texts on one template with their own parts of all sizes; chains of small changes; parts that change places."""
+    rng = random.Random(len(kind))
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, docs = fresh(300), []
+    last = template
+    for i in range(400):
+        if kind == "template":
+            words = template + fresh(rng.randrange(10, 160))
+        elif kind == "chain":
+            last = words = changed(rng, last if i % 20 else fresh(300), rng.randrange(3, 12))
+        else:
+            cut = rng.randrange(40, 260)
+            words = template[cut:] + template[:cut] + fresh(rng.randrange(60))
+        docs.append((i, " ".join(words)))
+    want, n = brute(docs)
+    got = dict(rows(classes(make(*docs)), "doc_id", "class_id"))
+    assert n > 20 and got == want
+
+
+def test_very_long_texts_and_ties(make):
+    rng = random.Random(15)
+    words = [f"w{rng.randrange(3000)}" for _ in range(60_000)]
+    docs = [(5, " ".join(words)), (3, " ".join(words[:55_000])), (4, " ".join(words[:20_000])), (6, "a " * 50_000), (7, "a " * 45_000), (8, "a " * 9)]
+    assert dict(rows(classes(make(*docs)), "doc_id", "class_id")) == brute(docs)[0]
