@@ -10,8 +10,9 @@ Defined results: a null or wordless text has no words and no hits; a wordless it
 a null item_id reads as "null"; repeated items with one item_id count once; repeated documents give
 repeated rows; extra columns are ignored (query) or passed on (stage).
 
-The benchmark is read in blocks of at most `block_windows` windows (16 bytes each). Each block is
-sent to all executors, so what is sent has a fixed bound; a larger benchmark takes more passes.
+The benchmark is read in blocks of about `block_windows` windows (16 bytes each), dealt by the hash of a window's fingerprint, so an
+item of any length is split. One block at a time is sent to all executors, so what is sent has a fixed bound; a
+larger benchmark takes more passes, each of which is written before the next begins.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from leafgate.llm.tables import written
 from leafgate.llm.textarrays import ALNUM, FOLDED, Words, chunks, covered, sliding_argmin
 
 K, W = 5, 6
 BLOCK_WINDOWS = 2_000_000
-WINDOWS = "size int, hash long, fingerprint boolean, item_id string"
+WINDOWS = "size int, hash long, print long, item_id string"
 FOUND = "doc_id long, twin long, n_words long, starts array<int>, sizes array<int>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -43,7 +45,7 @@ def _fingerprints(words: Words, k: int, w: int) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """Windows of all items, and their fingerprints (size k, fingerprint true, no item)."""
+    """Windows of all items, each with its fingerprint (null where an item is one short window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = k + w - 1
@@ -51,18 +53,16 @@ def benchmark_windows(benchmark: DataFrame, k: int = K, w: int = W) -> DataFrame
             words = Words(texts, ALNUM, FOLDED)
             names = np.array([str(x) if x is not None else "null" for x in batch.column("item_id").to_pylist()], object)
             full, whole = words.windows(t)
-            parts = [(np.full(int(whole.sum()), t), full[whole], False, names[words.doc[whole]])]
+            at = np.flatnonzero(whole)
+            grams = words.windows(k)[0]
+            own = grams[sliding_argmin(grams[: len(grams) - k + 1], w)[at]] if len(at) else full[:0]
+            parts = [(np.full(len(at), t), full[at], pa.array(own.view(np.int64)), names[words.doc[at]])]
             for size in range(1, t):
-                own = np.flatnonzero(words.count == size)
-                if len(own):
-                    parts.append((np.full(len(own), size), words.windows(size)[0][words.first[own]], False, names[own]))
-            prints = words.windows(k)[0][_fingerprints(words, k, w)]
-            parts.append((np.full(len(prints), k), prints, True, np.full(len(prints), None, object)))
-            for size, hashes, is_print, items in parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(size, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), is_print)), pa.array(items, pa.string())],
-                    ["size", "hash", "fingerprint", "item_id"],
-                )
+                short = np.flatnonzero(words.count == size)
+                if len(short):
+                    parts.append((np.full(len(short), size), words.windows(size)[0][words.first[short]], pa.nulls(len(short), pa.int64()), names[short]))
+            for size, hashes, prints, items in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(hashes.view(np.int64)), prints, pa.array(items, pa.string())], ["size", "hash", "print", "item_id"])
 
     return benchmark.select("item_id", "text").mapInArrow(run, WINDOWS).distinct()
 
@@ -73,15 +73,13 @@ class Block:
     def __init__(self, rows: pa.Table, k: int, w: int):
         self.k, self.w = k, w
         size, hashes = rows["size"].to_numpy(), rows["hash"].to_numpy().view(np.uint64)
-        prints = rows["fingerprint"].to_numpy(zero_copy_only=False)
-        self.prints = np.unique(hashes[prints])
-        names, codes = np.unique(np.array(rows["item_id"].to_pylist(), object)[~prints].astype(str), return_inverse=True)
-        self.names = names
+        self.prints = np.unique(rows["print"].combine_chunks().drop_null().to_numpy().view(np.uint64))
+        self.names, codes = np.unique(np.array(rows["item_id"].to_pylist(), object).astype(str), return_inverse=True)
         self.by_size = {}
-        for s in np.unique(size[~prints]):
-            own = size[~prints] == s
-            order = np.argsort(hashes[~prints][own], kind="stable")
-            self.by_size[int(s)] = (hashes[~prints][own][order], codes[own][order])
+        for s in np.unique(size):
+            own = size == s
+            order = np.argsort(hashes[own], kind="stable")
+            self.by_size[int(s)] = (hashes[own][order], codes[own][order])
 
     def _look_up(self, size: int, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of word positions whose windows occur in items: position and item, a row for each pair."""
@@ -115,16 +113,17 @@ class Block:
         return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
 
 
-def _blocks(benchmark: DataFrame, k: int, w: int, most: int) -> list[Block]:
-    """Windows of one hash, and the fingerprints, go to blocks together; each block holds about `most` rows at most."""
+def _blocks(benchmark: DataFrame, k: int, w: int, most: int) -> Iterator[tuple[Block, bool]]:
+    """Blocks of about `most` windows, and whether there are several. Windows of one fingerprint go to one block."""
     rows = benchmark_windows(benchmark, k, w)
     n = rows.count()
-    parts = max(1, -(-2 * n // most)) if n > most else 1
-    if parts == 1:
-        return [Block(rows.toArrow(), k, w)]
-    # whole items go to one block, and so do their fingerprints: each block is made from its own items
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("null"))), F.lit(parts))
-    return [Block(benchmark_windows(benchmark.where(part == i), k, w).toArrow(), k, w) for i in range(parts)]
+    if n <= most:
+        yield Block(rows.toArrow(), k, w), False
+        return
+    parts = -(-2 * n // most)
+    rows = written(rows, "windows").withColumn("part", F.pmod(F.xxhash64(F.coalesce("print", "hash")), F.lit(parts)))
+    for i in range(parts):
+        yield Block(rows.where(F.col("part") == i).toArrow(), k, w), True
 
 
 def occurrences(docs: DataFrame, block: Block) -> DataFrame:
@@ -161,7 +160,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    parts = [occurrences(docs, b) for b in _blocks(benchmark, k, w, block_windows)]
+    parts = [written(occurrences(docs, b), "found") if several else occurrences(docs, b) for b, several in _blocks(benchmark, k, w, block_windows)]
     if len(parts) > 1:
         every = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "twin", "n_words")
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes", "items")]
@@ -172,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs without those in which a window of an item occurs; columns and other rows unchanged."""
-    for block in _blocks(benchmark, k, w, block_windows):
+    for block, several in _blocks(benchmark, k, w, block_windows):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -184,4 +183,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = written(docs, "clean") if several else docs
     return docs

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from leafgate.llm.decontaminate import _blocks as decontaminate_blocks
 from leafgate.llm.decontaminate import contamination, decontaminate
 from tests.llm.conftest import rows
 
@@ -52,3 +53,17 @@ def test_stage_and_empty_tables(make, spark):
     assert contamination(frame.limit(0), bench).count() == 0
     assert contamination(frame, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate(frame, bench.limit(0)).count() == len(docs)
+
+
+def test_one_long_item_is_split_into_blocks(spark, make):
+    """An item of more windows than a block holds; no block holds many more."""
+    rng = random.Random(4)
+    long_item = " ".join(f"w{rng.randrange(60)}" for _ in range(800))
+    bench = spark.createDataFrame([(1, long_item), (2, "a b c")], "item_id long, text string")
+    said = long_item.split()
+    docs = [(i, " ".join(["x"] * 3 + said[i * 20 : i * 20 + 8 + i % 5] + ["y"] * 3)) for i in range(30)] + [(50, long_item), (51, "z a b c")]
+    blocks = [len(b.by_size.get(10, ((), ()))[0]) for b, _ in decontaminate_blocks(bench, 5, 6, 100)]
+    assert len(blocks) > 5 and max(blocks) < 200 and sum(blocks) == 791
+    assert rows(contamination(make(*docs), bench, block_windows=100), *COLUMNS) == brute(docs, [(1, long_item), (2, "a b c")])
+    clean = [r[0] for r in brute(docs, [(1, long_item), (2, "a b c")]) if not r[5]]
+    assert [r[0] for r in rows(decontaminate(make(*docs), bench, block_windows=100), "doc_id")] == clean
