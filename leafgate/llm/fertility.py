@@ -1,20 +1,20 @@
 """Quality rules from tokeniser fertility.
 
-A public vocabulary with byte fallback splits every whole text. Per document that gives characters
-per token, the share of characters that fell back to bytes, and the entropy of the tokens over the
-most it could be. Each language (or script, where none is given) has a band for each measure, from
-the quartiles of all its documents of `MIN_WORDS` words or more: beyond `reach` times the distance
-of a quartile from the median, a document is rejected. Bands narrower than `LEAST` are widened, and
-so are those of short documents.
-
-Texts are split at white space, as the vocabulary does itself, so a word's tokens depend on the
+Public vocabularies split every whole text: one with byte fallback, and one of byte pairs. Per document and vocabulary that gives characters
+per token, the share of tokens that are parts of characters (bytes that a character fell back to), and the entropy of the tokens over the
+most it could be. Each language (or script, where none is given) has a band for each of these measures, from
+the quartiles of all its documents of `MIN_WORDS` words or more that pass the rules below: beyond `reach` times the distance
+of a quartile from the median, a measure rejects; a document goes where some measure rejects it by all vocabularies. Bands narrower than `LEAST` are widened, and
+so are those of short documents. Quartiles are those of measures rounded to thousandths, so they are exact and the same in every run.
+
+Texts are split at white space, as the vocabularies do themselves, so a word's tokens depend on the
 word alone: each distinct word of a slice is split once.
 
 The rules on words and lines: fewer than 50 words, or more than half of them in repeated windows
 of three, reject as well.
 
-Defined results: a null or wordless text has zero counts and fails; repeated rows give repeated
-rows; a null lang goes by script; extra columns are ignored.
+Defined results: a null or wordless text has zero counts and fails; a language without any document for its quartiles rejects none;
+repeated rows give repeated rows; a null lang goes by script (a tie goes to the first in SCRIPTS); a text of any length is read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,9 @@ SHORT = 500
 #: Scripts by first code point of a block; a text's script is that of most of its letters. Fixed values.
 SCRIPTS = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x1100, "hangul"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD7B0, "other")]
 BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-MEASURED = BASE + ", chars_per_token double, fallback_share double, entropy_ratio double, n_tokens long, grp string"
+MEASURES = tuple(LEAST)
+#: How byte-pair vocabularies cut words before pairs are merged: letters, digits, others. A fixed value.
+CUT = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -92,14 +94,35 @@ def _script(codes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return names[table.argmax(1)]
 
 
+def _whole(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Splitter:
-    """Tokens of words by a vocabulary with byte fallback; those of frequent words are kept."""
+    """Tokens of words by a vocabulary (a SentencePiece model, or byte pairs as ranks); those of frequent words are kept."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
+        if path.endswith(".tiktoken"):
+            import base64
+
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            model = tiktoken.Encoding("own", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda texts: [model.encode_ordinary(" " + t) for t in texts]
+            self.is_byte = np.zeros(max(ranks.values()) + 1, bool)
+            self.is_byte[[rank for token, rank in ranks.items() if not _whole(token)]] = True
+        else:
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda texts: model.encode(texts, num_threads=1)
+            self.is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
         self.hash, self.size, self.first, self.tokens = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +133,7 @@ class Splitter:
         new = one[~old]
         buf = words.texts.buf
         texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[new], words.end[new])]
-        split = self.model.encode(texts, num_threads=1) if texts else []
+        split = self.encode(texts) if texts else []
         size = np.empty(len(own), np.int64)
         first = np.empty(len(own), np.int64)
         size[old], first[old] = self.size[at[old]], self.first[at[old]]
@@ -139,40 +162,63 @@ def measures(texts: Texts, words: Words, splitter: Splitter, word_chars: np.ndar
     return {"chars_per_token": word_chars / np.maximum(n_tokens, 1), "fallback_share": back / np.maximum(n_tokens, 1), "entropy_ratio": entropy / most, "n_tokens": n_tokens}
 
 
-def measured(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Counts and measures per document. vocabulary: path of a SentencePiece model on every executor."""
+def _name(measure: str, k: int) -> str:
+    """Of the k-th vocabulary."""
+    return measure if k == 0 else f"{measure}_{k + 1}"
+
+
+def measured(docs: DataFrame, vocabularies: list[str]) -> DataFrame:
+    """Counts and measures per document. vocabularies: paths of their files on every executor."""
+    columns = [_name(m, k) for k in range(len(vocabularies)) for m in (*MEASURES, "n_tokens")]
+    schema = ", ".join([BASE, *(f"{c} {'long' if c.startswith('n_tokens') else 'double'}" for c in columns), "grp string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(vocabulary)
+        splitters = [Splitter(path) for path in vocabularies]
         for batch, texts in chunks(batches, most=SLICE):
             words = Words(texts, NON_SPACE)
             base = base_counts(texts, words)
-            more = measures(texts, words, splitter, base["word_chars"])
+            more = [measures(texts, words, s, base["word_chars"]) for s in splitters]
             lang = np.array(batch.column("lang").to_pylist(), object)
             blank = np.flatnonzero(lang == None)  # noqa: E711
             for i in blank:
                 codes = np.array([ord(c) for c in texts.buf[texts.offs[i] : texts.offs[i + 1]].tobytes().decode("utf-8", "replace") if c.isalpha()] or [0])
                 lang[i] = "script:" + _script(codes, np.zeros(len(codes), np.int64), 1)[0]
             ints = [pa.array(base[c], pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            doubles = [pa.array(more[c]) for c in ("chars_per_token", "fallback_share", "entropy_ratio")]
-            names = [f.split()[0] for f in MEASURED.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, *doubles, pa.array(more["n_tokens"], pa.int64()), pa.array(lang, pa.string())], names)
+            found = [pa.array(own[m], pa.int64() if m == "n_tokens" else pa.float64()) for own in more for m in (*MEASURES, "n_tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, *found, pa.array(lang, pa.string())], [f.split()[0] for f in schema.split(", ")])
+
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, schema)
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, MEASURED)
 
+def bands(rows: DataFrame, names: list[str]) -> DataFrame:
+    """grp, and of each measure its quartiles. Rounded values are counted, and quartiles taken of the counts: the table between is bounded by what values there are."""
+    each = F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.round(n, 3))))).alias("measure", "value")
+    counts = rows.select("grp", each).groupBy("grp", "measure", "value").agg(F.count("*").alias("n"))
+    quartiles = counts.groupBy("grp", "measure").agg(F.percentile("value", [0.25, 0.5, 0.75], F.col("n")).alias("q"))
+    return quartiles.groupBy("grp").agg(*(F.max(F.when(F.col("measure") == n, F.col("q"))).alias(f"_{n}") for n in names))
 
-def quality(docs: DataFrame, vocabulary: str, reach: float = REACH) -> DataFrame:
+
+def quality(docs: DataFrame, vocabularies: list[str], reach: float = REACH) -> DataFrame:
     """Per document: the counts, base_failed, kept, and the measures."""
-    rows = written(measured(docs, vocabulary), "fertility").withColumn(
+    rows = written(measured(docs, vocabularies), "fertility").withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )
-    usual = rows.where("n_words >= 50 and not base_failed").groupBy("grp").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(f"_{c}") for c in LEAST))
+    names = [_name(m, k) for k in range(len(vocabularies)) for m in MEASURES]
+    usual = bands(rows.where("n_words >= 50 and not base_failed"), names)
     if usual.count() <= BROADCAST_GROUPS:  # a row for each language: no shuffle by language, which may be hot
         usual = F.broadcast(usual)
-    inside = F.lit(True)
-    for c, least in LEAST.items():
+
+    def rejected(measure: str, k: int) -> F.Column:
+        c = _name(measure, k)
         low, mid, high = (F.col(f"_{c}")[i] for i in range(3))
-        wide = F.sqrt(1 + SHORT / F.greatest("n_tokens", F.lit(1)))
-        inside &= (F.col(c) >= mid - wide * F.greatest(reach * (mid - low), F.lit(least))) & (F.col(c) <= mid + wide * F.greatest(reach * (high - mid), F.lit(least)))
-    judged = rows.join(usual, "grp", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *LEAST, "n_tokens", F.col("grp").alias("band"))
+        wide, least = F.sqrt(1 + SHORT / F.greatest(_name("n_tokens", k), F.lit(1))), F.lit(LEAST[measure])
+        return F.coalesce((F.col(c) < mid - wide * F.greatest(reach * (mid - low), least)) | (F.col(c) > mid + wide * F.greatest(reach * (high - mid), least)), F.lit(False))
+
+    out = F.lit(False)
+    for measure in MEASURES:
+        by_all = F.lit(True)
+        for k in range(len(vocabularies)):
+            by_all &= rejected(measure, k)
+        out |= by_all
+    judged = rows.join(usual, "grp", "left").withColumn("kept", ~F.col("base_failed") & ~out)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *names, *(_name("n_tokens", k) for k in range(len(vocabularies))), F.col("grp").alias("band"))

@@ -27,7 +27,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return fertility.quality(table(spark, sf_dir, "documents"), [vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken")])
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def test_kneser_ney_sums_to_one():
 def test_quality_counts(make):
     text = "# a b c a b c\nsame line\n \nsame line\n" + "x|y ü " * 3
     docs = [(1, text), (2, None), (3, ""), (4, " ".join(f"w{i}" for i in range(60))), (4, " ".join(f"w{i}" for i in range(60))), (None, "a " * 60, None)]
-    got = fertility.quality(make(*docs), queries.vocabulary("piece_bpe_32k.model")).collect()
+    got = fertility.quality(make(*docs), [queries.vocabulary("piece_bpe_32k.model")]).collect()
     assert len(got) == len(docs)
     by = {r["doc_id"]: r for r in got}
     w = text.split()
@@ -67,7 +67,7 @@ def test_quality_counts(make):
     assert (by[1]["n_words"], by[1]["word_chars"], by[1]["n_symbols"], by[1]["n_dup_lines"], by[1]["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), 1, len(hit))
     assert by[2]["n_words"] == by[3]["n_words"] == 0 and by[2]["base_failed"] and not by[2]["kept"]
     assert not by[4]["base_failed"] and by[4]["kept"] and by[None]["base_failed"]
-    assert fertility.quality(make((1, "a")).limit(0), queries.vocabulary("piece_bpe_32k.model")).count() == 0
+    assert fertility.quality(make((1, "a")).limit(0), [queries.vocabulary("piece_bpe_32k.model")]).count() == 0
 
 
 def test_quality_bands_reject_what_the_base_rules_keep(spark):
