@@ -10,13 +10,14 @@ over the slots of one row, and each document finds its slot by arithmetic. A sou
 leaves its slots unused; `position` counts documents in the order of the slots without gaps.
 
 Shares are made from the data by `temperature`: proportional to the number of documents to that
-power (0.5 by default), in whole parts of about `resolution`, at least one for each source. A
+power (0.5 by default), in whole parts of about `resolution`, or of `PER_SOURCE` for each source if those are more, so
+that many sources do not all come down to the least share of one. A
 caller may pass shares instead: {source: share}; sources that it does not name have share one.
 
 Only DataFrame and SQL functions are used. Hot sources are numbered in parts: buckets by the
 leading digits of the hash are counted, the counts summed up, and documents numbered within their
-bucket. The schedule has a row for each slot and in it a count for each source, so its size depends on the number
-of sources and the resolution, not on the documents.
+bucket. The schedule has a row for each slot and in it a count for each source, so its size grows with the square of the number
+of sources, not with the documents: a thousand sources make eight million counts.
 
 Defined results: a null source is the source ''; null or equal doc_ids and repeated rows each keep
 a place of their own, in the order of doc_id and text hash; nulls in text do not matter; an empty
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK_SIZE = 8
-RESOLUTION = 240
+RESOLUTION, PER_SOURCE = 240, 8
 BUCKET_ROWS = 20_000
 RESULTS = ("block", "slot", "position")
 #: Up to so many sources the schedule (a row for each slot, with a count for each source) is sent to all tasks.
@@ -39,8 +40,10 @@ BROADCAST_SOURCES = 100
 def shares(counts: DataFrame, weights: dict[str, int] | None = None, temperature: float = 0.5, resolution: int = RESOLUTION) -> DataFrame:
     """src, n (documents), share. counts: src, n."""
     if weights is None:
-        total = F.sum(F.pow("n", F.lit(temperature))).over(Window.partitionBy(F.lit(0)))
-        share = F.greatest(F.lit(1), F.floor(F.pow("n", F.lit(temperature)) * resolution / total + 1e-9)).cast("long")
+        every = Window.partitionBy(F.lit(0))
+        total = F.sum(F.pow("n", F.lit(temperature))).over(every)
+        parts = F.greatest(F.lit(resolution), PER_SOURCE * F.count("*").over(every))
+        share = F.greatest(F.lit(1), F.floor(F.pow("n", F.lit(temperature)) * parts / total + 1e-9)).cast("long")
     else:
         share = F.lit(1)
         for source, w in weights.items():

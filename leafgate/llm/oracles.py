@@ -23,7 +23,7 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op10_mix_sources": """
 WITH RECURSIVE d AS (SELECT doc_id, source, text, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS r FROM documents),
 c AS (SELECT src, count(*) AS n FROM d GROUP BY src),
-s AS (SELECT src, n, row_number() OVER (ORDER BY src) AS i, greatest(1, CAST(floor(sqrt(n) * 240 / sum(sqrt(n)) OVER () + 1e-9) AS BIGINT)) AS q FROM c),
+s AS (SELECT src, n, row_number() OVER (ORDER BY src) AS i, greatest(1, CAST(floor(sqrt(n) * greatest(240, 8 * count(*) OVER ()) / sum(sqrt(n)) OVER () + 1e-9) AS BIGINT)) AS q FROM c),
 p AS (SELECT list(q ORDER BY i) AS q, CAST(sum(q) AS BIGINT) AS total FROM s),
 run AS (
   SELECT CAST(0 AS BIGINT) AS t, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick, q, total FROM p

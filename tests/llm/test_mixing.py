@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from leafgate.llm import queries
+from leafgate.llm import mixing, queries
 from leafgate.llm.mixing import mixed, period
 from leafgate.llm.oracles import ORACLES
 from tests.compare import same
@@ -43,3 +43,15 @@ def test_given_weights(make):
 
 def test_query_equals_sql(spark, sf):
     assert same(spark, sf, queries.op10_mix_sources, ORACLES["op10_mix_sources"]) == 200
+
+
+def test_many_sources_keep_their_weights(spark):
+    """Three hundred sources, one of which holds a third of all rows."""
+    counts = spark.createDataFrame([("hot", 150_000)] + [(f"s{i}", 1000) for i in range(299)], "src string, n long")
+    got = {r["src"]: r["share"] for r in mixing.shares(counts).collect()}
+    roots = {"hot": 150_000**0.5} | {f"s{i}": 1000**0.5 for i in range(299)}
+    for src, share in got.items():
+        assert abs(share / sum(got.values()) - roots[src] / sum(roots.values())) < 0.005
+    assert got["hot"] > 10 * got["s0"]
+    slots = mixing.period(mixing.shares(counts.where("n > 1000 or src < 's14'"))).select("src", "slot", "total").collect()
+    assert sorted(r["slot"] for r in slots) == list(range(slots[0]["total"]))
