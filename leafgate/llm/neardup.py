@@ -245,8 +245,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # the lists of ids grow with the documents: they are joined by shuffle at every size
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     same = docs.select("doc_id", F.md5("text").alias("h"), F.length("text").alias("n"))
-    firsts = same.groupBy("h", "n").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c"))
-    copies = written(same.join(firsts.where("c > 1"), ["h", "n"]).where("doc_id != leader").select(F.col("doc_id").alias("id"), "leader"), "copies")
+    # written, so the join reads shuffles of its own and Spark splits the rows of a text with very many copies
+    firsts = written(same.groupBy("h", "n").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).where("c > 1"), "firsts")
+    copies = written(same.join(firsts.hint("merge"), ["h", "n"]).where("doc_id != leader").select(F.col("doc_id").alias("id"), "leader"), "copies")
     sketched = written(_sketched(docs).join(copies.select("id").distinct().hint("merge"), "id", "left_anti").dropDuplicates(["id"]), "sketches")
     pairs = written(_pairs(sketched), "pairs")
     needed = pairs.select(F.explode(F.array("id", "leader")).alias("doc_id")).distinct()

@@ -67,11 +67,10 @@ Combine = Callable[[pa.Table], tuple[np.ndarray, Iterator[tuple]]]
 class Packer:
     """Rows on their way to buckets, held until they are worth compressing together."""
 
-    def __init__(self, combine: Combine | None = None, hot: int = 0, order: tuple[str, ...] = ()) -> None:
+    def __init__(self, combine: Combine | None = None, hot: int = 0) -> None:
         self.held: dict[int, list[pa.RecordBatch]] = {}
         self.size = 0
         self.combine, self.hot = combine, hot  # equal strings are combined in buckets from hot on
-        self.order = [(c, "ascending") for c in order]  # rows that are like their neighbours take less room
 
     def add(self, bucket: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> None:
         """bucket ascends."""
@@ -84,8 +83,6 @@ class Packer:
     def rows(self) -> Iterator[tuple]:
         for bucket, batches in self.held.items():
             table = pa.Table.from_batches(batches).combine_chunks()
-            if self.order:
-                table = table.sort_by(self.order)
             if self.combine and bucket >= self.hot:
                 stay, lost = self.combine(table)
                 for r in lost:

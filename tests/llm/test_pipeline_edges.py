@@ -27,7 +27,7 @@ def docs(spark):
     text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
     said = [(i, text(60), "en", "ab"[i % 2]) for i in range(60)]
     said += [(100, None, "en", "a"), (101, "", None, None), (102, " \n\t", "en", None), (103, "12 + 3", None, "a"), (None, text(50), None, "b"), (None, None, None, None)]
-    said += [(200, said[3][1], "en", "a"), (201, text(40), "en", "c"), (201, said[-1][1] if False else "same row of words that stands here twice or more", "en", "c"), (202, "same row of words that stands here twice or more", "en", "c")]
+    said += [(200, said[3][1], "en", "a"), (201, text(40), "en", "c"), (201, "same row of words that stands here twice or more", "en", "c"), (202, "same row of words that stands here twice or more", "en", "c")]
     said += [(203, "mail me@x.org or +1 (555) 123-4567 now " + text(30), "en", "c"), (204, "we know only these seven words are the item " + text(30), "en", "c"), (205, text(60_000), "en", "c")]
     said += [said[5], said[5]]
     own = [(i, t, lang, s, 0, 1, 2, 3, 4, 5, "s", "h", bytearray(b"d"), 6, 7, 8, 9, "k", "h", "s") for i, t, lang, s in said]
