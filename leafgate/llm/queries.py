@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafgate.llm import fertility, htmltext, langid, maxent, mixing, neardup, pii, substring, suffixes
+from leafgate.llm import alignment, fertility, htmltext, langid, lloyd, maxent, mixing, neardup, pii, sharding, substring, suffixes
 from leafgate.llm.decontaminate import contamination
 from leafgate.llm.oracles import ORACLES
 from leafgate.llm.tables import table
@@ -58,8 +58,20 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_text, op2_lm_score, op3_near_dedup, op4_decontaminate, op5_quality, op6_substring_dedup, op7_suffix_dedup, op8_language_id, op9_personal_data, op10_mix_sources)
+    for f in (op1_html_text, op2_lm_score, op3_near_dedup, op4_decontaminate, op5_quality, op6_substring_dedup, op7_suffix_dedup, op8_language_id, op9_personal_data, op10_mix_sources, op11_token_alignment, op12_sharding, op13_centroid_clusters)
 }
 __all__ = ["ORACLES", "QUERIES"]
