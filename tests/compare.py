@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,7 +21,7 @@ def connected(sf):
 def plain(x):
     if hasattr(x, "item"):
         x = x.item()
-    if x is None or isinstance(x, float) and math.isnan(x):
+    if x is None or x is pd.NA or isinstance(x, float) and math.isnan(x):
         return None
     return round(x, 6) if isinstance(x, float) else x
 
