@@ -7,6 +7,7 @@ embeddings for samples, conversations for transcripts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +18,7 @@ from leafgate.plans.scratch import fresh
 from leafgate.plans.ship import shipped
 from leafgate.sources import files
 from leafgate.streaming.gate import gate_stream
+from leafgate.streaming.ordered import ordered_gate_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -271,6 +273,15 @@ def gate_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gate(spark, sf_dir)
 
 
+@query(_O_GATE.replace("SELECT user_id, ts,", "SELECT 0 AS user_id, ts,").replace("86400", "600") + " SELECT CAST(user_id AS INT) AS device, clip_no, start_ts, end_ts, n_blocks, seconds, closed FROM g")
+def gate_one_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the blocks of one device: its spans of time go to tasks of their own."""
+    events = _table(spark, sf_dir, "events").withColumn("device", F.lit(0))
+    out = gate.gate_clips(events, "device", ["ts", "event_id"], "ts", F.col("value"), 60, 600)
+    said = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_ts", "end_ts")}
+    return out.withColumns({"seconds": F.round("seconds", 3), **said})
+
+
 @query(f"{_O_GATE} SELECT * FROM g WHERE seconds >= 172800")
 def gate_min_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.long_enough(_gate(spark, sf_dir), 172800)
@@ -399,6 +410,29 @@ def stream_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "device").withColumns({"seconds": F.round("seconds", 3), **said})
 
 
+@query(f"{_O_GATE} SELECT CAST(user_id AS VARCHAR) AS device, clip_no, start_ts, end_ts, n_blocks, seconds, closed FROM g WHERE seconds >= 172800")
+def stream_clips_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same out of order: each third of the time comes in one run of the stream or the next, shuffled; then come blocks that are too late, which change nothing."""
+    at = fresh(spark, "blocks")
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("device"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    ends = events.groupBy("device").agg(F.expr("max(ts) + interval 1 second").alias("ts"), F.max("event_id").alias("event_id"), F.lit(None).cast("double").alias("value"))
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        lo = hi = datetime(2000, 1, 1)
+    third = (hi - lo) / 3
+    dealt = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(lo))) / max(1, third / timedelta(microseconds=1))) + F.pmod(F.hash("event_id"), F.lit(2))
+    parts = events.unionByName(ends).withColumn("part", F.least(dealt, F.lit(2)))
+    last = spark.createDataFrame([("", hi + 9 * third + timedelta(days=9), 0, None)], events.schema)  # moves the watermark past all
+    runs = [*(parts.where(F.col("part") == i).drop("part").orderBy(F.hash("event_id", "ts")) for i in range(3)), last, events.withColumn("value", F.lit(1e9))]
+    for rows in runs:
+        rows.write.mode("append").parquet(at)
+        clips = ordered_gate_stream(files.block_stream(spark, at, events.schema, 1_000_000), "device", "ts", "event_id", "value", 60, 86400, least=172800, late=f"{int(third.total_seconds() * 1.1) + 9} seconds")
+        files.write_clips(clips, f"{at}-clips", f"{at}-state", availableNow=True).awaitTermination()
+    out = spark.read.schema("key string, clip_no long, start_ts timestamp, end_ts timestamp, n_blocks long, seconds double, closed boolean").parquet(f"{at}-clips")
+    said = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_ts", "end_ts")}
+    return out.withColumnRenamed("key", "device").withColumns({"seconds": F.round("seconds", 3), **said})
+
+
 @query(_O_GATE.rsplit("g AS (", 1)[0].rstrip().rstrip(",") + """, b AS (SELECT c.user_id, CAST(clip_no AS BIGINT) AS clip_no, coalesce(props, '') AS p, c.ts, c.event_id FROM c JOIN events USING (event_id) WHERE NOT past OR nth = 1)
 SELECT user_id, clip_no, CAST(sum(strlen(p)) AS BIGINT) AS n_bytes, 8000 AS rate, CAST(1 + arg_min(event_id, (ts, event_id)) % 2 AS INT) AS channels, round(sum(strlen(p)) / (8000 * 2 * (1 + arg_min(event_id, (ts, event_id)) % 2)), 6) AS seconds FROM b GROUP BY ALL""")
 def clip_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

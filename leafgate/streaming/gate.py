@@ -1,7 +1,7 @@
 """The silence gate over a stream: state per device, clips as they close.
 
-Event time replaces the clock. Blocks of a batch are taken in the order of (ts, event); the watermark only
-bounds state. A block without a level says that its device's stream has ended: the clip that is open then is emitted
+Event time replaces the clock. Blocks of a micro-batch are taken in the order of (ts, event) at once, so the micro-batches of a device must
+follow each other in time; `leafgate.streaming.ordered` takes them in any order. A block without a level says that its device's stream has ended: the clip that is open then is emitted
 from the state, and the device's state goes. `drain` finds open clips in batch mode, where no such block is sent.
 """
 

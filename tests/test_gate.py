@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from leafgate.functions.signal import pcm_rms, rms
-from leafgate.operators.gate import clip_audio, gate_clips, long_enough
+from leafgate.operators.gate import clip_audio, gate_blocks, gate_clips, long_enough
 from leafgate.sources.files import block_stream, write_clips
 from leafgate.streaming.gate import drain, gate_stream
 
@@ -59,6 +59,39 @@ def test_batch_equals_machine(spark):
     assert batch(spark, keys) == sorted((k, *c) for k, b in keys.items() for c in machine(b))
 
 
+def test_spans_of_a_hot_device_equal_the_machine(spark):
+    """One device has nine tenths of the blocks; whatever the spans, the clips are those of the machine, and the device is no single task."""
+    rng = random.Random(17)
+    keys = {}
+    for k, n in ((0, 3000), (1, 150), (2, 150), (3, 1), (4, 0)):
+        t, keys[k] = 0.0, []
+        for _ in range(n):
+            t += rng.choice([0.0, 0.25, 0.5, 1, 2, 4, 30] if rng.random() < 0.98 else [200])
+            keys[k].append((t, rng.choice([0, 0, 0, 100, 200, 900] if rng.random() < 0.7 else [0])))
+    want = sorted((k, *c) for k, b in keys.items() for c in machine(b))
+    blocks = frame(spark, keys)
+    sec = lambda x: (x - T0).total_seconds()
+    for span in (1, 7, 60, 1e9):
+        out = gate_clips(blocks, "k", ["ts", "event"], "ts", F.col("level"), span=span).collect()
+        assert sorted((r["k"], sec(r["start_ts"]), sec(r["end_ts"]), r["n_blocks"], r["closed"]) for r in out) == want
+        for k in keys:
+            own = sorted((r["start_ts"], r["end_ts"], r["clip_no"]) for r in out if r["k"] == k)
+            assert [c for *_, c in own] == list(range(1, len(own) + 1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = gate_blocks(blocks, "k", ["ts", "event"], "ts", F.col("level"), span=60)
+    parts = rows.where("k = 0").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 4
+
+
+def test_devices_and_times_may_be_null_and_blocks_without_a_level_are_none(spark):
+    rows = [(None, 1, T0, 900.0), (None, 2, T0 + timedelta(seconds=9), 900.0), (5, 1, None, 900.0), (5, 2, T0, 900.0), (5, 3, T0, None)]
+    blocks = spark.createDataFrame(rows, "k long, event long, ts timestamp, level double")
+    got = {r["k"]: (r["clip_no"], r["n_blocks"]) for r in gate_clips(blocks, "k", ["ts", "event"], "ts", F.col("level")).collect()}
+    assert got == {None: (1, 2), 5: (1, 2)}
+    assert gate_clips(blocks.limit(0), "k", ["ts", "event"], "ts", F.col("level")).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(7)
     keys = {k: [(i * 1.5, rng.choice([0, 0, 0, 500])) for i in range(80)] for k in range(3)}
