@@ -47,8 +47,8 @@ PRESS = 5
 #: So many shared minimisers at most come last; one slice of SAMPLED looks for those in more than one of RARE documents.
 HOT, SAMPLED, RARE = 30_000, 8, 32
 LAST = (1 << 63) - 1  # stands for a null doc_id
-PARTS = "bucket int, doc_id long, twin int, data binary"
-DECIDED = "doc_id long, twin int, data binary"
+PARTS = "bucket int, doc_id long, twin long, data binary"
+DECIDED = "doc_id long, twin long, data binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -104,8 +104,8 @@ def unpacked(data: bytes) -> pa.RecordBatch:
 
 
 def twin_of() -> Column:
-    """Tells rows of one doc_id apart."""
-    return F.hash("doc_id", "text")
+    """Tells rows of one doc_id apart, by 64 bits; equal rows have one."""
+    return F.xxhash64("doc_id", "text")
 
 
 def least_owner(hashes: np.ndarray, owner: np.ndarray, proof: np.ndarray) -> np.ndarray:
@@ -149,7 +149,7 @@ def _decided(batch: pa.RecordBatch, doc: np.ndarray, at: np.ndarray) -> Iterator
 
 
 def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "twin": pa.int32(), "data": pa.binary()}
+    kinds = {"bucket": pa.int32(), "data": pa.binary()}
     columns = list(zip(*rows)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns)], list(names))
 
@@ -324,7 +324,7 @@ def salts_for(total: float) -> int:
 
 def decided(parts: DataFrame, buckets: int, resolve: Callable[[pa.Table], pa.Table], combine: Combine, salts: int = 1) -> DataFrame:
     """doc_id, twin, data: what is decided, some rows for a document. parts: of super_kmers."""
-    parts = parts.withColumn("bucket", F.coalesce("bucket", -1 - F.pmod(F.col("twin"), F.lit(buckets))))
+    parts = parts.withColumn("bucket", F.coalesce("bucket", (-1 - F.pmod(F.col("twin"), F.lit(buckets))).cast("int")))
     if salts == 1:  # what each task has combined meets in its bucket
         return parts.withColumn("bucket", F.when(F.col("bucket") >= buckets, F.col("bucket") - buckets).otherwise(F.col("bucket"))).groupBy("bucket").applyInArrow(resolve, DECIDED)
 
@@ -344,16 +344,20 @@ def decided(parts: DataFrame, buckets: int, resolve: Callable[[pa.Table], pa.Tab
 
 
 def applied(docs: DataFrame, marks: DataFrame, parts: int, apply: Callable[[Texts, list[list[bytes]]], dict[str, np.ndarray | list]], schema: str) -> DataFrame:
-    """What apply makes of each text and its decided windows. Texts travel compressed to the part of their document."""
+    """What apply makes of each text and its decided windows. Texts travel compressed to the part of their document, of equal rows of a slice one with their number."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer()
         for batch, texts in chunks(batches, most=SLICE):
-            part = batch.column("part").to_numpy()
-            order = np.argsort(part, kind="stable")
+            part, twin = batch.column("part").to_numpy(), batch.column("twin").to_numpy()
+            ids = batch.column("doc_id").fill_null(LAST).to_numpy()
+            order = np.lexsort((ids, twin, part))
+            head = np.append(True, (ids[order][1:] != ids[order][:-1]) | (twin[order][1:] != twin[order][:-1]))
+            times = np.diff(np.append(np.flatnonzero(head), len(order))).astype(np.int32)
+            order = order[head]
             text = strings(texts.buf, texts.offs[:-1][order], texts.offs[1:][order])
-            packer.add(part[order], {"doc_id": batch.column("doc_id").take(pa.array(order)), "twin": batch.column("twin").take(pa.array(order)), "text": text})
+            packer.add(part[order], {"doc_id": batch.column("doc_id").take(pa.array(order)), "twin": twin[order], "times": times, "text": text})
             if packer.size > HELD_BYTES:
                 yield _rows([(r[0], r[3]) for r in packer.rows()], ("bucket", "data"))
         yield _rows([(r[0], r[3]) for r in packer.rows()], ("bucket", "data"))
@@ -367,13 +371,14 @@ def applied(docs: DataFrame, marks: DataFrame, parts: int, apply: Callable[[Text
             batch = unpacked(blob.as_py())
             own = [marks.get(k, []) for k in zip(batch["doc_id"].to_pylist(), batch["twin"].to_pylist())]
             columns = {"doc_id": batch["doc_id"], **apply(binary_texts(batch["text"]), own)}
-            out.append(pa.RecordBatch.from_arrays([columns[n] if n == "doc_id" else pa.array(columns[n]) for n in names], names))
+            every = pa.array(np.repeat(np.arange(batch.num_rows), batch["times"].to_numpy()))
+            out.append(pa.RecordBatch.from_arrays([(columns[n] if n == "doc_id" else pa.array(columns[n])).take(every) for n in names], names))
         empty = [pa.array([], pa.string() if "string" in f else pa.int64()) for f in schema.split(", ")]
         return pa.Table.from_batches(out or [pa.RecordBatch.from_arrays(empty, names)])
 
-    part = F.pmod(twin_of(), F.lit(parts))
+    part = F.pmod(twin_of(), F.lit(parts)).cast("int")
     texts = docs.select("doc_id", twin_of().alias("twin"), part.alias("part"), "text").mapInArrow(run, "bucket int, data binary")
-    marks = marks.withColumn("bucket", F.pmod("twin", F.lit(parts)))
+    marks = marks.withColumn("bucket", F.pmod("twin", F.lit(parts)).cast("int"))
     return texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(meet, schema)
 
 

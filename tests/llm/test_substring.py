@@ -157,3 +157,24 @@ def test_very_long_texts(make):
     docs = [(1, " ".join(words)), (2, " ".join(words[:30_000])), (3, "x " * 100_000)]
     assert rows(substring.substring_dedup(make(*docs)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(docs)
     assert rows(suffixes.suffix_dedup(make(*docs)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(docs)
+
+
+def test_rows_without_an_id_whose_short_hashes_collide_are_told_apart(make, spark):
+    """Two rows without a doc_id, one with a passage of document 1 and one without, that 32 bits of hash could not tell apart."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    other = " ".join(f"q{i}" for i in range(30))
+    made = spark.range(400_000).select(F.concat(F.when(F.col("id") % 2 == 0, passage).otherwise(other), F.lit(" n"), F.col("id").cast("string")).alias("text"), (F.col("id") % 2).alias("kind"))
+    hashed = made.withColumn("h", F.hash(F.lit(None).cast("long"), "text"))
+    pair = hashed.groupBy("h").agg(F.min_by("text", "kind").alias("a"), F.max_by("text", "kind").alias("b"), F.count_distinct("kind").alias("n")).where("n = 2").first()
+    docs = [(1, passage), (None, pair["a"]), (None, pair["b"]), *[(2, other + " twice")] * 40, *[(None, None)] * 3]
+    for run, brute, columns in (
+        (substring.substring_dedup, brute_words, ("doc_id", "n_words", "n_removed", "kept_sha256")),
+        (suffixes.suffix_dedup, brute_bytes, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")),
+    ):
+        got = rows(run(make(*docs).repartition(3)), *columns)
+        want = brute(docs)
+        if brute is brute_bytes:  # rows of one document that start at one place are one
+            assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert got == want
