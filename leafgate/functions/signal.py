@@ -27,3 +27,17 @@ def pcm_seconds(n_bytes: Column, rate: Column | int, channels: Column | int) ->
 def trimmed(samples: Column, rate: int, skip: float = 3.0, seconds: float = 15.0) -> Column:
     """The samples of so many seconds after the skipped ones."""
     return F.slice(samples, int(skip * rate) + 1, int(seconds * rate))
+
+
+def _little(n: Column, size: int) -> Column:
+    """A number as so many bytes, the lowest first."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(size))))
+
+
+def wav(payload: Column, rate: Column | int, channels: Column | int) -> Column:
+    """A WAV file of 16-bit PCM: the header, the bytes, and a zero byte after an odd number of them. Up to 4 GB."""
+    rate, channels = (F.lit(x) if isinstance(x, int) else x for x in (rate, channels))
+    data = F.coalesce(payload, F.lit(b""))
+    n = F.octet_length(data)
+    form = (F.lit(b"WAVEfmt "), _little(F.lit(16), 4), _little(F.lit(1), 2), _little(channels, 2), _little(rate, 4), _little(rate * channels * 2, 4), _little(channels * 2, 2), _little(F.lit(16), 2))
+    return F.concat(F.lit(b"RIFF"), _little(36 + n + n % 2, 4), *form, F.lit(b"data"), _little(n, 4), data, F.when(n % 2 == 1, F.lit(b"\x00")).otherwise(F.lit(b"")))

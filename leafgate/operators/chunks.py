@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 CHARS, WORDS = 4000, 200
-_BETWEEN = re.compile(r"(?<=[.!?])\s+")
+BETWEEN = re.compile(r"(?<=[.!?])\s+")
 
 
 def _grouped(sentences: list[str], sizes: list[int], most: int, gap: int = 0) -> list[list[str]]:
@@ -30,12 +30,12 @@ def _grouped(sentences: list[str], sizes: list[int], most: int, gap: int = 0) ->
 
 
 def _chunks_by_chars(text: str, size: int) -> list[str]:
-    sentences = _BETWEEN.split(text)
+    sentences = BETWEEN.split(text)
     return [c for g in _grouped(sentences, list(map(len, sentences)), size, gap=1) if (c := " ".join(g).strip())]
 
 
 def _chunks_by_words(text: str, most: int) -> list[str]:
-    sentences = _BETWEEN.split(text)
+    sentences = BETWEEN.split(text)
     return [" ".join(g) for g in _grouped(sentences, [len(s.split()) for s in sentences], most)]
 
 

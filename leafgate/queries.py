@@ -12,11 +12,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafgate.functions import signal, text as tx
-from leafgate.operators import chapters as ch, chunks, gate, lines as ln, manifest as mf, transcript as tr
+from leafgate.operators import chapters as ch, chunks, gate, lines as ln, manifest as mf, pieces, transcript as tr
 from leafgate.plans import book, engines
 from leafgate.plans.scratch import fresh
 from leafgate.plans.ship import shipped
 from leafgate.sources import files
+from leafgate.sources.named import write_named
 from leafgate.streaming.gate import gate_stream
 from leafgate.streaming.ordered import ordered_gate_stream
 
@@ -339,6 +340,19 @@ def book_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.work(_headed(spark, sf_dir))
 
 
+_O_BOOK_CHUNKS = f"""{_O_CHAPTERS},
+k AS (SELECT book_id, chapter_no, {_O_CHAIN} AS t FROM (SELECT book_id, chapter_no, text AS t FROM c)),
+{_O_WORDS.replace("WITH RECURSIVE d AS (SELECT doc_id, string_split(" + _O_SENT + ", chr(1)) AS s FROM documents)", "d AS (SELECT {'b': book_id, 'n': chapter_no} AS doc_id, string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM k)")}
+SELECT doc_id.b AS book_id, CAST(doc_id.n AS INT) AS chapter_no, CAST(j - 1 AS INT) AS chunk_no, md5(c[j]) AS digest FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS j FROM e)""".replace("WITH p", "WITH RECURSIVE p", 1)
+
+
+@query(_O_BOOK_CHUNKS)
+def book_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all chapters, which are cleaned and chunked in pieces and never put together."""
+    rows = ln.strip_repeated(ln.lines(_headed(spark, sf_dir)))
+    return pieces.chunked_by_words(rows, piece_bytes=1 << 14).select("book_id", "chapter_no", "chunk_no", F.md5("chunk").alias("digest"))
+
+
 # sources and sinks: written to the shared folder, and read again
 
 
@@ -357,23 +371,47 @@ def _books(spark: SparkSession, sf_dir: str, between: str) -> str:
     return at
 
 
-@query("SELECT 'source=' || source AS book_id, 1 AS chapter_no, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY source")
+def _chapter_texts(spark: SparkSession, sf_dir: str) -> str:
+    """Several text files for each source, in a folder of its own, named by what their documents have in common."""
+    at = fresh(spark, "chapters")
+    docs = _table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 5).alias("fifth"), "doc_id", tx.text_or_empty("text").alias("text"))
+    texts = docs.groupBy("source", "fifth").agg(F.expr("listagg(text, '\\n') within group (order by doc_id)").alias("text"))
+    texts.repartition("source", "fifth").write.partitionBy("source", "fifth").text(at)
+    return at
+
+
+_O_FIFTHS = "SELECT source, doc_id % 5 AS fifth, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY ALL"
+
+
+@query(f"SELECT 'fifth=' || fifth AS folder, 1 AS chapter_no, md5(t) AS digest, source FROM ({_O_FIFTHS})")
 def chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.chapter_files(spark, _books(spark, sf_dir, "\\n"), recursive=True).select("book_id", "chapter_no", F.md5("text").alias("digest"))
+    """A file in each of the folders source=../fifth=.. ."""
+    found = files.chapter_files(spark, _chapter_texts(spark, sf_dir), recursive=True)
+    return found.select(F.col("book_id").alias("folder"), "chapter_no", F.md5("text").alias("digest"), F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"))
 
 
-@query("SELECT CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_no, md5(coalesce(text, '')) AS digest FROM documents")
+@query(f"""SELECT source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY fifth) AS INT) AS chapter_no, 'part-' || fifth AS title, md5(t) AS digest FROM ({_O_FIFTHS})""")
+def chapter_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several named files in the folder of each book, numbered by name."""
+    at = fresh(spark, "folders")
+    write_named(spark.read.text(_chapter_texts(spark, sf_dir), wholetext=True).select(F.col("source").alias("book"), F.format_string("part-%s.txt", "fifth").alias("name"), F.col("value").cast("binary").alias("content")), at, ["book"], "name", "content")
+    return files.chapter_files(spark, at, recursive=True).select(F.regexp_replace("book_id", "^book=", "").alias("book_id"), "chapter_no", "title", F.md5("text").alias("digest"))
+
+
+@query("SELECT 'source=' || source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_no, md5(coalesce(text, '')) AS digest FROM documents")
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = files.extracted_pages(spark, _books(spark, sf_dir, "\\u000c"), lambda b: b.decode()[:-1].split("\f"), "*.txt", recursive=True)
-    return pages.select("page_no", F.md5("text").alias("digest"))
+    return pages.select(F.col("folder").alias("book_id"), "page_no", F.md5("text").alias("digest"))
 
 
-@query("SELECT DISTINCT 'source=' || source AS book_id, 'txt' AS kind, true AS filled FROM documents")
+@query(f"SELECT 'book=' || source AS book_id, 'part-' || fifth || '.txt' AS fname, CAST(strlen(t) AS BIGINT) AS length FROM ({_O_FIFTHS})")
 def finished_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _books(spark, sf_dir, "\\n")
-    found = files.finished_outputs(spark, at, "*.txt").withColumn("length", F.lit(1))
-    sizes = files.audio_files(spark, at, "*.txt", recursive=True).select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("book_id"), "length")
-    return found.drop("length").join(sizes, "book_id").select("book_id", F.regexp_extract("fname", r"\.([^.]*)$", 1).alias("kind"), (F.col("length") > 0).alias("filled"))
+    """Names and lengths of the files that are there."""
+    at = fresh(spark, "folders")
+    write_named(spark.read.text(_chapter_texts(spark, sf_dir), wholetext=True).select(F.col("source").alias("book"), F.format_string("part-%s.txt", "fifth").alias("name"), F.col("value").cast("binary").alias("content")), at, ["book"], "name", "content")
+    sizes = files.audio_files(spark, at, "*.txt", recursive=True)
+    sizes = sizes.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("book_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"), "length")
+    return files.finished_outputs(spark, at, "*.txt").join(sizes, ["book_id", "fname"])
 
 
 @query(_O_TRANSCRIPT + " SELECT conv_id, md5(string_agg(line, chr(10) ORDER BY segment_no, word_no) || chr(10)) AS digest FROM o GROUP BY conv_id")
@@ -441,10 +479,29 @@ def clip_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.clip_audio(rows, "user_id", ["ts", "event_id"], "pcm", "rate", "channels").drop("payload").withColumn("seconds", F.round("seconds", 6))
 
 
-@query("SELECT doc_id, round(CASE WHEN strlen(t) < 2 THEN 0 ELSE sqrt(list_sum(list_transform(range(0, strlen(t) // 2), lambda i: pow(ascii(t[2 * i + 1]) + 256 * ascii(t[2 * i + 2]), 2))) / (strlen(t) // 2)) END, 3) AS level FROM (SELECT doc_id, substr(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 64) AS t FROM documents)")
+_O_LE4 = "printf('%02X%02X%02X%02X', ({0}) % 256, ({0}) // 256 % 256, ({0}) // 65536 % 256, ({0}) // 16777216)"
+_O_WAV = f"""from_hex('52494646' || {_O_LE4.format("36 + n + n % 2")} || '57415645666D7420100000000100' || printf('%02X00', ch) || {_O_LE4.format("CAST(8000 AS BIGINT)")} || {_O_LE4.format("16000 * ch")} || printf('%02X00', 2 * ch) || '100064617461' || {_O_LE4.format("n")}) || encode(p) || CASE WHEN n % 2 = 1 THEN from_hex('00') ELSE from_hex('') END"""
+
+
+@query(_O_GATE.rsplit("g AS (", 1)[0].rstrip().rstrip(",") + f""", b AS (SELECT c.user_id, CAST(clip_no AS BIGINT) AS clip_no, coalesce(props, '') AS p, c.ts, c.event_id FROM c JOIN events USING (event_id) WHERE NOT past OR nth = 1),
+w AS (SELECT user_id, clip_no, string_agg(p, '' ORDER BY ts, event_id) AS p, CAST(sum(strlen(p)) AS BIGINT) AS n, 1 + arg_min(event_id, (ts, event_id)) % 2 AS ch FROM b GROUP BY ALL)
+SELECT 'user_id=' || user_id AS folder, printf('%06d.wav', clip_no) AS fname, CAST(44 + n + n % 2 AS BIGINT) AS length, md5({_O_WAV}) AS digest FROM w""")
+def wav_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WAV file for each clip, written and read again."""
+    events = _table(spark, sf_dir, "events").withColumns({"pcm": F.coalesce("props", F.lit("")).cast("binary"), "rate": F.lit(8000), "channels": (1 + F.col("event_id") % 2).cast("int")})
+    rows = gate.gate_blocks(events, "user_id", ["ts", "event_id"], "ts", F.col("value"), 60, 86400, keep=["pcm", "rate", "channels"])
+    clips = gate.clip_audio(rows, "user_id", ["ts", "event_id"], "pcm", "rate", "channels")
+    at = fresh(spark, "clips")
+    write_named(clips.select("user_id", F.format_string("%06d.wav", "clip_no").alias("fname"), signal.wav(F.col("payload"), F.col("rate"), F.col("channels")).alias("content")), at, ["user_id"], "fname", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(at)
+    return found.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"), "length", F.md5("content").alias("digest"))
+
+
+@query("""SELECT doc_id, round(CASE WHEN strlen(t) < 2 THEN 0 ELSE sqrt(list_sum(list_transform(regexp_extract_all(t, '..'), lambda p: pow(ascii(p[1]) + 256 * ascii(p[2]), 2))) / (strlen(t) // 2)) END, 3) AS level
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS t FROM documents)""")
 def pcm_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first printable letters of a text as 16-bit samples: a block."""
-    block = F.substring(F.regexp_replace(tx.text_or_empty("text"), "[^ -~]", ""), 1, 64).cast("binary")
+    """The printable ASCII letters of each whole text as 16-bit samples."""
+    block = F.regexp_replace(tx.text_or_empty("text"), "[^ -~]", "").cast("binary")
     return _table(spark, sf_dir, "documents").select("doc_id", F.round(signal.pcm_rms(block), 3).alias("level"))
 
 

@@ -67,16 +67,16 @@ def stitched_folder(spark: SparkSession, folder: str, pattern: str = "*.mp3", nu
 
 
 def extracted_pages(spark: SparkSession, folder: str, extract: Callable[[bytes], Iterable[str | None]], pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
-    """book_id, page_no (from 1), text, by a caller's extractor of one file's pages. No extractor is built in."""
+    """folder (that the file is in), book_id, page_no (from 1), text, by a caller's extractor of one file's pages. No extractor is built in."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    files = _loaded(lambda: reader.load(folder), folder).select(stem(F.col("path")).alias("book_id"), "content")
+    files = _loaded(lambda: reader.load(folder), folder).select(_folder(_plain(F.col("path"))).alias("folder"), stem(_plain(F.col("path"))).alias("book_id"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for book, content in zip(batch["book_id"], batch["content"]):
-                yield pd.DataFrame([(book, i, t or "") for i, t in enumerate(extract(content), 1)], columns=["book_id", "page_no", "text"])
+            for at, book, content in zip(batch["folder"], batch["book_id"], batch["content"]):
+                yield pd.DataFrame([(at, book, i, t or "") for i, t in enumerate(extract(content), 1)], columns=["folder", "book_id", "page_no", "text"])
 
-    return files.mapInPandas(run, "book_id string, page_no int, text string")
+    return files.mapInPandas(run, "folder string, book_id string, page_no int, text string")
 
 
 def block_stream(spark: SparkSession, folder: str, schema: str | StructType, files_per_trigger: int = 8) -> DataFrame:

@@ -82,7 +82,7 @@ def test_folders(spark, tmp_path):
     assert {r["book_id"] for r in got} == {tmp_path.name}
     assert [r["length"] for r in files.audio_files(spark, str(tmp_path)).collect()] == [3]
     got = files.extracted_pages(spark, str(tmp_path), lambda b: ["p1", None, str(len(b))], "*.mp3")
-    assert [(r["page_no"], r["text"]) for r in got.orderBy("page_no").collect()] == [(1, "p1"), (2, ""), (3, "3")]
+    assert [(r["folder"], r["book_id"], r["page_no"], r["text"]) for r in got.orderBy("page_no").collect()] == [(tmp_path.name, "x", 1, "p1"), (tmp_path.name, "x", 2, ""), (tmp_path.name, "x", 3, "3")]
 
 
 def test_finished_outputs_and_stitching_of_folders(spark, tmp_path):
