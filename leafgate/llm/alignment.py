@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from leafgate.llm.tables import written
 from leafgate.llm.textarrays import Texts, chunks, ragged
 
-SLICE, BROADCAST_PAIRS = 4 << 20, 1_000_000
-KEPT_CHUNKS, KEPT_BYTES = 400_000, 64
+SLICE, BROADCAST_PAIRS = 2 << 20, 1_000_000
+KEPT_CHUNKS, KEPT_BYTES = 250_000, 64
 #: Bytes of new chunks that are encoded together.
 RUN = 1 << 14
 #: A pair of ids in one number.

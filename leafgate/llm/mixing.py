@@ -16,7 +16,7 @@ caller may pass shares instead: {source: share}; sources that it does not name h
 
 Only DataFrame and SQL functions are used. Hot sources are numbered in parts: buckets by the
 leading digits of the hash are counted, the counts summed up, and documents numbered within their
-bucket. The schedule has a row for each slot and in it a count for each source, so its size grows with the square of the number
+bucket. The schedule has a row for each slot and in it a count for each source, so its size and the work on it grow with the square of the number
 of sources, not with the documents: a thousand sources make eight million counts.
 
 Defined results: a null source is the source ''; null or equal doc_ids and repeated rows each keep
@@ -52,13 +52,13 @@ def shares(counts: DataFrame, weights: dict[str, int] | None = None, temperature
 
 
 #: One period as a fold over its slots. In one row: q, the shares by place of the source; total, their sum.
-#: The state: done, blocks given to each source; out, the source of each slot so far.
+#: The state: done, blocks given to each source; out, of each slot so far its source and what was done before it.
 PERIOD = """
-aggregate(sequence(0L, total - 1L), named_struct('done', transform(q, x -> 0L), 'out', cast(array() as array<int>)),
+aggregate(sequence(0L, total - 1L), named_struct('done', transform(q, x -> 0L), 'out', cast(array() as array<struct<place: int, had: array<bigint>>>)),
   (s, t) -> transform(array(array_min(transform(
       filter(sequence(0, size(q) - 1), i -> s.done[i] < q[i] and s.done[i] * total div q[i] <= t),
       i -> struct((s.done[i] * total + total + q[i] - 1L) div q[i] as due, i as i))).i),
-    p -> named_struct('done', transform(s.done, (d, j) -> if(j = p, d + 1L, d)), 'out', array_append(s.out, p)))[0],
+    p -> named_struct('done', transform(s.done, (d, j) -> if(j = p, d + 1L, d)), 'out', array_append(s.out, named_struct('place', p, 'had', s.done))))[0],
   s -> s.out)
 """
 
@@ -67,13 +67,13 @@ def period(sources: DataFrame) -> DataFrame:
     """A row for each block of one period: src, k (from 0), slot, and ahead: blocks that each source has had before it."""
     row = sources.agg(F.array_sort(F.collect_list(F.struct("src", "share", "n"))).alias("all")).where(F.size("all") > 0)
     row = row.selectExpr("all", "transform(all, x -> x.share) as q", "aggregate(all, 0L, (a, x) -> a + x.share) as total").withColumn("out", F.expr(PERIOD))
-    slots = row.select("all", "q", "total", "out", F.posexplode("out").alias("slot", "place"))
+    slots = row.select("all", "total", F.posexplode_outer("out").alias("slot", "x"))  # outer: else Spark puts the whole fold into a filter as well
     return slots.select(
-        F.expr("all[place].src").alias("src"),
-        F.expr("size(filter(slice(out, 1, slot), x -> x = place))").cast("long").alias("k"),
+        F.expr("all[x.place].src").alias("src"),
+        F.expr("x.had[x.place]").alias("k"),
         F.col("slot").cast("long").alias("slot"),
         "total",
-        F.expr("transform(all, (x, i) -> struct(x.share as share, x.n as n, cast(size(filter(slice(out, 1, slot), y -> y = i)) as bigint) as had))").alias("ahead"),
+        F.expr("transform(all, (a, i) -> struct(a.share as share, a.n as n, x.had[i] as had))").alias("ahead"),
     )
 
 

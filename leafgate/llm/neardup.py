@@ -274,4 +274,4 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class; columns unchanged."""
     later = components(links(docs, threshold)).select(F.col("id").alias("doc_id"))
-    return docs.join(later.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(later.hint("merge"), "doc_id", "left_anti").select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))

@@ -9,7 +9,7 @@ from leafgate.llm.tables import written
 
 STAGES = dict(corpus_pipeline.STAGES)
 #: Columns named as the operators name their own, beside those of documents.
-CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _c0 long, key long, twin long, id long, leader long, spans string, hash string, data binary, part int, `__key` int, doc long, bucket int, kind string, h string, `_src` string"
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _c0 long, key long, twin long, id long, leader long, spans string, hash string, data binary, part int, `__key` int, doc long, bucket int, kind string, h string, `_src` string, `a.b` string"
 WORDS = "the of and to in that is was for on with as they at be this have from or one had by word but not what all were we when your can said there".split()
 
 
@@ -30,7 +30,7 @@ def docs(spark):
     said += [(200, said[3][1], "en", "a"), (201, text(40), "en", "c"), (201, "same row of words that stands here twice or more", "en", "c"), (202, "same row of words that stands here twice or more", "en", "c")]
     said += [(203, "mail me@x.org or +1 (555) 123-4567 now " + text(30), "en", "c"), (204, "we know only these seven words are the item " + text(30), "en", "c"), (205, text(60_000), "en", "c")]
     said += [said[5], said[5]]
-    own = [(i, t, lang, s, 0, 1, 2, 3, 4, 5, "s", "h", bytearray(b"d"), 6, 7, 8, 9, "k", "h", "s") for i, t, lang, s in said]
+    own = [(i, t, lang, s, 0, 1, 2, 3, 4, 5, "s", "h", bytearray(b"d"), 6, 7, 8, 9, "k", "h", "s", "d") for i, t, lang, s in said]
     return written(spark.createDataFrame(own, CLASHING), "edges")
 
 
