@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafgate.llm.tables import written
+from leafgate.llm.tables import sifted, written
 from leafgate.llm.textarrays import ALNUM, FOLDED, Words, chunks, covered, sliding_argmin
 
 K, W = 5, 6
@@ -182,6 +182,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
                 clean[words.doc[start] if len(start) else start] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = sifted(docs, run)
         docs = written(docs, "clean") if several else docs
     return docs

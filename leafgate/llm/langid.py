@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leafgate.llm.tables import sifted
 from leafgate.llm.textarrays import FOLDED, LETTERS, Texts, U, Words, chunks, mix, powers, ragged
 
 ORDER = 5
@@ -285,4 +286,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch, texts in chunks(batches, most=CHUNK):
             yield batch.filter(pa.array(~Decision(scorer, texts).rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return sifted(docs, run)

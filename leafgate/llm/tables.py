@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from leafgate.plans.scratch import fresh
 from leafgate.plans.ship import shipped
 
-
 _made: list[str] = []
 
 
+def sifted(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows that run leaves of docs, whatever the names of its columns: run knows text only. (Spark resolves names by their text here, dots too.)"""
+    plain = docs.toDF(*(c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
