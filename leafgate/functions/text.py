@@ -61,18 +61,24 @@ def strip_controls(t: Column) -> Column:
 _MARK = "\uffff"  # no character: texts that hold it all the same go the slower way
 
 
-def _calm(w: Column, acronyms: list[str] | tuple[str, ...]) -> Column:
-    return F.when(w.isin(*acronyms), w).otherwise(F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1 << 30))))
+def _calm(w: Column, stays: Column) -> Column:
+    return F.when(stays, w).otherwise(F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1 << 30))))
 
 
-def deshout(t: Column, acronyms: list[str] | tuple[str, ...] = ACRONYMS) -> Column:
-    """Whole words of three or more A-Z keep only their first capital, unless they are acronyms. Texts without three capitals in a row pass as they are."""
+def deshout(t: Column, acronyms: list[str] | tuple[str, ...] | Column = ACRONYMS) -> Column:
+    """Whole words of three or more A-Z keep only their first capital, unless they are acronyms (values, or a column of arrays). Texts without three capitals in a row pass as they are."""
+    stays = (lambda w: F.array_contains(acronyms, w)) if isinstance(acronyms, Column) else (lambda w: w.isin(*acronyms))
     parts = F.split(F.regexp_replace(t, r"(?U)(?=[A-Z]{3})\b([A-Z]{3,})\b", f"{_MARK}$1{_MARK}"), _MARK)  # every second one is such a word
-    marked = F.array_join(F.transform(parts, lambda w, i: F.when(i % 2 == 1, _calm(w, acronyms)).otherwise(w)), "")
-    every = F.array_join(F.transform(F.split(t, r"(?U)\b"), lambda w: F.when(w.rlike("^[A-Z]{3,}$"), _calm(w, acronyms)).otherwise(w)), "")
+    marked = F.array_join(F.transform(parts, lambda w, i: F.when(i % 2 == 1, _calm(w, stays(w))).otherwise(w)), "")
+    every = F.array_join(F.transform(F.split(t, r"(?U)\b"), lambda w: F.when(w.rlike("^[A-Z]{3,}$"), _calm(w, stays(w))).otherwise(w)), "")
     return F.when(~t.rlike("[A-Z]{3}"), t).when(t.contains(_MARK), every).otherwise(marked)
 
 
+def shouted_words(t: Column) -> Column:
+    """The distinct words that deshout looks at."""
+    return F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Z]{3,})\b"), F.lit(1)))
+
+
 def strip_ends(t: Column) -> Column:
     return F.regexp_replace(t, r"(?U)^\s+|\s+\z", "")
 

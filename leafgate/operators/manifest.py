@@ -42,8 +42,9 @@ def part_names(chunked: DataFrame) -> DataFrame:
     return chunked.withColumn("part", F.format_string("%04d.wav", "chunk_no"))
 
 
-def stitched(files: DataFrame, by: str, name: str = "fname", numeric: bool = False) -> DataFrame:
-    """Per `by`: the files in the order of their names, as one list, and the output's name. numeric: by leading number first."""
-    order = [F.coalesce(F.regexp_extract(name, r"^(\d+)", 1).try_cast("long"), F.lit(0))] if numeric else []
+def stitched(files: DataFrame, by: str, name: str = "fname", numeric: bool = False, fold: bool = False) -> DataFrame:
+    """Per `by`: the files in the order of their names, as one list, and the output's name. numeric: by leading number first. fold: whatever the case, and of names that differ in case alone by code point."""
+    order = [F.lower(name)] if fold else []
+    order = [F.coalesce(F.regexp_extract(name, r"^(\d+)", 1).try_cast("long"), F.lit(0))] + order if numeric else order
     keyed = F.array_sort(F.collect_list(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)), F.col(name).alias("f"))))
     return files.groupBy(by).agg(F.count("*").alias("n_files"), F.array_join(F.transform(keyed, lambda x: x["f"]), "|").alias("files"), F.concat(F.first(stem(F.col(by))), F.lit("_full.mp3")).alias("output"))

@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafgate.functions import signal, text as tx
-from leafgate.operators import chapters as ch, chunks, gate, lines as ln, manifest as mf, pieces, transcript as tr
+from leafgate.operators import acronyms, chapters as ch, chunks, gate, lines as ln, manifest as mf, pieces, transcript as tr
 from leafgate.plans import book, engines
 from leafgate.plans.scratch import fresh
 from leafgate.plans.ship import shipped
@@ -224,6 +224,23 @@ def stitch_order_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mf.stitched(files, "source", numeric=True)
 
 
+_O_MIXED = "CASE WHEN doc_id % 3 = 0 THEN 'Part_' WHEN doc_id % 3 = 1 THEN 'part_' ELSE 'PARTLY_' END || doc_id || '.mp3'"
+
+
+@query(f"SELECT source, count(*) AS n_files, string_agg({_O_MIXED}, '|' ORDER BY lower({_O_MIXED}), {_O_MIXED}) AS files, source || '_full.mp3' AS output FROM documents GROUP BY source")
+def stitch_order_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in an order that does not look at case."""
+    names = _table(spark, sf_dir, "documents").select("source", F.expr(_O_MIXED).alias("fname"))
+    return mf.stitched(names, "source", fold=True)
+
+
+@query(f"{_D} SELECT doc_id, {_O_STEPS[5]('t')} AS out FROM d")
+def deshout_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that stay are a table."""
+    words = spark.createDataFrame([(a,) for a in tx.ACRONYMS], "word string")
+    return acronyms.deshouted(_dirty(spark, sf_dir), "doc_id", words, "t").select("doc_id", F.col("t").alias("out"))
+
+
 @query("SELECT doc_id, n_chars // 1024 AS kb, round(n_chars / 1048576, 1) AS mb, regexp_replace(printf('%d', n_chars), '(\\d)(\\d{3})$', '\\1,\\2') AS said FROM documents")
 def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", tx.kilobytes(F.col("n_chars")).alias("kb"), tx.megabytes(F.col("n_chars")).alias("mb"), tx.thousands(F.col("n_chars")).alias("said"))
