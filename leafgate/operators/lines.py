@@ -21,9 +21,16 @@ def repeated_lines(rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return once.groupBy("book_id", "stripped").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
 
 
-def strip_repeated(rows: DataFrame, min_pages: int = MIN_PAGES, keep_headings: bool = False) -> DataFrame:
-    """rows without repeated lines. keep_headings: headings stay even if they repeat (not the default)."""
-    repeated = repeated_lines(rows, min_pages).select("book_id", "stripped")
+def repeated_of_pages(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The same of pages, of which each is one row: a page's lines are made distinct within the row, so only counts travel."""
+    own = F.array_distinct(F.transform(split_lines(text_or_empty("text")), strip_ends))
+    once = pages.select("book_id", F.explode(own).alias("stripped")).where("stripped <> ''")
+    return once.groupBy("book_id", "stripped").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+
+
+def strip_repeated(rows: DataFrame, min_pages: int = MIN_PAGES, keep_headings: bool = False, repeated: DataFrame | None = None) -> DataFrame:
+    """rows without repeated lines. keep_headings: headings stay even if they repeat (not the default). repeated: those lines, where they are known."""
+    repeated = (repeated_lines(rows, min_pages) if repeated is None else repeated).select("book_id", "stripped")
     if keep_headings:
         repeated = repeated.where(~is_heading(F.col("stripped")))
     return rows.join(repeated, ["book_id", "stripped"], "left_anti").select(*rows.columns)

@@ -39,7 +39,7 @@ class Settings:
 
 
 def cleaned_chapters(pages: DataFrame, keep_headings: bool = False) -> DataFrame:
-    rows = ln.strip_repeated(ln.lines(pages), keep_headings=keep_headings)
+    rows = ln.strip_repeated(ln.lines(pages), keep_headings=keep_headings, repeated=ln.repeated_of_pages(pages))  # a page is a row
     return ch.chapters(rows).withColumn("text", clean(F.col("text")))
 
 

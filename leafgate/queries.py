@@ -97,14 +97,18 @@ def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages
 
 
+def _stripped(pages: DataFrame) -> DataFrame:
+    return ln.strip_repeated(ln.lines(pages), repeated=ln.repeated_of_pages(pages))
+
+
 @query(f"{_O_PAGES} SELECT * FROM rep")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ln.repeated_lines(ln.lines(_pages(spark, sf_dir)))
+    return ln.repeated_of_pages(_pages(spark, sf_dir))
 
 
 @query(f"{_O_PAGES} SELECT book_id, page_no, CAST(line_no AS INT) AS line_no, line, stripped FROM l ANTI JOIN rep USING (book_id, stripped)")
 def strip_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ln.strip_repeated(ln.lines(_pages(spark, sf_dir)))
+    return _stripped(_pages(spark, sf_dir))
 
 
 @query(f"{_O_HEADED} SELECT book_id, page_no, CAST(line_no AS INT) AS line_no, stripped FROM l WHERE {_O_IS_HEADING}")
@@ -122,7 +126,7 @@ c AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY seg)
 
 @query(f"{_O_CHAPTERS} SELECT * FROM c")
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ch.chapters(ln.strip_repeated(ln.lines(_headed(spark, sf_dir))))
+    return ch.chapters(_stripped(_headed(spark, sf_dir)))
 
 
 @query(f"{_O_CHAPTERS} SELECT book_id, count(*) AS n_chapters, CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS n_words FROM c GROUP BY book_id")
@@ -366,7 +370,7 @@ SELECT doc_id.b AS book_id, CAST(doc_id.n AS INT) AS chapter_no, CAST(j - 1 AS I
 @query(_O_BOOK_CHUNKS)
 def book_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all chapters, which are cleaned and chunked in pieces and never put together."""
-    rows = ln.strip_repeated(ln.lines(_headed(spark, sf_dir)))
+    rows = _stripped(_headed(spark, sf_dir))
     return pieces.chunked_by_words(rows, piece_bytes=1 << 14).select("book_id", "chapter_no", "chunk_no", F.md5("chunk").alias("digest"))
 
 

@@ -28,6 +28,12 @@ def test_a_heading_on_five_pages_goes_first(spark):
     assert len(made(spark, *rows[:4])) == 4
 
 
+def test_repeated_lines_of_pages_are_those_of_lines(spark):
+    rows = pages(spark, *(f"top\n twice \ntwice\n\nown {i}\n" + ("five" if i < 5 else "") + ("\nfour" if i < 4 else "") for i in range(6)), None, "")
+    want = sorted(map(tuple, ln.repeated_lines(ln.lines(rows)).collect()))
+    assert sorted(map(tuple, ln.repeated_of_pages(rows).collect())) == want == [("b", "five", 5), ("b", "top", 6), ("b", "twice", 6)]
+
+
 def test_many_chapters_in_order(spark):
     got = made(spark, *(f"Chapter {i}\nbody {i}" for i in range(1, 131)))
     assert [g[1] for g in got] == [f"Chapter {i}" for i in range(1, 131)]
