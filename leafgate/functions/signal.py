@@ -34,10 +34,22 @@ def _little(n: Column, size: int) -> Column:
     return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(size))))
 
 
+def wav_header(n: Column, rate: Column | int, channels: Column | int) -> Column:
+    """The 44 bytes before n bytes of 16-bit PCM."""
+    rate, channels = (F.lit(x) if isinstance(x, int) else x for x in (rate, channels))
+    form = (F.lit(b"WAVEfmt "), _little(F.lit(16), 4), _little(F.lit(1), 2), _little(channels, 2), _little(rate, 4), _little(rate * channels * 2, 4), _little(channels * 2, 2), _little(F.lit(16), 2))
+    return F.concat(F.lit(b"RIFF"), _little(36 + n + n % 2, 4), *form, F.lit(b"data"), _little(n, 4))
+
+
 def wav(payload: Column, rate: Column | int, channels: Column | int) -> Column:
     """A WAV file of 16-bit PCM: the header, the bytes, and a zero byte after an odd number of them. Up to 4 GB."""
-    rate, channels = (F.lit(x) if isinstance(x, int) else x for x in (rate, channels))
     data = F.coalesce(payload, F.lit(b""))
     n = F.octet_length(data)
-    form = (F.lit(b"WAVEfmt "), _little(F.lit(16), 4), _little(F.lit(1), 2), _little(channels, 2), _little(rate, 4), _little(rate * channels * 2, 4), _little(channels * 2, 2), _little(F.lit(16), 2))
-    return F.concat(F.lit(b"RIFF"), _little(36 + n + n % 2, 4), *form, F.lit(b"data"), _little(n, 4), data, F.when(n % 2 == 1, F.lit(b"\x00")).otherwise(F.lit(b"")))
+    return F.concat(wav_header(n, rate, channels), data, F.when(n % 2 == 1, F.lit(b"\x00")).otherwise(F.lit(b"")))
+
+
+def wav_payload(content: Column) -> Column:
+    """The sound of a file that `wav` has made."""
+    said = F.hex(F.substring(content, 41, 4))
+    n = F.conv(F.concat(*(F.substring(said, i, 2) for i in (7, 5, 3, 1))), 16, 10).cast("int")
+    return F.substring(content, F.lit(45), n)

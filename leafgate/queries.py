@@ -12,12 +12,14 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafgate.functions import signal, text as tx
-from leafgate.operators import acronyms, chapters as ch, chunks, gate, lines as ln, manifest as mf, pieces, transcript as tr
+from leafgate.operators import acronyms, chapters as ch, chunks, gate, lines as ln, manifest as mf, pcm, pieces, transcript as tr
 from leafgate.plans import book, engines
 from leafgate.plans.scratch import fresh
 from leafgate.plans.ship import shipped
 from leafgate.sources import files
+from leafgate.sources.live import sound_stream
 from leafgate.sources.named import write_named
+from leafgate.streaming.blocks import block_stream
 from leafgate.streaming.gate import gate_stream
 from leafgate.streaming.ordered import ordered_gate_stream
 
@@ -534,3 +536,98 @@ def synthesised(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("chapter_no"), tx.text_or_empty("text").alias("text"))
     audio = engines.synthesised(chunks.chunked(docs, settings.chunks(F.col("text"))), "echo", "voice")
     return audio.select("book_id", "chapter_no", "chunk_no", F.md5("audio").alias("digest"))
+
+
+_O_SINC = "CASE WHEN abs({t}) >= {reach} THEN 0 ELSE {cut} * CASE WHEN {t} = 0 THEN 1 ELSE sin(pi() * {cut} * ({t})) / (pi() * {cut} * ({t})) END * (0.5 + 0.5 * cos(pi() * ({t}) / {reach})) END"
+
+
+def _sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as recordings, in blocks of ten samples."""
+    of = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size("embedding") - 1) / 10), F.lit(0))), lambda i: F.struct((i * 10).alias("at"), F.slice("embedding", (i * 10 + 1).cast("int"), 10).alias("x"))))
+    return _table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", of.alias("b")).select("vec_id", F.col("b.at").alias("start"), F.col("b.x").alias("samples"))
+
+
+@query(f"""WITH s AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k, len(embedding) AS n FROM embeddings),
+m AS (SELECT vec_id, unnest(range(0, CAST(ceil(len(embedding) * 3 / 2) AS BIGINT))) AS m FROM embeddings)
+SELECT vec_id, m AS frame, round(sum(CAST(x AS DOUBLE) * {_O_SINC.format(t="m * CAST(2 AS DOUBLE) / 3 - k", cut="1.0", reach="16.0")}), 6) + 0 AS sample FROM m JOIN s USING (vec_id) GROUP BY ALL""")
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three samples for every two, in blocks of eight that see their neighbours."""
+    rows = pcm.resampled(_sound(spark, sf_dir), "vec_id", "start", "samples", 32000, 48000, frames=8)
+    rows = rows.select("vec_id", "start", F.posexplode("samples").alias("i", "x"))
+    return rows.select("vec_id", (F.col("start") + F.col("i")).alias("frame"), (F.round("x", 6) + 0).alias("sample"))
+
+
+@query(f"""WITH s AS (SELECT vec_id, k, (CAST(embedding[2 * k + 9] AS DOUBLE) + embedding[2 * k + 10]) / 2 AS x FROM (SELECT vec_id, embedding, unnest(range(0, greatest(0, least(20, len(embedding) // 2 - 4)))) AS k FROM embeddings)),
+m AS (SELECT vec_id, unnest(range(0, greatest(0, least(20, len(embedding) // 2 - 4) + 1) // 2)) AS m FROM embeddings)
+SELECT vec_id, m AS frame, round(sum(x * {_O_SINC.format(t="m * CAST(2 AS DOUBLE) - k", cut="0.5", reach="32.0")}), 6) + 0 AS sample FROM m JOIN s USING (vec_id) GROUP BY ALL""")
+def voice_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One second skipped and five kept of two channels of four frames a second, as one channel of two."""
+    sound = _sound(spark, sf_dir).withColumn("start", (F.col("start") / 2).cast("long"))
+    rows = pcm.voice_sample(sound, "vec_id", "start", "samples", 4, 2, 1.0, 5.0, 2, frames=3)
+    rows = rows.select("vec_id", "start", F.posexplode("samples").alias("i", "x"))
+    return rows.select("vec_id", (F.col("start") + F.col("i")).alias("frame"), (F.round("x", 6) + 0).alias("sample"))
+
+
+_O_PIECES = "SELECT {b} AS book_id, CAST(i AS BIGINT) AS piece_no, CAST(least(4096, length(h) // 2 - 4096 * i) AS BIGINT) AS n_bytes, md5(from_hex(substr(h, 8192 * i + 1, 8192))) AS digest FROM (SELECT {b}, h, unnest(range(0, (length(h) // 2 + 4095) // 4096)) AS i FROM h)"
+
+
+@query("WITH h AS (SELECT source, string_agg(hex(encode(coalesce(text, ''))), '' ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS h FROM documents GROUP BY source) " + _O_PIECES.format(b="source"))
+def stitched_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each source one after the other, in pieces of 4 KB."""
+    docs = _table(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), "text")
+    return pcm.stitched_pieces(docs, "source", "name", "text", 4096).select(F.col("source").alias("book_id"), "piece_no", F.octet_length("payload").cast("long").alias("n_bytes"), F.md5("payload").alias("digest"))
+
+
+@query(f"""WITH p AS (SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS p, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS n, 1 AS ch FROM conversations GROUP BY conv_id),
+h AS (SELECT 'conv_id=' || conv_id AS book, hex({_O_WAV}) AS h FROM p) {_O_PIECES.format(b="book")}""")
+def stitched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each conversation, a WAV file each, stitched to one WAV file, whose pieces are written as files and read again."""
+    one = _table(spark, sf_dir, "conversations").select("conv_id", F.format_string("%04d.wav", "turn").alias("fname"), signal.wav(F.col("text").cast("binary"), 8000, 1).alias("content"))
+    parts = fresh(spark, "parts")
+    write_named(one, parts, ["conv_id"], "fname", "content")
+    read = lambda at: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("book"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"), "content")
+    whole = pcm.stitched_pieces(read(parts).withColumn("content", signal.wav_payload(F.col("content"))), "book", "fname", "content", 4096, 8000)
+    at = fresh(spark, "stitched")
+    write_named(whole.select(F.regexp_replace("book", "^conv_id=", "").alias("conv_id"), F.format_string("%06d", "piece_no").alias("fname"), "payload"), at, ["conv_id"], "fname", "payload")
+    return read(at).select(F.col("book").alias("book_id"), F.col("fname").cast("long").alias("piece_no"), F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
+_O_SOUND = """WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS device, string_agg(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), '' ORDER BY turn) AS p FROM conversations GROUP BY conv_id),
+b AS (SELECT device, i, substr(p, {w} * i + 1, least({w}, 2 * (length(p) // 2) - {w} * i)) AS b FROM (SELECT device, p, unnest(range(0, (length(p) // 2 * 2 + {w} - 1) // {w})) AS i FROM p))
+SELECT device, CAST(i AS BIGINT) AS block_no, CAST(length(b) // 2 AS BIGINT) AS n, md5(b) AS digest FROM b"""
+
+
+def _recorded(spark: SparkSession, sf_dir: str, frames: int, run: Callable[[DataFrame, str], None]) -> None:
+    """run(stream, checkpoint), first while the recordings (conversations, their printable ASCII letters as samples) are half there, and again, from the checkpoint, when they are over."""
+    said = F.regexp_replace(tx.text_or_empty("text"), "[^ -~]", "")
+    whole = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("t")))), lambda x: x["t"]), "").alias("p"))
+    whole = whole.select(F.concat(F.col("conv_id").cast("string"), F.lit(".pcm")).alias("name"), "p")
+    half = whole.select("name", F.expr("substring(p, 1, cast(length(p) / 2 as int))").cast("binary").alias("content"))
+    over = whole.select("name", F.col("p").cast("binary").alias("content")).unionByName(whole.select(F.concat("name", F.lit(".end")).alias("name"), F.lit(b"").alias("content")))
+    state = fresh(spark, "sound-state")
+    for files_there in (half, over):
+        at = fresh(spark, "sound")
+        write_named(files_there, at, [], "name", "content")
+        run(sound_stream(spark, at, 8000, 1, frames), state)
+
+
+@query(_O_SOUND.format(w=128))
+def live_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings read while they grow, in blocks of 64 frames, by a stream that is started twice."""
+    out = fresh(spark, "live")
+    _recorded(spark, sf_dir, 64, lambda stream, state: files.write_clips(stream, out, state, availableNow=True).awaitTermination())
+    rows = spark.read.schema("device string, start long, pcm binary").parquet(out).where("pcm is not null")
+    return rows.select("device", F.floor(F.col("start") / 64).cast("long").alias("block_no"), F.floor(F.octet_length("pcm") / 2).cast("long").alias("n"), F.md5("pcm").alias("digest"))
+
+
+@query(_O_SOUND.format(w=96))
+def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in blocks of 48 frames, made over the stream from blocks of 64."""
+    out = fresh(spark, "live")
+
+    def run(stream: DataFrame, state: str) -> None:
+        files.write_clips(block_stream(stream, "device", "start", "pcm", 48), out, state, availableNow=True).awaitTermination()
+
+    _recorded(spark, sf_dir, 64, run)
+    rows = spark.read.schema("device string, block_no long, n long, level double, pcm binary").parquet(out)
+    return rows.select("device", "block_no", "n", F.md5("pcm").alias("digest"))
