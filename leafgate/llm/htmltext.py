@@ -5,12 +5,13 @@ block begins, a list item, table cell, row or option where the next one does), s
 ignored; what lies in elements deeper than `DEEPEST` hangs on that level, in its order, and their hiding and end tags hold. Tags are read
 as HTML says: a quote opens a value only after an equals sign. Then the tree is rendered. Everything a browser would
 show is kept, navigation, footers, formulas and the labels of drawings too; what it would not show is left out: head, scripts, styles, templates,
-`hidden`, `display:none`, closed details and dialogs, and fallback content. `visibility` is inherited: what it hides is left out, but for
+`hidden`, `display:none`, passwords, closed details and dialogs, and fallback content. `visibility` is inherited: what it hides is left out, but for
 descendants that are set visible again.
 Runs of white space become one space. Blocks begin on a new line, paragraphs, headings, lists and tables
 stand between blank lines; items carry a bullet or number and are indented by level; preformatted text
 stays as it is; the cells of a table's columns are aligned (up to `WIDEST` characters, so a long cell widens nothing but itself),
-row and column spans included, the latter up to `MOST_SPAN` as HTML has it.
+row and column spans included, up to `MOST_ROWS` and `MOST_SPAN` as HTML has it, and no row span beyond its group of rows. A cell outside a row implies one; what else stands between
+the cells comes before the table, and a form that begins there holds nothing. Ordered lists count as they say (start, value, reversed, type).
 
 Defined results: a null or empty page gives an empty text and zero counts; text without tags is itself; an unclosed
 comment or script reaches to the end of the page, and so does a tag after which no > follows; a tag whose quote never closes ends at its first >; however long
@@ -20,6 +21,7 @@ and deep a page is, it is read whole; repeated rows give repeated rows; extra co
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -27,7 +29,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-DEEPEST, WIDEST, MOST_SPAN = 150, 60, 1000
+DEEPEST, WIDEST, MOST_SPAN, MOST_ROWS = 512, 60, 1000, 65534
+#: Frames of the interpreter that rendering a page of that depth needs, and more.
+FRAMES = 10_000
 RESULT = "page_id long, title string, text string, n_lines long, n_items long, n_tables long"
 
 _words = lambda s: frozenset(s.split())
@@ -39,6 +43,8 @@ UNSEEN = _words("head title script style template noscript iframe noembed nofram
 PARAGRAPH_ENDERS = _words("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd")
 BLOCK = PARAGRAPH_ENDERS | _words("html body caption tr td th thead tbody tfoot option optgroup legend")
 SPACED = _words("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure menu dir")
+TABLE_PARTS = _words("table thead tbody tfoot tr")
+TYPED = _words("text search email number url tel date datetime-local month week time submit button reset")
 FORMATTING = _words("a b big code em font i nobr s small strike strong tt u")
 # Start tag: open elements that it ends, and those beyond which it does not look.
 IMPLIED = {
@@ -198,6 +204,12 @@ def parse(page: str) -> Node:
                 close(*IMPLIED[tag])
             if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in stack)):
                 continue
+            if tag == "form" and not deep.open and stack[-1].tag in TABLE_PARTS:
+                continue  # one that begins between the cells of a table holds nothing
+            if tag in ("td", "th") and not deep.open and stack[-1].tag in TABLE_PARTS and stack[-1].tag != "tr" and len(stack) < DEEPEST:
+                row = Node("tr")
+                stack[-1].children.append(row)
+                stack.append(row)
             node = Node(tag, _attributes(m[3]) if m[3] else None)
             if not deep.hidden():
                 stack[-1].children.append(node)
@@ -262,8 +274,7 @@ class Flow:
             elif x.tag == "img":
                 self.inline.append(x.attributes.get("alt", ""))
             elif x.tag == "input":
-                if x.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
-                    self.inline.append(x.attributes.get("value", ""))
+                self.inline.append(_typed(x))
             elif x.tag not in BLOCK:
                 self.walk(x.children, level)
             else:
@@ -298,84 +309,142 @@ class Flow:
         return [(mark + lines[0]).rstrip(" ")] + [" " * len(mark) + s if s else s for s in lines[1:]]
 
     def list(self, x: Node, level: int) -> None:
-        start = x.attributes.get("start", "1")
-        n = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+        items = [c for c in x.children if isinstance(c, Node) and c.tag == "li" and not c.hidden()]
+        step = -1 if "reversed" in x.attributes else 1
+        n = _whole(x.attributes.get("start"), len(items) if step < 0 else 1)
+        kind = x.attributes.get("type", "1")
         lines: list[str] = []
         for c in x.children:
             if isinstance(c, Node) and c.tag == "li" and not c.hidden():
-                lines += self.item(c, f"{n}. " if x.tag == "ol" else "- ", level)
-                n += 1
+                n = _whole(c.attributes.get("value"), n)
+                lines += self.item(c, f"{_numeral(n, c.attributes.get('type', kind))}. " if x.tag == "ol" else "- ", level)
+                n += step
             else:
                 lines += self.inner([c], level + 1)
         self.add(level == 0, lines)
 
 
+def _typed(x: Node) -> str:
+    """What an input shows."""
+    kind = x.attributes.get("type", "text").lower()
+    return x.attributes.get("alt" if kind == "image" else "value", "") if kind in TYPED or kind == "image" else ""
+
+
+def _whole(said: str | None, otherwise: int) -> int:
+    return int(said) if said and re.fullmatch(r"-?[0-9]{1,9}", said) else otherwise
+
+
+def _numeral(n: int, kind: str) -> str:
+    """The number of an item: in letters or Roman if the list says so and the number has such a form."""
+    said = ""
+    if kind in ("a", "A") and n > 0:
+        while n:
+            n, digit = divmod(n - 1, 26)
+            said = chr(ord("a") + digit) + said
+    elif kind in ("i", "I") and 0 < n < 4000:
+        for power, (one, five, ten) in ((1000, "m  "), (100, "cdm"), (10, "xlc"), (1, "ivx")):
+            digit = n // power % 10
+            said += one + ten if digit == 9 else one + five if digit == 4 else five * (digit > 4) + one * (digit % 5)
+    return (said.upper() if kind.isupper() else said) or str(n)
+
+
 def _raw(x: Node) -> str:
+    """Preformatted text; blocks in it are lines of their own."""
     out, todo = [], [*reversed(x.children)]
     while todo:
         c = todo.pop()
-        if isinstance(c, str):
-            out.append(c)
+        if c is None:
+            if out and not out[-1].endswith("\n"):
+                out.append("\n")
+        elif isinstance(c, str):
+            if c:
+                out.append(c)
         elif c.tag == "br":
             out.append("\n")
+        elif c.tag in ("img", "input") and not c.hidden():
+            if said := c.attributes.get("alt", "") if c.tag == "img" else _typed(c):
+                out.append(said)
         elif not c.hidden():
-            todo += reversed(c.children)
+            todo += [None, *reversed(c.children), None] if c.tag in BLOCK else reversed(c.children)
     return "".join(out)
 
 
-def _rows(x: Node) -> tuple[list[Node], list[Node]]:
-    """Rows in the order of display, and captions."""
-    parts: dict[str, list[Node]] = {"thead": [], "tbody": [], "tfoot": []}
+def _rows(x: Node) -> tuple[list[list[list[Node]]], list[Node], list]:
+    """Groups of rows of cells in the order of display, captions, and what stands between cells: a browser shows that before the table."""
+    groups: dict[str, list[list[list[Node]]]] = {"thead": [], "tbody": [], "tfoot": []}
     captions: list[Node] = []
+    before: list = []
+    open_group: list[list[Node]] | None = None  # of rows that are in no group
+
+    def shown(c) -> bool:
+        return bool(c.strip()) if isinstance(c, str) else not c.hidden() and c.tag not in ("colgroup", "col")
+
+    def row(children: list) -> list[Node]:
+        kept = [c for c in children if shown(c)]
+        cells = [c for c in kept if isinstance(c, Node) and c.tag in ("td", "th")]
+        before.extend(c for c in kept if not (isinstance(c, Node) and c.tag in ("td", "th")))
+        return cells
+
+    def add(group: list[list[Node]], c) -> None:
+        """One child of a group: a row, a cell beyond the deepest row, or something else."""
+        if isinstance(c, Node) and c.tag == "tr":
+            group.append(row(c.children))
+        elif isinstance(c, Node) and c.tag in ("td", "th"):
+            group.append([c])
+        else:
+            before.append(c)
+
     for c in x.children:
-        if isinstance(c, str) and not c.strip() or isinstance(c, Node) and (c.hidden() or c.tag in ("colgroup", "col")):
+        if not shown(c):
             continue
         if isinstance(c, Node) and c.tag == "caption":
             captions.append(c)
-        elif isinstance(c, Node) and c.tag in parts:
-            parts[c.tag] += [r for r in c.children if isinstance(r, Node) and r.tag == "tr" and not r.hidden()]
-        elif isinstance(c, Node) and c.tag == "tr":
-            parts["tbody"].append(c)
-        else:  # content outside cells stands before the table
-            before = Node("caption")
-            before.children.append(c)
-            captions.append(before)
-    return parts["thead"] + parts["tbody"] + parts["tfoot"], captions
-
-
-def _span(x: Node, name: str) -> int:
+        elif isinstance(c, Node) and c.tag in groups:
+            rows: list[list[Node]] = []
+            for r in filter(shown, c.children):
+                add(rows, r)
+            groups[c.tag].append(rows)
+            open_group = None
+        else:
+            if open_group is None:
+                open_group = []
+                groups["tbody"].append(open_group)
+            add(open_group, c)
+    return groups["thead"] + groups["tbody"] + groups["tfoot"], captions, before
+
+
+def _span(x: Node, name: str, most: int) -> int:
     said = x.attributes.get(name, "1")
-    return min(MOST_SPAN, max(1, int(said))) if re.fullmatch(r"[0-9]{1,6}", said) else 1
+    return min(most, int(said)) if re.fullmatch(r"[0-9]{1,6}", said) else 1
 
 
 def table_lines(x: Node, counts: dict[str, int], level: int) -> list[str]:
-    rows, captions = _rows(x)
+    groups, captions, before = _rows(x)
     grid: list[list[tuple[int, int, list[str]]]] = []  # of each row: column, span and lines of its cells
-    taken: dict[int, int] = {}  # column: rows that a cell from above still covers
     widths: dict[int, int] = {}
-    for r in rows:
-        cells, column = [], 0
-        begun: dict[int, int] = {}
-        for c in r.children:
-            if isinstance(c, str) and not c.strip() or isinstance(c, Node) and c.hidden():
-                continue
-            while taken.get(column, 0):
-                column += 1
-            lines = Flow(counts).walk(c.children if isinstance(c, Node) and c.tag in ("td", "th") else [c], level + 1).lines()
-            wide, tall = (_span(c, "colspan"), _span(c, "rowspan")) if isinstance(c, Node) else (1, 1)
-            cells.append((column, wide, lines))
-            for k in range(column, column + wide):
-                begun[k] = tall
-            if wide == 1:
-                widths[column] = min(WIDEST, max([widths.get(column, 0), *map(len, lines)]))
-            column += wide
-        taken = {k: v - 1 for k, v in {**taken, **begun}.items() if v > 1}
-        grid.append(cells)
+    for rows in groups:
+        taken: dict[int, int] = {}  # column: rows that a cell from above still covers; none reaches beyond its group
+        for r in rows:
+            cells, column = [], 0
+            begun: dict[int, int] = {}
+            for c in r:
+                while taken.get(column, 0):
+                    column += 1
+                lines = Flow(counts).walk(c.children, level + 1).lines()
+                wide, tall = max(1, _span(c, "colspan", MOST_SPAN)), _span(c, "rowspan", MOST_ROWS) or MOST_ROWS  # 0: to the end of the group
+                cells.append((column, wide, lines))
+                for k in range(column, column + wide):
+                    begun[k] = tall
+                if wide == 1:
+                    widths[column] = min(WIDEST, max([widths.get(column, 0), *map(len, lines)]))
+                column += wide
+            taken = {k: v - 1 for k, v in {**taken, **begun}.items() if v > 1}
+            grid.append(cells)
     starts, at = {}, 0
     for k in range(max([-1, *(c + w - 1 for cells in grid for c, w, _ in cells)]) + 1):
         starts[k] = at
         at += widths[k] + 2 if widths.get(k) else 0
-    out = [s for c in captions for s in Flow(counts).walk(c.children, level).lines()]
+    out = Flow(counts).walk(before, level).lines() + [s for c in captions for s in Flow(counts).walk(c.children, level).lines()]
     for cells in grid:
         for i in range(max([0, *(len(lines) for _, _, lines in cells)])):
             line = ""
@@ -389,6 +458,8 @@ def table_lines(x: Node, counts: dict[str, int], level: int) -> list[str]:
 
 def render(page: str) -> tuple[str, str, int, int]:
     """Title, visible text, list items and tables."""
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
     root = parse(page)
     counts = {"n_items": 0, "n_tables": 0}
     text = "\n".join(Flow(counts).walk(root.children).lines())

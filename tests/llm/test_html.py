@@ -3,7 +3,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from leafgate.llm.htmltext import extracted, render
+from leafgate.llm.htmltext import DEEPEST, extracted, render
 
 
 @pytest.mark.parametrize(
@@ -72,7 +72,7 @@ def test_tags_are_read_as_html_says(page, text):
 
 def test_elements_beyond_the_deepest_keep_their_order_hiding_and_ends():
     inner = "deep<span hidden>no<b>no</b></span> er<p>par</div>two"
-    page = "<div>" * 400 + inner + "</div>" * 400 + "out"
+    page = "<div>" * (DEEPEST + 250) + inner + "</div>" * (DEEPEST + 250) + "out"
     assert render(page)[1] == "deep er\npar\ntwo\nout"
     assert render("<div>" * 50_000 + "x" + "</div>" * 50_000 + "y")[1] == "x\ny"
     assert render("<li>" * 1000 + "k")[2] == 1000
@@ -99,3 +99,71 @@ def test_visible_words_are_those_of_the_standard_librarys_tokeniser():
         plain.feed(page)
         plain.close()
         assert "".join(render(page)[1].replace("-", "").split()) == "".join("".join(plain.said).split()), page
+
+
+@pytest.mark.parametrize("depth", [2, 160, 400, 500])
+def test_elements_above_the_deepest_are_laid_out_alike(depth):
+    inner = "deep<p>par</p><p style='visibility:hidden'>no<b style='visibility:visible'>yes</b></p><details><summary>s</summary>no</details>"
+    assert render("<div>" * depth + inner + "</div>" * depth + "out")[1] == "deep\n\npar\n\nyes\n\ns\nout"
+    assert render("<table><tr><td>" * 120 + "x" + "</table>" * 120)[1] == "x"
+    assert render("<ul><li>" * (DEEPEST // 2 - 5) + "x")[1].split() == ["-"] * (DEEPEST // 2 - 5) + ["x"]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tbody><form><tr><td>in form</td></tr></form></tbody></table>", "in form"),
+        ("<form>a<table><tr><td>b</td></tr></form></table>c", "a\n\nb\n\nc"),
+        ("<table><tbody><td>cell without row</td></tbody></table>", "cell without row"),
+        ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><thead><th>H1<th>H2<tbody><tr><td>a<td>b</table>", "H1  H2\na   b"),
+        ("<table><tr><td>t</td></tr><tbody>loose <b>bold</b><div>d</div><tr>x<td>c</table>", "loose bold\nd\nx\nt\nc"),
+        ("<table><tfoot><tr><td>f<tbody><tr><td>b<thead><tr><td>h</table>", "h\nb\nf"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>", "a  b\n   c\nd"),
+        ("<table><tr><td rowspan=70000>a<td>b" + "<tr><td>c" * 1200 + "</table>", "a  b" + "\n   c" * 1200),
+        ("<pre>a<div>b</div>c\n<p>d</p></pre>", "a\nb\nc\nd"),
+        ("<ol reversed type=i><li>a<li value=9>b<li>c</ol>", "iii. a\nix. b\nviii. c"),
+        ("<ol type=A start=26><li>y<li>z<li type=1>w</ol>", "Z. y\nAA. z\n28. w"),
+        ("<ol type=I start=3999><li>a<li>b</ol><ol type=a start=0><li>c</ol>", "MMMCMXCIX. a\n4000. b\n\n0. c"),
+        ("<input type=email value=e> <input type=password value=p><input type=image alt=i> <input value=v><input type=hidden value=h>", "e i v"),
+    ],
+)
+def test_malformed_tables_lists_and_inputs(page, text):
+    assert render(page)[1] == text
+
+
+def test_random_tables_keep_their_rows():
+    rng = random.Random(6)
+
+    def table(depth: int) -> tuple[str, list[list[str]], list[str]]:
+        """A page's table, the words of its rows, and those that stand between its cells."""
+        out, rows, loose, n = "<table>", [], [], rng.randint(0, 10**6)
+        closed = True  # whether the row before has an end
+        for g in range(rng.randint(1, 3)):
+            if g or rng.random() < 0.5:
+                out += "<tbody>"
+                closed = True
+            for r in range(rng.randint(1, 3)):
+                if closed and rng.random() < 0.3:
+                    loose.append(f"l{n}x{g}x{r}")
+                    out += rng.choice([f" {loose[-1]} ", f"<i> {loose[-1]} </i>", f"<form> {loose[-1]} "])
+                out += "" if closed and rng.random() < 0.4 else "<tr>"
+                row = []
+                for c in range(rng.randint(1, 4)):
+                    said, words = f"w{n}x{g}x{r}x{c}", [f"w{n}x{g}x{r}x{c}"]
+                    if depth and rng.random() < 0.3:
+                        inner, its, between = table(depth - 1)
+                        said, words = inner, [*between, *(w for x in its for w in x)]
+                    out += f"<td>{said}" if rng.random() < 0.5 else f"<th>{said}</th>"
+                    row += words
+                rows.append(row)
+                closed = rng.random() < 0.5
+                out += "</td></tr>" if closed else ""
+        return out + "</table>", rows, loose
+
+    for _ in range(1500):
+        page, rows, loose = table(0)
+        lines = [x.split() for x in render(page)[1].split("\n")]
+        assert lines == ([loose] if loose else []) + rows, page
+        page, rows, loose = table(2)
+        assert sorted(render(page)[1].split()) == sorted(loose + [w for x in rows for w in x]), page
