@@ -13,6 +13,9 @@ repeated rows; extra columns are ignored (query) or passed on (stage).
 The benchmark is read in blocks of about `block_windows` windows (16 bytes each), dealt by the hash of a window's fingerprint, so an
 item of any length is split. One block at a time is sent to all executors, so what is sent has a fixed bound; a
 larger benchmark takes more passes, each of which is written before the next begins.
+
+Windows that many items share, as those of a template, are there once, with a number for the set of their items; windows of one set share it. A document's hits are
+kept as runs of covered words, and its sets are made distinct before they become items, so neither grows with occurrences times items.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leafgate.llm.tables import sifted, written
-from leafgate.llm.textarrays import ALNUM, FOLDED, Words, chunks, covered, sliding_argmin
+from leafgate.llm.textarrays import ALNUM, FOLDED, U, Words, chunks, mix, sliding_argmin
 
 K, W = 5, 6
 BLOCK_WINDOWS = 2_000_000
 WINDOWS = "size int, hash long, print long, item_id string"
-FOUND = "doc_id long, twin long, n_words long, starts array<int>, sizes array<int>, items array<string>"
+FOUND = "doc_id long, twin long, n_words long, starts array<int>, ends array<int>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -75,24 +78,42 @@ class Block:
         size, hashes = rows["size"].to_numpy(), rows["hash"].to_numpy().view(np.uint64)
         self.prints = np.unique(rows["print"].combine_chunks().drop_null().to_numpy().view(np.uint64))
         self.names, codes = np.unique(np.array(rows["item_id"].to_pylist(), object).astype(str), return_inverse=True)
-        self.by_size = {}
+        self.by_size = {}  # the windows of a size, and the set of items of each
+        at, n, items, n_sets, n_rows = [], [], [], 0, 0
         for s in np.unique(size):
             own = size == s
-            order = np.argsort(hashes[own], kind="stable")
-            self.by_size[int(s)] = (hashes[own][order], codes[own][order])
+            order = np.lexsort((codes[own], hashes[own]))
+            window, item = hashes[own][order], codes[own][order]
+            first = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+            times = np.diff(np.append(first, len(window)))
+            name = mix(np.add.reduceat(mix(item.astype(U) + U(1)), first) ^ mix(times.astype(U)))  # a set is known by the hashes of its items
+            _, one, which = np.unique(name, return_index=True, return_inverse=True)
+            self.by_size[int(s)] = (window[first], which + n_sets)
+            at.append(first[one] + n_rows)
+            n.append(times[one])
+            items.append(item)
+            n_sets, n_rows = n_sets + len(one), n_rows + len(item)
+        none = np.zeros(0, np.int64)
+        self.set_at, self.set_n, self.set_items = (np.concatenate([none, *x]) for x in (at, n, items))
 
     def _look_up(self, size: int, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of word positions whose windows occur in items: position and item, a row for each pair."""
-        table, items = self.by_size[size]
-        lo, hi = np.searchsorted(table, hashes, "left"), np.searchsorted(table, hashes, "right")
-        n = hi - lo
-        hit = np.flatnonzero(n)
-        each = np.repeat(hit, n[hit])
-        step = np.arange(len(each)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
-        return at[each], items[lo[each] + step]
+        """Of word positions whose windows occur in items: position and set of items."""
+        table, sets = self.by_size[size]
+        near = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+        hit = table[near] == hashes
+        return at[hit], sets[near[hit]]
+
+    def items(self, doc: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document and item of all distinct pairs of them, in order."""
+        pair = np.unique(doc.astype(np.int64) << 32 | sets)
+        doc, sets = pair >> 32, pair & 0xFFFFFFFF
+        n = self.set_n[sets]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.unique(np.repeat(doc, n) << 32 | self.set_items[np.repeat(self.set_at[sets], n) + step])
+        return pair >> 32, pair & 0xFFFFFFFF
 
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, size and item of all occurrences of windows."""
+        """Start, size and set of items of all occurrences of windows."""
         t = self.k + self.w - 1
         found = []
         for size in self.by_size:
@@ -108,8 +129,8 @@ class Block:
             else:
                 hashes, whole = words.windows(size)
                 at = np.flatnonzero(whole)
-            where, item = self._look_up(size, at, hashes[at])
-            found.append((where, np.full(len(where), size), item))
+            where, sets = self._look_up(size, at, hashes[at])
+            found.append((where, np.full(len(where), size), sets))
         return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
 
 
@@ -126,6 +147,17 @@ def _blocks(benchmark: DataFrame, k: int, w: int, most: int) -> Iterator[tuple[B
         yield Block(rows.where(F.col("part") == i).toArrow(), k, w), True
 
 
+def _runs(low: np.ndarray, high: np.ndarray, n: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of positions below n that the ranges cover; runs end at cuts."""
+    step = np.bincount(low, minlength=n + 1)[: n + 1] - np.bincount(high, minlength=n + 1)[: n + 1]
+    inside = np.concatenate([[False], np.cumsum(step[:n]) > 0, [False]])
+    begins, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+    cuts = cuts[(cuts > 0) & (cuts < n)]
+    cuts = cuts[inside[cuts] & inside[cuts + 1]]
+    begins[cuts] = ends[cuts] = True
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
 def occurrences(docs: DataFrame, block: Block) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -133,13 +165,16 @@ def occurrences(docs: DataFrame, block: Block) -> DataFrame:
         block = shared.value
         for batch, texts in chunks(batches):
             words = Words(texts, ALNUM, FOLDED)
-            start, size, item = block.find(words)
-            doc = words.doc[start] if len(start) else start
-            order = np.argsort(doc, kind="stable")
-            offs = np.searchsorted(doc[order], np.arange(texts.n + 1)).astype(np.int32)
-            local = (start - words.first[doc] if len(start) else start)[order]
-            lists = [pa.ListArray.from_arrays(pa.array(offs), x) for x in (pa.array(local, pa.int32()), pa.array(size[order], pa.int32()), pa.array(block.names[item[order]] if len(item) else [], pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array(words.count, pa.int64()), *lists], ["doc_id", "twin", "n_words", "starts", "sizes", "items"])
+            start, size, sets = block.find(words)
+            low, high = _runs(start, start + size, len(words.doc), words.first)
+            owner, item = block.items(words.doc[start] if len(start) else start, sets)
+            run_of = words.doc[low] if len(low) else low
+            base = words.first[run_of] if len(low) else low
+            every = np.arange(texts.n + 1)
+            offs, item_offs = (pa.array(np.searchsorted(x, every).astype(np.int32)) for x in (run_of, owner))
+            names = pa.array(block.names[item] if len(item) else [], pa.string())
+            lists = [*(pa.ListArray.from_arrays(offs, pa.array(x - base, pa.int32())) for x in (low, high)), pa.ListArray.from_arrays(item_offs, names)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array(words.count, pa.int64()), *lists], ["doc_id", "twin", "n_words", "starts", "ends", "items"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("twin"), "text").mapInArrow(run, FOUND)
 
@@ -151,8 +186,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_hit, n_items, sha = np.zeros(len(n_words), np.int64), np.zeros(len(n_words), np.int64), [none] * len(n_words)
         lengths = np.diff(batch.column("starts").offsets.to_numpy())
         for i in np.flatnonzero(lengths):
-            starts, sizes = np.array(batch.column("starts")[i].as_py()), np.array(batch.column("sizes")[i].as_py())
-            n_hit[i] = np.logical_or.reduce([covered(starts[sizes == s], int(s), int(n_words[i])) for s in np.unique(sizes)]).sum()
+            low, high = _runs(*(batch.column(c)[i].values.to_numpy() for c in ("starts", "ends")), int(n_words[i]), np.zeros(0, np.int64))
+            n_hit[i] = (high - low).sum()
             items = sorted(set(batch.column("items")[i].as_py()))
             n_items[i], sha[i] = len(items), hashlib.sha256(",".join(items).encode()).hexdigest()
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit), pa.array(n_items), pa.array(sha), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
@@ -163,9 +198,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
     parts = [written(occurrences(docs, b), "found") if several else occurrences(docs, b) for b, several in _blocks(benchmark, k, w, block_windows)]
     if len(parts) > 1:
         every = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "twin", "n_words")
-        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes", "items")]
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]
         every = every.agg(*lists, (F.count("*") / len(parts)).cast("int").alias("copies"))
-        parts = [every.select("doc_id", "twin", "n_words", "starts", "sizes", "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")]
+        parts = [every.select("doc_id", "twin", "n_words", "starts", "ends", "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")]
     return parts[0].mapInArrow(_finish, RESULT)
 
 

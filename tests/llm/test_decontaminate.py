@@ -3,7 +3,7 @@ import random
 import re
 
 from leafgate.llm.decontaminate import _blocks as decontaminate_blocks
-from leafgate.llm.decontaminate import contamination, decontaminate
+from leafgate.llm.decontaminate import contamination, decontaminate, occurrences
 from tests.llm.conftest import rows
 
 
@@ -67,3 +67,17 @@ def test_one_long_item_is_split_into_blocks(spark, make):
     assert rows(contamination(make(*docs), bench, block_windows=100), *COLUMNS) == brute(docs, [(1, long_item), (2, "a b c")])
     clean = [r[0] for r in brute(docs, [(1, long_item), (2, "a b c")]) if not r[5]]
     assert [r[0] for r in rows(decontaminate(make(*docs), bench, block_windows=100), "doc_id")] == clean
+
+
+def test_a_template_of_all_items_is_kept_once(spark, make):
+    """Hits are runs of words and items are distinct, however often a document repeats what all items share."""
+    template = " ".join(f"t{i}" for i in range(14))
+    items = [(i, f"{template} own{i} a{i} b{i}") for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, f"{template} . " * 60), (2, f"x {template} own7 y {template}"), (3, "x " * 30), (4, template), (5, template), (6, None), (7, f"{template} own39 a39 b39")]
+    frame = make(*docs)
+    assert rows(contamination(frame, bench), *COLUMNS) == brute(docs, items) == rows(contamination(frame, bench, block_windows=50), *COLUMNS)
+    (block, _), = decontaminate_blocks(bench, 5, 6, 10**6)
+    assert len(block.by_size[10][0]) == 5 + 3 * 40 and len(block.set_n) == 1 + 40
+    found = {r["doc_id"]: (r["starts"], r["ends"], len(r["items"])) for r in occurrences(frame, block).collect()}
+    assert found[1] == ([0], [840], 40) and found[2] == ([1, 17], [16, 31], 40) and found[4] == found[5] == ([0], [14], 40) and found[6] == ([], [], 0)
