@@ -16,8 +16,9 @@ caller may pass shares instead: {source: share}; sources that it does not name h
 
 Only DataFrame and SQL functions are used. Hot sources are numbered in parts: buckets by the
 leading digits of the hash are counted, the counts summed up, and documents numbered within their
-bucket. The schedule has a row for each slot and in it a count for each source, so its size and the work on it grow with the square of the number
-of sources, not with the documents: a thousand sources make eight million counts.
+bucket. The fold looks at each source in each slot, so its work grows with the square of the number of sources, not with the
+documents. Up to `BROADCAST_SOURCES` sources the schedule says in each slot what every source has had, and documents find their position by
+arithmetic; beyond, blocks are counted and the counts summed up in the order of slots.
 
 Defined results: a null source is the source ''; null or equal doc_ids and repeated rows each keep
 a place of their own, in the order of doc_id and text hash; nulls in text do not matter; an empty
@@ -35,6 +36,8 @@ BUCKET_ROWS = 20_000
 RESULTS = ("block", "slot", "position")
 #: Up to so many sources the schedule (a row for each slot, with a count for each source) is sent to all tasks.
 BROADCAST_SOURCES = 100
+#: Slots of one range of the sums over slots.
+SPAN = 1 << 14
 
 
 def shares(counts: DataFrame, weights: dict[str, int] | None = None, temperature: float = 0.5, resolution: int = RESOLUTION) -> DataFrame:
@@ -51,30 +54,37 @@ def shares(counts: DataFrame, weights: dict[str, int] | None = None, temperature
     return counts.select("src", "n", share.cast("long").alias("share"))
 
 
-#: One period as a fold over its slots. In one row: q, the shares by place of the source; total, their sum.
-#: The state: done, blocks given to each source; out, of each slot so far its source and what was done before it.
+#: One period as a fold over its slots, two steps each: the first picks the source, the second gives it the block. (A name for the picked source
+#: within one step would be a lambda's argument, which Spark copies with all that is held.) In one row: q, the shares by place of the source; total, their sum.
+#: The state: done, blocks given to each source; p, the picked one; out, of each slot so far its source, the number of its block, and, if `kept`, what each source had had before it.
 PERIOD = """
-aggregate(sequence(0L, total - 1L), named_struct('done', transform(q, x -> 0L), 'out', cast(array() as array<struct<place: int, had: array<bigint>>>)),
-  (s, t) -> transform(array(array_min(transform(
-      filter(sequence(0, size(q) - 1), i -> s.done[i] < q[i] and s.done[i] * total div q[i] <= t),
-      i -> struct((s.done[i] * total + total + q[i] - 1L) div q[i] as due, i as i))).i),
-    p -> named_struct('done', transform(s.done, (d, j) -> if(j = p, d + 1L, d)), 'out', array_append(s.out, named_struct('place', p, 'had', s.done))))[0],
+aggregate(sequence(0L, 2 * total - 1L), named_struct('done', transform(q, x -> 0L), 'p', 0, 'out', cast(array() as array<struct<place: int, k: bigint, had: array<bigint>>>)),
+  (s, t) -> if(t % 2 = 0,
+    named_struct('done', s.done, 'p', array_min(transform(
+        filter(sequence(0, size(q) - 1), i -> s.done[i] < q[i] and s.done[i] * total div q[i] <= t div 2),
+        i -> struct((s.done[i] * total + total + q[i] - 1L) div q[i] as due, i as i))).i, 'out', s.out),
+    named_struct('done', transform(s.done, (d, j) -> if(j = s.p, d + 1L, d)), 'p', s.p,
+      'out', array_append(s.out, named_struct('place', s.p, 'k', s.done[s.p], 'had', if(kept, s.done, cast(array() as array<bigint>)))))),
   s -> s.out)
 """
 
 
-def period(sources: DataFrame) -> DataFrame:
-    """A row for each block of one period: src, k (from 0), slot, and ahead: blocks that each source has had before it."""
+def period(sources: DataFrame, kept: bool = True) -> DataFrame:
+    """A row for each block of one period: src, k (from 0), slot, total (slots), and, if kept, ahead: blocks that each source has had before it."""
     row = sources.agg(F.array_sort(F.collect_list(F.struct("src", "share", "n"))).alias("all")).where(F.size("all") > 0)
-    row = row.selectExpr("all", "transform(all, x -> x.share) as q", "aggregate(all, 0L, (a, x) -> a + x.share) as total").withColumn("out", F.expr(PERIOD))
+    row = row.selectExpr("all", "transform(all, x -> x.share) as q", "aggregate(all, 0L, (a, x) -> a + x.share) as total", f"{kept} as kept").withColumn("out", F.expr(PERIOD))
     slots = row.select("all", "total", F.posexplode_outer("out").alias("slot", "x"))  # outer: else Spark puts the whole fold into a filter as well
-    return slots.select(
-        F.expr("all[x.place].src").alias("src"),
-        F.expr("x.had[x.place]").alias("k"),
-        F.col("slot").cast("long").alias("slot"),
-        "total",
-        F.expr("transform(all, (a, i) -> struct(a.share as share, a.n as n, x.had[i] as had))").alias("ahead"),
-    )
+    ahead = ["transform(all, (a, i) -> struct(a.share as share, a.n as n, x.had[i] as had)) as ahead"] if kept else []
+    return slots.selectExpr("all[x.place].src as src", "x.k as k", "cast(slot as bigint) as slot", "total", *ahead)
+
+
+def starts(blocks: DataFrame) -> DataFrame:
+    """blocks (_src, _block, slot, n) with start: the documents of all slots before. Slots are summed in ranges first, so no window holds all blocks."""
+    spans = blocks.withColumn("_span", F.expr(f"slot div {SPAN}"))
+    sums = spans.groupBy("_span").agg(F.sum("n").alias("_sum"))
+    sums = sums.select("_span", (F.sum("_sum").over(Window.orderBy("_span")) - F.col("_sum")).alias("_before"))
+    inside = F.sum("n").over(Window.partitionBy("_span").orderBy("slot")) - F.col("n")
+    return spans.withColumn("_inside", inside).join(sums, "_span").select("_src", "_block", "slot", (F.col("_before") + F.col("_inside")).alias("start"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_size: int = BLOCK_SIZE, temperature: float = 0.5, resolution: int = RESOLUTION, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -93,12 +103,17 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_size: in
     inside = Window.partitionBy("_src", "_b").orderBy("_h", "_id", "_t")
     rows = rows.withColumn("_r", F.row_number().over(inside)).join(before, ["_src", "_b"]).withColumn("_r", F.col("_r") - 1 + F.col("_before"))
     sources = shares(keys.select(F.col("_src").alias("src"), "n"), weights, temperature, resolution)
-    plan = period(sources).select(F.col("src").alias("_src"), F.col("k").alias("_k"), F.col("slot").alias("_slot"), F.col("total").alias("_q"), F.col("ahead").alias("_ahead"))
+    few = seen["sources"] <= BROADCAST_SOURCES
+    plan = period(sources, kept=few)
+    plan = plan.select(F.col("src").alias("_src"), F.col("k").alias("_k"), F.col("slot").alias("_slot"), F.col("total").alias("_q"), *([F.col("ahead").alias("_ahead")] if few else []))
     quota = sources.select(F.col("src").alias("_src"), F.col("share").alias("_share"))
-    if seen["sources"] <= BROADCAST_SOURCES:  # else Spark joins by shuffle, and splits hot sources
-        plan, quota = F.broadcast(plan), F.broadcast(quota)
-    rows = rows.join(quota, "_src").withColumn("_block", F.expr(f"_r div {block_size}"))
-    rows = rows.withColumns({"_turn": F.expr("_block div _share"), "_k": F.expr("_block % _share")})
-    out = rows.join(plan, ["_src", "_k"])
-    had = f"aggregate(_ahead, 0L, (a, x) -> a + least(x.n, {block_size} * (_turn * x.share + x.had)))"
-    return out.select(*(F.col(n).alias(c) for n, c in zip(own, kept)), F.col("_block").alias("block"), (F.col("_turn") * F.col("_q") + F.col("_slot")).alias("slot"), F.expr(f"{had} + _r % {block_size}").alias("position"))
+    rows = rows.withColumn("_block", F.expr(f"_r div {block_size}"))
+    turns = {"_turn": F.expr("_block div _share"), "_k": F.expr("_block % _share")}
+    slot = (F.col("_turn") * F.col("_q") + F.col("_slot")).alias("slot")
+    if few:
+        out = rows.join(F.broadcast(quota), "_src").withColumns(turns).join(F.broadcast(plan), ["_src", "_k"])
+        start = F.expr(f"aggregate(_ahead, 0L, (a, x) -> a + least(x.n, {block_size} * (_turn * x.share + x.had)))")
+    else:  # each block finds its slot, and the documents their block: no source is a key of a join of documents
+        blocks = rows.groupBy("_src", "_block").agg(F.count("*").alias("n")).join(quota, "_src").withColumns(turns).join(plan, ["_src", "_k"])
+        out, start, slot = rows.join(starts(blocks.select("_src", "_block", slot, "n")), ["_src", "_block"]), F.col("start"), F.col("slot")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(own, kept)), F.col("_block").alias("block"), slot, (start + F.expr(f"_r % {block_size}")).alias("position"))

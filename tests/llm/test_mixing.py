@@ -55,3 +55,25 @@ def test_many_sources_keep_their_weights(spark):
     assert got["hot"] > 10 * got["s0"]
     slots = mixing.period(mixing.shares(counts.where("n > 1000 or src < 's14'"))).select("src", "slot", "total").collect()
     assert sorted(r["slot"] for r in slots) == list(range(slots[0]["total"]))
+
+
+def test_positions_of_many_sources_equal_those_of_few(make, monkeypatch):
+    docs = [(i, "t", "en", f"s{i * i % 37}") for i in range(900)] + [(i, "t", "en", "hot") for i in range(900, 1400)] + [(None, None, None, None), (1, "t", "en", "s1"), (1, "t", "en", "s1")]
+    few = rows(mixed(make(*docs), block_size=3, bucket_rows=50), "position", "slot", "block", "doc_id")
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "SPAN", 16)
+    many = mixed(make(*docs), block_size=3, bucket_rows=50)
+    assert rows(many, "position", "slot", "block", "doc_id") == few
+    assert [r["position"] for r in many.select("position").orderBy("position").collect()] == list(range(len(docs)))
+    assert mixed(make(*docs).limit(0)).count() == 0
+
+
+def test_a_thousand_sources(spark):
+    counts = spark.range(1000).selectExpr("concat('s', id) as src", "if(id = 0, 500000, 10 + id % 990) as n")
+    slots = period(mixing.shares(counts), kept=False).collect()
+    total, had = slots[0]["total"], Counter()
+    share = {r["src"]: r["share"] for r in mixing.shares(counts).collect()}
+    for r in sorted(slots, key=lambda r: r["slot"]):
+        assert r["k"] == had[r["src"]] and r["k"] * total // share[r["src"]] <= r["slot"] < -(-(r["k"] + 1) * total // share[r["src"]])
+        had[r["src"]] += 1
+    assert had == share and len(slots) == total
