@@ -4,8 +4,8 @@ A folder holds a file of 16-bit PCM for each device (`*.pcm`, or `*.wav` whose h
 micro-batch comes as blocks of `frames` frames; what is left behind the last whole block waits. A file beside it with `.end` added to its name says
 that a recording is over: then its rest comes as a shorter block, and after it a row without pcm. Bytes that make no whole frame are dropped there.
 
-The offset is how far each file has been read, so a stream that is started again goes on where its checkpoint ends, and a lost task reads its range once more. Ranges of
-`span` blocks go to tasks of their own. A file `name_20240131_235959.pcm` begins at that time (UTC), others at 1970; a block's ts is that of its first frame.
+The offset is how far each file has been read, so a stream that is started again goes on where its checkpoint ends, and a lost task reads its ranges once more. Ranges of
+at most `span` blocks are dealt to tasks by their bytes and what a file costs to open, so many short recordings share a task and a long one has many. A file `name_20240131_235959.pcm` begins at that time (UTC), others at 1970; a block's ts is that of its first frame.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructType, Tim
 from leafgate.sources.named import _store
 
 FRAMES, SPAN = 1024, 4096
+#: Bytes of one task's ranges, about; what opening a file counts for.
+TASK_BYTES, OPEN_BYTES = 4 << 20, 16 << 10
 _STARTED = re.compile(r"_(\d{8}_\d{6})$")
 
 
 @dataclass
-class _Range(InputPartition):
+class _Range:
     """Frames of a file, from and to; over: nothing comes after them."""
 
     name: str
@@ -35,6 +37,13 @@ class _Range(InputPartition):
     over: bool
 
 
+@dataclass
+class _Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[_Range]
+
+
 def data_start(head: bytes) -> int | None:
     """Where the sound begins in a WAV file; None if that is not written yet."""
     at = 12
@@ -75,19 +84,33 @@ class _Reader(DataSourceStreamReader):
             out[name] = [n if over else n // self.frames * self.frames, int(over)]
         return out
 
-    def partitions(self, start: dict, end: dict) -> list[_Range]:
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[_Ranges]:
+        tasks, room = [], 0
+        for one in self._ranges(start, end):
+            cost = OPEN_BYTES + (one.high - one.low) * 2 * self.channels
+            if not tasks or cost > room:
+                tasks.append(_Ranges([]))
+                room = TASK_BYTES
+            tasks[-1].ranges.append(one)
+            room -= cost
+        return tasks
+
+    def _ranges(self, start: dict, end: dict) -> Iterator[_Range]:
         for name, (high, over) in end.items():
             low, was_over = start.get(name, (0, 0))
             step = self.frames * self.span
             cuts = [*range(low, high, step), high] if high > low else []
-            out += [_Range(name, a, b, False) for a, b in zip(cuts, cuts[1:])]
+            for a, b in zip(cuts, cuts[1:]):
+                yield _Range(name, a, b, False)
             if over and not was_over:
-                out.append(_Range(name, high, high, True))
-        return out
+                yield _Range(name, high, high, True)
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
         store, at = _store(self.path)
+        for one in partition.ranges:
+            yield from self._read(store, at, one)
+
+    def _read(self, store, at: str, partition: _Range) -> Iterator[tuple]:
         device = partition.name.rpartition(".")[0]
         named = _STARTED.search(device)
         begun = datetime.strptime(named[1], "%Y%m%d_%H%M%S").replace(tzinfo=timezone.utc) if named else datetime(1970, 1, 1, tzinfo=timezone.utc)

@@ -34,12 +34,15 @@ class _Writer(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         store, at = _store(self.staged)
+        made: set[str] = set()
         for row in iterator:
             name = row[self.name]
             if not name or "/" in name or name in (".", ".."):
                 raise ValueError(f"{name!r} is no name of a file")
             folder = "/".join([at, *(f"{c}={quote(str(row[c]), safe=' ')}" for c in self.folders)])
-            store.create_dir(folder, recursive=True)
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
             part = f"{folder}/.{uuid.uuid4().hex}"
             with store.open_output_stream(part) as out:
                 out.write(bytes(row[self.content] or b""))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafgate.functions.signal import wav, wav_payload
 from leafgate.operators import pcm
 from leafgate.sources.files import write_clips
-from leafgate.sources.live import data_start, sound_stream
+from leafgate.sources.live import TASK_BYTES, _Reader, data_start, sound_stream
 from leafgate.streaming.blocks import block_stream
 
 
@@ -148,3 +148,16 @@ def test_rows_of_any_length_order_and_number_become_blocks(spark, tmp_path):
         blocks = [x[i : i + 128] for i in range(0, len(x) // 128 * 128 if k == "open" else len(x), 128)]
         want += [(k, i, len(b) // 4, b) for i, b in enumerate(blocks)]
     assert got == sorted(want)
+
+
+def test_many_short_recordings_share_a_task_and_a_long_one_has_many():
+    reader = _Reader({"path": "/none", "channels": "1", "frames": "64", "span": "4096"})
+    end = {f"{i}.pcm": [640, 1] for i in range(2000)} | {"long.pcm": [(64 << 20) // 2, 0]}
+    tasks = reader.partitions({"3.pcm": [64, 0], "4.pcm": [640, 1]}, end)
+    assert 17 <= len(tasks) < 40  # one for each recording, and one for each end, before
+    assert all(sum(2 * (r.high - r.low) for r in t.ranges) <= TASK_BYTES for t in tasks)
+    got = {}
+    for r in (r for t in tasks for r in t.ranges):
+        got.setdefault(r.name, []).append((r.low, r.high, r.over))
+    assert "4.pcm" not in got and got["3.pcm"] == [(64, 640, False), (640, 640, True)] and got["5.pcm"] == [(0, 640, False), (640, 640, True)]
+    assert [a for a, _, _ in got["long.pcm"]] == [0, *(b for _, b, _ in got["long.pcm"][:-1])] and got["long.pcm"][-1][1] == (64 << 20) // 2
