@@ -5,6 +5,7 @@ A block is a row with the number of its first frame (`start`, from 0 in each rec
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, gcd
 
 import numpy as np
@@ -18,6 +19,8 @@ from leafgate.functions.signal import wav_header
 SKIP, SECONDS, RATE = 3.0, 15.0, 22050
 #: Zero crossings of the filter on each side; frames of one block of results; bytes of one piece of a stitched payload.
 ZEROS, FRAMES, PIECE = 16, 1 << 14, 64 << 20
+#: Samples that a task resamples at once, about.
+TASK_SAMPLES = 1 << 18
 #: Bytes of a WAV header.
 HEADER = 44
 
@@ -68,27 +71,55 @@ def resampled(blocks: DataFrame, key: str, start: str, samples: str, rate: int,
     rows = rows.withColumns({"from": F.greatest("s", low), "n": F.least("e", high) - F.greatest("s", low)}).where("n > 0")
     rows = rows.select("key", "cell", F.col("from"), F.slice("x", (F.col("from") - F.col("s") + 1).cast("int"), F.col("n").cast("int")).alias("x"))
     rows = rows.join(ends, F.col("key").eqNullSafe(F.col("k"))).drop("k")
+    # the rows of a block of results come one after the other, the first is marked
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "cell").orderBy("from")))
     taps = np.arange(-half, half + 2)
 
-    def run(group: pa.Table) -> pa.Table:
-        cell, n_in = group["cell"][0].as_py(), group["n_in"][0].as_py()
-        m = np.arange(cell * frames, min((cell + 1) * frames, -(-n_in * up // down)))
-        if not len(m):
-            return group.select(["key"]).slice(0, 0).append_column("start", pa.array([], pa.int64())).append_column("samples", pa.array([], pa.list_(pa.float64())))
+    def made(table: pa.Table) -> pa.RecordBatch:
+        """The blocks of results of whole groups of rows."""
+        first = np.flatnonzero(table["nth"].to_numpy() == 1)
+        cell, n_in = (table[c].to_numpy()[first] for c in ("cell", "n_in"))
+        m = cell[:, None] * frames + np.arange(frames)
+        there = m < -(-n_in * up // down)[:, None]
         whole, phase = np.divmod(m * down, up)
-        low = whole[0] - half
-        x = np.zeros(whole[-1] + half + 2 - low)
-        for s, values in zip(group["from"].to_pylist(), group["x"]):
-            x[s - low : s - low + len(values)] = values.values.to_numpy(zero_copy_only=False)[: max(0, len(x) - (s - low))]
+        low = whole[:, 0] - half
+        width = int((whole[:, -1] - low).max()) + half + 2
+        lists = table["x"].combine_chunks()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        n = np.diff(ends)
+        row = np.repeat(np.arange(len(n)), n)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
+        at = (table["from"].to_numpy() - low[group])[row] + np.arange(len(row)) - (ends[:-1] - ends[0])[row]
+        inside = at < width
+        x = np.zeros(len(first) * width)
+        x[(group[row] * width + at)[inside]] = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]][inside]
         phases, which = np.unique(phase, return_inverse=True)
+        which = which.reshape(phase.shape)
         weights = kernel(phases[:, None] / up - taps, cut, zeros)
-        y = np.zeros(len(m))
+        base = whole - low[:, None] + np.arange(len(first))[:, None] * width
+        y = np.zeros(m.shape)
         for i, tap in enumerate(taps):
-            y += weights[which, i] * x[whole - low + tap]
-        return group.select(["key"]).slice(0, 1).append_column("start", pa.array([cell * frames], pa.int64())).append_column("samples", pa.array([y], pa.list_(pa.float64())))
+            y += weights[which, i] * x[base + tap]
+        some = there.any(1)
+        sizes = np.append(0, np.cumsum(there.sum(1)[some]))
+        samples = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(y[there]))
+        keys = table["key"].take(pa.array(first[some])).combine_chunks()
+        return pa.RecordBatch.from_arrays([keys, pa.array(cell[some] * frames), samples], ["key", "start", "samples"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, TASK_SAMPLES // (frames * max(1, -(-down // up)) + 2 * half))
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            first = np.flatnonzero(table["nth"].to_numpy() == 1)
+            for low, high in zip(first[:-1:most], [*first[:-1][most::most], first[-1]]):  # the last group may go on
+                yield made(table.slice(low, high - low))
+            rest = table.slice(first[-1])
+        if rest is not None:
+            yield made(rest)
 
     schema = StructType([*rows.select("key").schema, *StructType.fromDDL("start long, samples array<double>")])
-    out = rows.groupBy("key", "cell").applyInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
     return out.select(F.col("key").alias(key), F.col("start").alias(start), F.col("samples").alias(samples))
 
 

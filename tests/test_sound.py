@@ -49,6 +49,24 @@ def test_blocks_resampled_alone_equal_the_whole_signal(spark, rate, to):
     assert pcm.resampled(blocks.limit(0), "k", "start", "samples", rate, to).count() == 0
 
 
+def test_thousands_of_short_blocks_are_made_in_few_calls(spark):
+    """Over more than one Arrow batch, and with groups that go on in the next one."""
+    rng = np.random.default_rng(8)
+    signals = {k: rng.normal(size=97) for k in range(150)}
+    rows = [(k, i, x[i : i + 3].tolist()) for k, x in signals.items() for i in range(0, 97, 3)]
+    blocks = spark.createDataFrame(rows, "k long, start long, samples array<double>").coalesce(2)
+    made = pcm.resampled(blocks, "k", "start", "samples", 32000, 48000, frames=8)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = whole(made)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == signals.keys()
+    for k, x in signals.items():
+        np.testing.assert_allclose(got[k], plain(x, 32000, 48000), atol=1e-9)
+
+
 def test_a_tone_keeps_its_level_and_what_is_above_the_band_goes(spark):
     t = np.arange(8000) / 44100
     for hertz, level in ((1000, 1.0), (18000, 0.0)):
