@@ -1,18 +1,21 @@
 """Greedy chunks of sentences, bounded by characters or words. A longer sentence stays whole.
 
-What a chunk holds depends on all sentences before it, so this is one Arrow pass over the texts, linear in their length.
+What a chunk holds depends on all sentences before it, so this is one Arrow pass over the texts, linear in their length. Of a batch of texts only some
+are taken apart at a time.
 White space is all of Unicode's. A null text is empty.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 CHARS, WORDS = 4000, 200
+#: Characters of the texts that are in chunks at one time in a task, about.
+PART_CHARS = 1 << 20
 BETWEEN = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -40,13 +43,38 @@ def _chunks_by_words(text: str, most: int) -> list[str]:
 
 
 def _over(chunks: Callable[[str, int], list[str]], text: Column, most: int) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunks(t or "", most))
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in _parts(batch):
+                yield pa.array([chunks(t or "", most) for t in part], pa.list_(pa.string()))
 
     return run(text)
 
 
+def _counted(chunks: Callable[[str, int], list[str]], text: Column, most: int) -> Column:
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([len(chunks(t.as_py() or "", most)) for t in batch], pa.int64())
+
+    return run(text)
+
+
+def _parts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts, so many at a time that they are about PART_CHARS; one at least."""
+    part, used = [], 0
+    for t in texts:
+        t = t.as_py()
+        part.append(t)
+        used += len(t or "")
+        if used >= PART_CHARS:
+            yield part
+            part, used = [], 0
+    if part:
+        yield part
+
+
 def by_chars(text: Column, size: int = CHARS) -> Column:
     """Chunks are stripped; an empty text has none."""
     return _over(_chunks_by_chars, text, size)
@@ -57,6 +85,15 @@ def by_words(text: Column, most: int = WORDS) -> Column:
     return _over(_chunks_by_words, text, most)
 
 
+def n_by_chars(text: Column, size: int = CHARS) -> Column:
+    """How many chunks by_chars makes; they stay in the task."""
+    return _counted(_chunks_by_chars, text, size)
+
+
+def n_by_words(text: Column, most: int = WORDS) -> Column:
+    return _counted(_chunks_by_words, text, most)
+
+
 def chunked(rows: DataFrame, chunks: Column) -> DataFrame:
     """A row for each chunk: rows' other columns, chunk_no (from 0), chunk."""
     return rows.select(*(c for c in rows.columns if c != "text"), F.posexplode(chunks).alias("chunk_no", "chunk"))

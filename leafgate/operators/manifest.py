@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leafgate.functions.text import safe_name, stem
 
 
-def manifest(chapters: DataFrame, chunks: Column) -> DataFrame:
-    """book_id, chapter_no, title, n_chunks, fname."""
-    return chapters.select("book_id", "chapter_no", "title", F.size(chunks).cast("long").alias("n_chunks"), safe_name(F.col("chapter_no"), F.col("title")).alias("fname"))
+def manifest(chapters: DataFrame, chunks: Column | None = None, n_chunks: Column | None = None) -> DataFrame:
+    """book_id, chapter_no, title, n_chunks, fname. The number of chunks will do."""
+    n = F.size(chunks) if n_chunks is None else n_chunks
+    return chapters.select("book_id", "chapter_no", "title", n.cast("long").alias("n_chunks"), safe_name(F.col("chapter_no"), F.col("title")).alias("fname"))
 
 
 #: What tells a result apart: file names are numbered anew in each book.

@@ -37,6 +37,10 @@ class Settings:
         own = self.checked()
         return chunks.by_words(text, own.size or chunks.WORDS) if own.unit == "words" else chunks.by_chars(text, own.size or chunks.CHARS)
 
+    def n_chunks(self, text: Column) -> Column:
+        own = self.checked()
+        return chunks.n_by_words(text, own.size or chunks.WORDS) if own.unit == "words" else chunks.n_by_chars(text, own.size or chunks.CHARS)
+
 
 def cleaned_chapters(pages: DataFrame, keep_headings: bool = False) -> DataFrame:
     rows = ln.strip_repeated(ln.lines(pages), keep_headings=keep_headings, repeated=ln.repeated_of_pages(pages))  # a page is a row
@@ -46,4 +50,4 @@ def cleaned_chapters(pages: DataFrame, keep_headings: bool = False) -> DataFrame
 def work(pages: DataFrame, unit: str = "words", size: int | None = None, settings: Settings | None = None) -> DataFrame:
     """The manifest of all books."""
     own = (settings or Settings(unit, size)).checked()
-    return mf.manifest(cleaned_chapters(pages, own.keep_headings), own.chunks(F.col("text")))
+    return mf.manifest(cleaned_chapters(pages, own.keep_headings), n_chunks=own.n_chunks(F.col("text")))

@@ -195,7 +195,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "source", F.size(chunks.by_words(tx.text_or_empty("text"))).cast("long").alias("n_chunks"))
+    return docs.select("doc_id", "source", chunks.n_by_words(tx.text_or_empty("text")).alias("n_chunks"))
 
 
 def _done(spark: SparkSession, sf_dir: str) -> DataFrame:

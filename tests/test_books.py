@@ -1,7 +1,8 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafgate.operators import chapters as ch, lines as ln, manifest as mf
+from leafgate.operators import chapters as ch, chunks, lines as ln, manifest as mf
 from leafgate.plans import book, engines
 from leafgate.sources import files
 
@@ -135,3 +136,18 @@ def test_transcripts_of_a_recogniser(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"segments": []}')
     got = files.transcripts(spark, str(tmp_path)).orderBy("segment_no").collect()
     assert [(r["segment_no"], r["text"], r["words"] and r["words"][0]["start"]) for r in got] == [(0, "x", None), (1, "y", None)]
+
+
+def test_texts_of_a_batch_are_taken_apart_some_at_a_time(monkeypatch):
+    texts = ["One. Two. " * 300, None, "", "Three!"] * 5
+    monkeypatch.setattr(chunks, "PART_CHARS", 4000)
+    parts = list(chunks._parts(pa.array(texts)))
+    assert [t for p in parts for t in p] == texts and len(parts) == 3
+    assert all(sum(len(t or "") for t in p[:-1]) < 4000 for p in parts)
+
+
+@pytest.mark.parametrize("chunked, counted, size", [(chunks.by_words, chunks.n_by_words, 7), (chunks.by_chars, chunks.n_by_chars, 30)])
+def test_chunks_are_counted_without_being_sent(spark, chunked, counted, size):
+    rows = spark.createDataFrame([(t,) for t in ("", None, "One two. Three four five! Six? " * 40, " . ", "word " * 50)], "text string")
+    both = rows.select(F.size(chunked(F.col("text"), size)).alias("a"), counted(F.col("text"), size).alias("b")).collect()
+    assert [r["a"] for r in both] == [r["b"] for r in both] and max(r["a"] for r in both) > 10
