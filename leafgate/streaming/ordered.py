@@ -7,24 +7,23 @@ micro-batch brought them. A block that comes after its place in that order has g
 With `quiet`, a device without a block for so long in event time ends too: its open clip is emitted (closed is false) up to its last block, and its
 state goes. Such a device starts anew, its clips from 1, when it is heard again.
 
-A task holds the waiting blocks of one device at a time: what `late` of its stream holds. Needs the RocksDB state store, which `stateful` sets for a session.
+Each device's state comes with its blocks in one Arrow pass. A task holds the waiting blocks of one device at a time: what `late` of its stream holds. Needs the RocksDB state store, which `stateful` sets for a session.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, NumericType, StringType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import NumericType, StructType
 
 from leafgate.operators.gate import GAP, LEAST, LEVEL
 from leafgate.streaming.gate import CLIP
 
-# spelt out: Spark asks for them where there is no session to parse text
-_BLOCK = StructType().add("us", LongType()).add("event", StringType()).add("audible", IntegerType())
-_MACHINE = StructType([StructField(c, LongType()) for c in ("number", "start_us", "silent_us", "last_us", "n")])
+STATE = "number long, start_us long, silent_us long, last_us long, n long, us array<long>, event array<string>, audible array<int>"
 _NEW = (0, None, None, None, 0)
 
 
@@ -34,75 +33,35 @@ def stateful(spark: SparkSession) -> SparkSession:
     return spark
 
 
-class _Gate(StatefulProcessor):
-    """Blocks of one device: (us, event, audible), where audible is 1, 0, or -1 for the end of a stream."""
-
-    def __init__(self, gap: float, least: float, quiet: float | None):
-        self.gap, self.least, self.quiet = (None if x is None else int(x * 1_000_000) for x in (gap, least, quiet))
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", _BLOCK)
-        self.machine = handle.getValueState("machine", _MACHINE)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        gone = timerValues.getCurrentWatermarkInMs() * 1000
-        new = [(t.value // 1000, e, int(a)) for f in rows for t, e, a in zip(f["ts"], f["event"], f["audible"]) if t.value // 1000 > gone]
-        if new:
-            self.waiting.appendList(new)
-            self._wake(min(new)[0])
-        yield from ()
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due = [b for b in waiting if b[0] <= now]
-        number, start, silent, last, n = self.machine.get() if self.machine.exists() else _NEW
-        out: list[tuple] = []
-
-        def emit(end: int, closed: bool) -> None:
-            if end - start >= self.least:
-                out.append((key[0], number, pd.Timestamp(start, unit="us"), pd.Timestamp(end, unit="us"), n, (end - start) / 1e6, closed))
-
-        # what has gone quiet ends before the next block, or now
-        for us, _, audible in [*due, (now, "", None)]:
-            gone = self.quiet is not None and last is not None and us - last >= self.quiet
-            if gone or audible == -1:
-                if start is not None:
-                    emit(last, False)
-                number, start, silent, last, n = _NEW
-            if audible is None or audible == -1:
-                continue
-            last = us
-            if audible:
-                if start is None:
-                    number, start, n = number + 1, us, 0
-                silent, n = None, n + 1
-            elif start is not None:
-                silent, n = us if silent is None else silent, n + 1
-                if us - silent >= self.gap:
-                    emit(us, True)
-                    start, silent, n = None, None, 0
-        if last is None:
-            self.machine.clear()
-        else:
-            self.machine.update((number, start, silent, last, n))
-        if due:
-            self.waiting.clear()
-            if later := waiting[len(due) :]:
-                self.waiting.put(later)
-                self._wake(later[0][0])
-        if self.quiet is not None and last is not None:
-            self._wake(last + self.quiet)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "clip_no", "start_ts", "end_ts", "n_blocks", "seconds", "closed"])
-
-    def _wake(self, us: int) -> None:
-        """Timers count in milliseconds. One too many changes nothing."""
-        self.handle.registerTimer(-(-us // 1000))
-
-    def close(self) -> None:
-        pass
+def _taken(key: object, blocks: list[tuple], machine: tuple, now: int, gap: int, least: int, quiet: int | None) -> tuple[tuple, list[tuple]]:
+    """The machine and the clips after blocks of one device, in order: (us, event, audible), where audible is 1, 0, or -1 for the end of a stream."""
+    number, start, silent, last, n = machine
+    out: list[tuple] = []
+
+    def emit(end: int, closed: bool) -> None:
+        if end - start >= least:
+            out.append((key, number, pd.Timestamp(start, unit="us"), pd.Timestamp(end, unit="us"), n, (end - start) / 1e6, closed))
+
+    # what has gone quiet ends before the next block, or now
+    for us, _, audible in [*blocks, (now, "", None)]:
+        gone = quiet is not None and last is not None and us - last >= quiet
+        if gone or audible == -1:
+            if start is not None:
+                emit(last, False)
+            number, start, silent, last, n = _NEW
+        if audible is None or audible == -1:
+            continue
+        last = us
+        if audible:
+            if start is None:
+                number, start, n = number + 1, us, 0
+            silent, n = None, n + 1
+        elif start is not None:
+            silent, n = us if silent is None else silent, n + 1
+            if us - silent >= gap:
+                emit(us, True)
+                start, silent, n = None, None, 0
+    return (number, start, silent, last, n), out
 
 
 def ordered_gate_stream(
@@ -118,5 +77,29 @@ def ordered_gate_stream(
     audible = F.when(F.col(level).isNull(), -1).otherwise((F.col(level) >= threshold).cast("int"))
     rows = blocks.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.coalesce(name, F.lit("")).alias("event"), audible.alias("audible"))
     schema = StructType([*rows.select("key").schema, *StructType.fromDDL(CLIP)])
+    gap_us, least_us, quiet_us = (None if x is None else int(x * 1_000_000) for x in (gap, least, quiet))
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = max(0, state.getCurrentWatermarkMs()) * 1000
+        *machine, us, event, audible = state.get if state.exists else (*_NEW, [], [], [])
+        waiting = list(zip(us, event, audible))
+        for f in () if state.hasTimedOut else frames:
+            waiting += [b for b in zip(f["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), f["event"], f["audible"].astype(int).tolist()) if b[0] > now]
+        waiting.sort()
+        n_due = bisect_right(waiting, now, key=lambda b: b[0])
+        machine, out = _taken(k[0], waiting[:n_due], tuple(machine), now, gap_us, least_us, quiet_us)
+        later = waiting[n_due:]
+        if later or machine[3] is not None:
+            state.update((*machine, *(list(c) for c in zip(*later))) if later else (*machine, [], [], []))
+            wakes = [later[0][0]] if later else []
+            if quiet_us is not None and machine[3] is not None:
+                wakes.append(machine[3] + quiet_us)
+            if wakes:  # fires when the watermark is beyond the time set
+                state.setTimeoutTimestamp(max(1, now // 1000, -(-min(wakes) // 1000) - 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "clip_no", "start_ts", "end_ts", "n_blocks", "seconds", "closed"])
+
     stateful(blocks.sparkSession)
-    return rows.where("ts is not null").withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_Gate(gap, least, quiet), schema, "append", "eventTime")
+    return rows.where("ts is not null").withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -64,3 +64,11 @@ def test_blocks_of_one_time_come_in_the_order_of_events(spark, tmp_path):
     batches = [[(1, 10, 5.0, 0.0), (1, 9, 5.0, 900.0), (1, None, 5.0, 0.0), (1, 11, 9.0, 0.0)], [(2, 1, 100.0, None)], [(2, 1, 200.0, None)]]
     got, _ = ran(spark, tmp_path, batches, late="1 second")
     assert got == [(1, 1, 5.0, 9.0, 3, True)]
+
+
+def test_state_comes_with_the_blocks(spark, tmp_path):
+    """No call to a state server for each device."""
+    (tmp_path / "in").mkdir()
+    out = ordered_gate_stream(block_stream(spark, str(tmp_path / "in"), SCHEMA), "k", "ts", "event", "level")
+    plan = out._jdf.queryExecution().logical().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
