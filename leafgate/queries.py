@@ -18,7 +18,7 @@ from leafgate.plans.scratch import fresh
 from leafgate.plans.ship import shipped
 from leafgate.sources import files
 from leafgate.sources.live import sound_stream
-from leafgate.sources.named import write_named
+from leafgate.sources.named import read_named, write_named
 from leafgate.streaming.blocks import block_stream
 from leafgate.streaming.gate import gate_stream
 from leafgate.streaming.ordered import ordered_gate_stream
@@ -325,10 +325,13 @@ def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.sample_blocks(samples, "vec_id", "i", "x", 16).withColumn("level", F.round("level", 6))
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _segments(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """dealt: each conversation's in one task, of all tasks, before anything is made of them."""
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    said = said.repartition(4 * spark.sparkContext.defaultParallelism, "conv_id") if dealt else said
     words = F.filter(F.split(tx.text_or_empty("text"), r"\s+"), lambda w: w != "")
     timed = F.transform(words, lambda w, i: F.struct((i * 0.25).cast("double").alias("start"), w.alias("word")))
-    return _table(spark, sf_dir, "conversations").select(
+    return said.select(
         "conv_id", F.col("turn").alias("segment_no"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).cast("double").alias("end"), tx.text_or_empty("text").alias("text"), timed.alias("words")
     )
 
@@ -440,8 +443,8 @@ def finished_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_O_TRANSCRIPT + " SELECT conv_id, md5(string_agg(line, chr(10) ORDER BY segment_no, word_no) || chr(10)) AS digest FROM o GROUP BY conv_id")
 def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = fresh(spark, "transcripts")
-    files.write_transcript(transcript_lines(spark, sf_dir), at, "conv_id")
-    return spark.read.schema("value string, conv_id long").text(at, wholetext=True).select("conv_id", F.md5("value").alias("digest"))
+    files.write_transcript(tr.transcript_lines(_segments(spark, sf_dir, dealt=True), "conv_id"), at, "conv_id")
+    return read_named(spark, at).select(F.regexp_extract("path", r"conv_id=(-?\d+)/", 1).try_cast("long").alias("conv_id"), F.md5("content").alias("digest"))
 
 
 @query("SELECT conv_id, CAST(turn AS INT) AS segment_no, coalesce(text, '') AS text, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS INT) AS n_words FROM conversations")
@@ -449,10 +452,10 @@ def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested segments as a recogniser writes them, a JSON file for each conversation."""
     at = fresh(spark, "recognised")
     one = F.struct("segment_no", "start", "end", "text", "words")
-    said = _segments(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("segments"))
-    said.write.partitionBy("conv_id").json(at)
-    rows = files.transcripts(spark, at, recursive=True)
-    return rows.select(F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("long").alias("conv_id"), "segment_no", "text", F.size("words").alias("n_words"))
+    said = _segments(spark, sf_dir, dealt=True).groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("segments"))
+    write_named(said.select("conv_id", F.lit("part-00000.json").alias("fname"), F.to_json(F.struct("segments")).cast("binary").alias("content")), at, ["conv_id"], "fname", "content")
+    rows = files.many_transcripts(spark, at)
+    return rows.select(F.regexp_extract("path", r"conv_id=(-?\d+)/", 1).try_cast("long").alias("conv_id"), "segment_no", "text", F.size("words").alias("n_words"))
 
 
 @query(f"{_O_GATE} SELECT CAST(user_id AS VARCHAR) AS device, clip_no, start_ts, end_ts, n_blocks, seconds, closed FROM g WHERE seconds >= 172800")
@@ -516,8 +519,7 @@ def wav_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = gate.clip_audio(rows, "user_id", ["ts", "event_id"], "pcm", "rate", "channels")
     at = fresh(spark, "clips")
     write_named(clips.select("user_id", F.format_string("%06d.wav", "clip_no").alias("fname"), signal.wav(F.col("payload"), F.col("rate"), F.col("channels")).alias("content")), at, ["user_id"], "fname", "content")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(at)
-    return found.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"), "length", F.md5("content").alias("digest"))
+    return read_named(spark, at).select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"), "length", F.md5("content").alias("digest"))
 
 
 @query("""SELECT doc_id, round(CASE WHEN strlen(t) < 2 THEN 0 ELSE sqrt(list_sum(list_transform(regexp_extract_all(t, '..'), lambda p: pow(ascii(p[1]) + 256 * ascii(p[2]), 2))) / (strlen(t) // 2)) END, 3) AS level
@@ -585,7 +587,7 @@ def stitched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = _table(spark, sf_dir, "conversations").select("conv_id", F.format_string("%04d.wav", "turn").alias("fname"), signal.wav(F.col("text").cast("binary"), 8000, 1).alias("content"))
     parts = fresh(spark, "parts")
     write_named(one, parts, ["conv_id"], "fname", "content")
-    read = lambda at: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("book"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"), "content")
+    read = lambda at: read_named(spark, at).select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("book"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"), "content")
     whole = pcm.stitched_pieces(read(parts).withColumn("content", signal.wav_payload(F.col("content"))), "book", "fname", "content", 4096, 8000)
     at = fresh(spark, "stitched")
     write_named(whole.select(F.regexp_replace("book", "^conv_id=", "").alias("conv_id"), F.format_string("%06d", "piece_no").alias("fname"), "payload"), at, ["conv_id"], "fname", "payload")

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from leafgate.functions.text import stem
 from leafgate.operators.manifest import stitched
 from leafgate.operators.transcript import transcript_texts
+from leafgate.sources.named import read_named, write_named
 
 
 def _plain(path: Column) -> Column:
@@ -94,6 +95,14 @@ def transcripts(spark: SparkSession, folder: str, recursive: bool = False) -> Da
     return rows.where("s is not null").select("path", "segment_no", "s.start", "s.end", "s.text", "s.words")
 
 
+def many_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of very many files in UTF-8, in a folder and those below: they are listed and read by a fixed number of tasks."""
+    one = SEGMENTS.split(" ", 1)
+    read = F.from_json(F.col("content").cast("string"), f"array<struct<{one[0]}: {one[1]}>>")  # an object is an array of itself
+    rows = read_named(spark, folder).select("path", F.explode(read).alias("r")).select("path", F.posexplode("r.segments").alias("segment_no", "s"))
+    return rows.where("s is not null").select("path", "segment_no", "s.start", "s.end", "s.text", "s.words")
+
+
 def write_clips(clips: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """The clips of a stream as Parquet, each once. trigger: as of DataStreamWriter.trigger."""
     writer = clips.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
@@ -101,8 +110,9 @@ def write_clips(clips: DataFrame, path: str, checkpoint: str, **trigger) -> Stre
 
 
 def write_transcript(lines: DataFrame, path: str, key: str) -> None:
-    """One text file for each key, in a folder key=..: a transcript is for one reader. Keys are dealt to all tasks."""
-    transcript_texts(lines, key).write.mode("overwrite").partitionBy(key).text(path)
+    """One text file for each key, in a folder key=..: a transcript is for one reader. Keys are dealt to all tasks. What is at the path is replaced."""
+    texts = transcript_texts(lines, key).select(key, F.lit("part-00000.txt").alias("_name"), F.concat("text", F.lit("\n")).cast("binary").alias("_content"))
+    write_named(texts, path, [key], "_name", "_content", replace=True)
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:

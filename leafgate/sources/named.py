@@ -1,8 +1,11 @@
-"""Files whose names and bytes are rows: a writer as a Spark data source, with commit and abort.
+"""Files whose names and bytes are rows: a writer and a reader as a Spark data source, with commit and abort.
 
 Tasks write their files into a folder beside the target that only this write has, each under another name until it is whole, so a task that is lost or runs
 twice leaves no half file. When all tasks are done, the driver renames that folder to the target, in one step; if the write fails, it removes it.
-Nothing is seen at the target before. Paths may be local to a folder that all executors share, or of any store that pyarrow opens by its URI.
+Nothing is seen at the target before. Rows are dealt to tasks by their names, so many small files that come from one task are made by all.
+
+The driver lists a folder's own entries only, and deals these to `TASKS` tasks, which list and read what is below: a folder of very many folders costs no task for each.
+Paths may be local to a folder that all executors share, or of any store that pyarrow opens by its URI.
 """
 
 from __future__ import annotations
@@ -11,10 +14,16 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+#: Tasks that read a folder, at most; bytes and files of one batch of them, about.
+TASKS, BATCH_BYTES, BATCH_FILES = 256, 8 << 20, 4096
+#: The folder of a null, as Spark names it.
+NULL = "__HIVE_DEFAULT_PARTITION__"
+
 
 def _store(path: str):
     """The file system of a path, and the path in it."""
@@ -31,6 +40,7 @@ class _Writer(DataSourceWriter):
         self.folders = [c for c in options.get("folders", "").split("\t") if c]
         head, _, tail = self.path.rpartition("/")
         self.staged = f"{head}/.{tail}-{uuid.uuid4().hex}"
+        self.overwrite = options.get("replace") == "true"
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         store, at = _store(self.staged)
@@ -39,7 +49,7 @@ class _Writer(DataSourceWriter):
             name = row[self.name]
             if not name or "/" in name or name in (".", ".."):
                 raise ValueError(f"{name!r} is no name of a file")
-            folder = "/".join([at, *(f"{c}={quote(str(row[c]), safe=' ')}" for c in self.folders)])
+            folder = "/".join([at, *(f"{c}={NULL if row[c] is None else quote(str(row[c]), safe=' ')}" for c in self.folders)])
             if folder not in made:
                 store.create_dir(folder, recursive=True)
                 made.add(folder)
@@ -54,11 +64,16 @@ class _Writer(DataSourceWriter):
 
         store, staged = _store(self.staged)
         target = _store(self.path)[1]
-        if store.get_file_info(target).type != FileType.NotFound:
+        there = store.get_file_info(target).type != FileType.NotFound
+        if there and not self.overwrite:
             self.abort(messages)
             raise FileExistsError(self.path)
         store.create_dir(staged, recursive=True)  # no rows: an empty folder
+        if there:
+            store.move(target, f"{staged}-old")
         store.move(staged, target)
+        if there:
+            store.delete_dir(f"{staged}-old")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         from pyarrow.fs import FileType
@@ -68,22 +83,92 @@ class _Writer(DataSourceWriter):
             store.delete_dir(staged)
 
 
+def _seen(path: str) -> bool:
+    """Names that Spark's sources leave out too are no files of a folder."""
+    return not any(n.startswith(".") or n.startswith("_") and "=" not in n for n in path.split("/"))
+
+
+class _Names(InputPartition):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path = options["path"].rstrip("/")
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, at = _store(self.path)
+        names = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(at)) if _seen(f.base_name))
+        n = min(TASKS, len(names))
+        return [_Names(names[i::n]) for i in range(n)] or [_Names([])]
+
+    def read(self, partition: _Names) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, at = _store(self.path)
+        held: list[tuple[str, bytes]] = []
+        size = 0
+        for name in partition.names:
+            found = [store.get_file_info(f"{at}/{name}")]
+            if found[0].type == fs.FileType.Directory:
+                found = store.get_file_info(fs.FileSelector(found[0].path, recursive=True))
+            for f in found:
+                below = f.path[len(at) :].lstrip("/")
+                if f.type != fs.FileType.File or not _seen(below):
+                    continue
+                with store.open_input_stream(f.path) as data:
+                    held.append((f"{self.path}/{below}", data.read()))
+                size += len(held[-1][1])
+                if size > BATCH_BYTES or len(held) >= BATCH_FILES:
+                    yield _batch(held)
+                    held, size = [], 0
+        if held:
+            yield _batch(held)
+
+
+def _batch(files: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    paths, contents = zip(*files)
+    return pa.RecordBatch.from_arrays([pa.array(paths), pa.array([len(c) for c in contents], pa.int64()), pa.array(contents, pa.binary())], ["path", "length", "content"])
+
+
 class NamedFiles(DataSource):
-    """Format named_files, to be written only. Options: path, name and content (columns), folders (columns, between tabs)."""
+    """Format named_files. Options: path; of a write, name and content (columns), folders (columns, between tabs), replace (what is at the path)."""
 
     @classmethod
     def name(cls) -> str:
         return "named_files"
 
+    def schema(self) -> str:
+        return "path string, length long, content binary"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(dict(self.options))
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(dict(self.options))
 
 
-def write_named(rows: DataFrame, path: str, folders: list[str], name: str, content: str) -> None:
-    """A file for each row, in folders column=value. The path must not be there yet. Of rows with one name one stays."""
-    rows.sparkSession.dataSource.register(NamedFiles)
-    kept = rows.select(*folders, name, content)
-    kept.write.format("named_files").option("name", name).option("content", content).option("folders", "\t".join(folders)).mode("append").save(path)
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows in all tasks, by all of their columns but the last."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *rows.columns[:-1])
+
+
+def write_named(rows: DataFrame, path: str, folders: list[str], name: str, content: str, replace: bool = False) -> None:
+    """A file for each row, in folders column=value. The path must not be there yet, or is replaced when all files are. Of rows with one name one stays."""
+    spark = rows.sparkSession
+    spark.dataSource.register(NamedFiles)
+    kept = _dealt(rows.select(*folders, name, content))
+    said = {"name": name, "content": content, "folders": "\t".join(folders), "replace": str(replace).lower()}
+    kept.write.format("named_files").options(**said).mode("append").save(path)
+
+
+def read_named(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, content of all files in a folder and the folders below."""
+    spark.dataSource.register(NamedFiles)
+    return spark.read.format("named_files").load(path)
 
 
 def write_batch(rows: DataFrame, batch: int, path: str, folders: list[str], name: str, content: str) -> bool:

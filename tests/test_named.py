@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgate.functions.signal import wav
-from leafgate.sources.named import write_batch, write_named
+from leafgate.sources import files as sources, named
+from leafgate.sources.named import read_named, write_batch, write_named
 
 ROWS = "k string, n string, c binary"
 
@@ -65,3 +66,32 @@ def test_wav_opens_as_such(spark, pcm, rate, channels):
         assert (w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes()) == (rate, channels, 2, len(pcm) // (2 * channels))
         assert w.readframes(1 << 30) == pcm
     assert len(made) == 44 + len(pcm) + len(pcm) % 2
+
+
+def test_many_folders_are_written_and_read_by_a_fixed_number_of_tasks(spark, tmp_path):
+    rows = spark.range(300).coalesce(1).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("a.txt").alias("n"), F.col("id").cast("string").cast("binary").alias("c"))
+    for _ in range(2):  # the second replaces the first
+        write_named(rows, str(tmp_path / "out"), ["k"], "n", "c", replace=True)
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    (tmp_path / "out" / "_hidden").write_text("x")
+    (tmp_path / "out" / "plain.txt").write_text("xy")
+    found = read_named(spark, str(tmp_path / "out"))
+    assert found.rdd.getNumPartitions() == named.TASKS < 300
+    got = {r["path"][len(str(tmp_path)) + 5 :]: (r["length"], bytes(r["content"])) for r in found.collect()}
+    want = {f"k={i or named.NULL}/a.txt": (len(str(i)), str(i).encode()) for i in range(300)}
+    assert got == {**want, "plain.txt": (2, b"xy")}
+
+
+def test_files_of_one_task_are_written_by_all(spark, tmp_path):
+    rows = spark.range(300).coalesce(1).select(F.col("id").alias("k"), F.lit("a").alias("n"), F.lit(b"x").alias("c"))
+    write_named(rows, str(tmp_path / "out"), ["k"], "n", "c")
+    plan = named._dealt(rows)._jdf.queryExecution().toString()
+    assert "RoundRobin" not in plan and named._dealt(rows).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_transcripts_of_very_many_files_are_those_of_sparks_reader(spark, tmp_path):
+    for i, said in enumerate(['{"segments": [{"start": 0.5, "end": 1.0, "text": "x", "words": [{"word": "é"}]}, null, {"text": "y"}]}', '{"segments": []}', "{}", "[]", "no json", '[{"segments": [{"text": "a"}]}, {"segments": [{"text": "b"}]}]']):
+        (tmp_path / f"k={i}").mkdir()
+        (tmp_path / f"k={i}" / "a.json").write_text(said)
+    rows = [sorted(map(str, (r.asDict(True) | {"path": r["path"].split("/")[-2]} for r in x.collect()))) for x in (sources.transcripts(spark, str(tmp_path), recursive=True), sources.many_transcripts(spark, str(tmp_path)))]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
