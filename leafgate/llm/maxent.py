@@ -16,9 +16,13 @@ weights of two features: the word with the word before it, and the word with bot
 training texts, so what is learned grows with the input. Tokens go to a shard by the hash of the word before, where all that touches
 one weight meets; a shard sums the counts, trains its weights by gradient steps under a Gaussian prior (bigrams first, then trigrams upon
 them), and scores the tokens of all documents as sparse arrays: the sum that normalises a context is one, and what the weights of its
-own n-grams change. A word before that is frequent has weights for each of several groups of its tokens (its count and `HOT` decide how many):
-by the word before that, and where that is frequent too, by document. So hot words, hot pairs and the starts of texts go to many shards, and no
-shard grows with the input; a group of a hot pair learns from its own documents, some `HOT` tokens. Weights never leave their shard.
+own n-grams change. A word before that is frequent has weights for each of several groups of words before that (its count and `HOT` decide how many), by their hash: a
+group is a feature of the context, and learns from all training texts. The tokens of a pair of words that is `HOT` times there go to several shards, by document. For the groups of such
+pairs the counts of all training texts are summed up apart and sent to each of these shards, so all of them train the same weights. So hot words, hot pairs and the starts of texts go to
+many shards, and what a shard holds does not grow with the input. Weights never leave their shard.
+
+Documents are numbered in blocks of some `HELD_TOKENS` tokens. A shard answers each block's pack with a sum (32-bit) for each document in it; only one pack of a block names its documents.
+
 The classes' distribution of words that are no symbols is their share of the words of their ending, with half a count for each and for the
 unknown. So the model's probabilities of all words and one unknown for each ending add up to one.
 
@@ -53,12 +57,13 @@ END_CLASS = CLASSES - 1
 CONTEXTS = CLASSES**3
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 PARTIAL = "doc_id long, doc long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, ending int, times long"
-#: Tokens of one shard, about; training tokens of one group of a word before, about.
+#: Tokens of one shard, about; training tokens of one group of a word before, about (a group with a hot pair has more), and of a hot pair at least.
 SHARD, HOT = 1_000_000, 200_000
-#: Steps, the largest one, and the variance of the prior of n-gram weights; packed tokens of a task.
-NGRAM_STEPS, LARGEST, VARIANCE, HELD_TOKENS = 10, 2.0, 4.0, 500_000
-TOKENS = "shard int, data binary"
-START = -1
+#: Steps, the largest one, and the variance of the prior of n-gram weights; tokens of one block.
+NGRAM_STEPS, LARGEST, VARIANCE, HELD_TOKENS = 10, 2.0, 4.0, 2_000_000
+TOKENS = "shard int, counts boolean, data binary"
+#: What stands for no word before, and for all words before that make no hot pair.
+START, REST = -1, 2**31 - 2
 
 
 def _keyed_docs(docs: DataFrame) -> DataFrame:
@@ -345,23 +350,24 @@ def fit(docs: DataFrame, vocab: DataFrame) -> Model:
     lexicon = lexicon_of(vocab)
     classes = symbol_classes(docs, lexicon)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, classes))
-    n_context = CONTEXTS * CLASSES
+    n_context, n_member = CONTEXTS * CLASSES, CLASSES * SYMBOLS
+    own, behind = n_context // BLOCKS, n_member // BLOCKS  # of one block
 
-    def contexts(texts: Texts) -> np.ndarray:
+    def places(texts: Texts) -> np.ndarray:
+        """Contexts with their class and, behind these in each block, symbols with the class before."""
         lexicon, classes = shared.value
         seq = Sequence(texts, lexicon)
         c = classes[seq.symbol]
-        return (((seq.before(c, 1, END_CLASS) * CLASSES + seq.before(c, 2, END_CLASS)) * CLASSES) + seq.before(c, 3, END_CLASS)) * CLASSES + c
-
-    def members(texts: Texts) -> np.ndarray:
-        lexicon, classes = shared.value
-        seq = Sequence(texts, lexicon)
-        return seq.before(classes[seq.symbol], 1, END_CLASS) * SYMBOLS + seq.symbol
+        before = seq.before(c, 1, END_CLASS)
+        context = ((before * CLASSES + seq.before(c, 2, END_CLASS)) * CLASSES + seq.before(c, 3, END_CLASS)) * CLASSES + c
+        member = before * SYMBOLS + seq.symbol
+        return np.concatenate([context + context // own * behind, member + (member // behind + 1) * own])
 
-    table = written(counted(docs, n_context, contexts), "contexts")
+    table = written(counted(docs, n_context + n_member, places), "contexts")
     weights = trained(table, lexicon.tokens)
     by_context = np.log10(np.maximum(_softmax(weights, _features(np.arange(CONTEXTS))), 1e-12)).astype(np.float32)
-    n = _whole(counted(docs, CLASSES * SYMBOLS, members), CLASSES * SYMBOLS).reshape(CLASSES, SYMBOLS).astype(float)
+    members = table.select("block", F.expr(f"substring(data, {8 * own + 1}, {8 * behind})").alias("data"))
+    n = _whole(members, n_member).reshape(CLASSES, SYMBOLS).astype(float)
     one_hot = np.zeros((SYMBOLS, CLASSES))
     one_hot[np.arange(SYMBOLS), classes] = 1
     used = np.arange(SYMBOLS) >= SYMBOLS - ENDINGS - 1  # the end and the endings; the others where there are so many words
@@ -433,13 +439,77 @@ def _names(seq: Sequence, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
+def _often(before: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    """How often a word before is in the training texts. Words that are not known are never hot."""
+    count = np.append(lexicon.count, 0)
+    return np.where(before < 0, lexicon.count[lexicon.end], count[np.clip(before, 0, len(lexicon.count))])
+
+
 def _group(before: np.ndarray, before2: np.ndarray, doc: np.ndarray, lexicon: Lexicon, hot: int) -> np.ndarray:
-    """Which group of its word before a token takes: by the word before that, and by document where both words are frequent, as a pair is at most
-    as frequent as either of its words. So no pair of words, and no start of texts, is in one group however often it comes."""
-    count = np.append(lexicon.count, 0)  # unknown words are never hot
-    often, often2 = (np.where(x < 0, lexicon.count[lexicon.end], count[np.clip(x, 0, len(lexicon.count))]) for x in (before, before2))
-    times, spread = (often // hot + 1).astype(U), (np.minimum(often, often2) // hot + 1).astype(U)
-    return ((mix(before2.astype(U) + U(11)) % times + mix(doc.astype(U) + U(5)) % spread) % times).astype(np.int64)
+    """Which group of its word before a token takes: by the word before that. The document has no part in it, so all training texts count for a group."""
+    times = (_often(before, lexicon) // hot + 1).astype(U)
+    return (mix(before2.astype(U) + U(11)) % times).astype(np.int64)
+
+
+def _paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first.astype(np.int64) + 1) << 32 | (second.astype(np.int64) + 1)
+
+
+def _found(own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of x is in own (ascending), and where."""
+    if not len(own):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(own, x), len(own) - 1)
+    return own[at] == x, at
+
+
+class Hot:
+    """The pairs of words that are `hot` times or more in the training texts, and in how many parts a pair's tokens are dealt, by document. The shards
+    of such a pair's group learn from `shared` counts of all training texts."""
+
+    def __init__(self, pair: np.ndarray, count: np.ndarray, lexicon: Lexicon, hot: int):
+        order = np.argsort(pair)
+        self.hot, self.pair, self.parts = hot, pair[order], count[order] // hot + 1
+        before, before2 = (self.pair >> 32) - 1, (self.pair & 0xFFFFFFFF) - 1
+        group = _paired(before, _group(before, before2, before, lexicon, hot))
+        self.groups, which = np.unique(group, return_inverse=True)
+        self.group_parts = np.ones(len(self.groups), np.int64)
+        np.maximum.at(self.group_parts, which, self.parts)
+
+    def parts_of(self, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
+        """1 where the pair is not hot."""
+        hot, at = _found(self.pair, _paired(before, before2))
+        return np.where(hot, self.parts[at], 1) if len(self.pair) else np.ones(len(before), np.int64)
+
+
+def hot_pairs(docs: DataFrame, lexicon: Lexicon, hot: int) -> Hot:
+    """At most one for each `hot` tokens. Both words of a pair are as frequent as the pair, so only pairs of frequent words are counted."""
+    none = np.zeros(0, np.int64)
+    if not (lexicon.count >= hot).any():
+        return Hot(none, none, lexicon, hot)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        pair, n = none, none
+        for _, texts in chunks(batches):
+            seq = Sequence(texts, lexicon)
+            names = _names(seq, lexicon)
+            before, before2 = seq.before(names, 1, START), seq.before(names, 2, START)
+            some = (_often(before, lexicon) >= hot) & (_often(before2, lexicon) >= hot)
+            new, times = np.unique(_paired(before[some], before2[some]), return_counts=True)
+            pair, which = np.unique(np.concatenate([pair, new]), return_inverse=True)
+            n = np.bincount(which, np.concatenate([n, times]), len(pair)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).toArrow()
+    return Hot(rows["pair"].to_numpy(), rows["n"].to_numpy(), lexicon, hot)
+
+
+def _home(before: np.ndarray, kind: np.ndarray, group: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of a word before with a class and a group."""
+    context = before * CLASSES + kind
+    return ((mix(context.astype(U) * U(0x9E3779B97F4A7C15)) % U(shards) + group.astype(U)) % U(shards)).astype(np.int64)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -447,54 +517,168 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _packed(doc: np.ndarray, before: np.ndarray, before2: np.ndarray, out: np.ndarray) -> bytes:
+def _of_planes(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view(np.int32).ravel()
+
+
+def _packed(doc: np.ndarray, before: np.ndarray, before2: np.ndarray, out: np.ndarray, block: int = 0, keys: np.ndarray | None = None) -> bytes:
+    """doc: of each token twice its document's number in the block, plus 1 if that is trained on. keys: the block's documents; one pack of a block names them."""
     order = np.argsort((before.astype(np.int64) + 1) << 32 | out)
-    docs, which = np.unique(doc[order], return_inverse=True)
-    parts = [np.array([len(doc), len(docs)]).tobytes(), docs.tobytes(), _planes(which), *map(_planes, (np.diff(before[order], prepend=START), before2[order], out[order]))]
+    keys = np.zeros(0, np.int64) if keys is None else keys
+    parts = [np.array([len(doc), block, len(keys)]).tobytes(), keys.tobytes(), *map(_planes, (doc[order], np.diff(before[order], prepend=START), before2[order], out[order]))]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    """doc, before, before2, out."""
+def _unpacked(data: bytes) -> list:
+    """doc, before, before2, out, block, keys."""
     data = zstandard.ZstdDecompressor().decompress(data)
-    n, n_docs = np.frombuffer(data, np.int64, 2)
-    at = 16 + 8 * n_docs
-    rest = [np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at + 4 * n * i).reshape(4, n).T).view(np.int32).ravel() for i in range(4)]
-    return [np.frombuffer(data, np.int64, n_docs, 16)[rest[0]], np.cumsum(rest[1]) + START, *rest[2:]]
+    n, block, named = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    at = 24 + 8 * named
+    doc, before, before2, out = (_of_planes(data, n, at + 4 * n * i) for i in range(4))
+    return [doc, np.cumsum(before) + START, before2, out, block, np.frombuffer(data, np.int64, named, 24)]
 
 
-def _dealt(docs: DataFrame, model: Model, shards: int, hot: int) -> DataFrame:
-    """The tokens of all documents in shards, packed: doc, before, before2, out."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _dealt(docs: DataFrame, model: Model, shards: int, hot: int, pairs: Hot | None = None) -> DataFrame:
+    """The tokens of all documents in shards, packed: doc, before, before2, out. Documents are numbered in blocks, which are known by a hash of their keys."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, pairs or hot_pairs(docs, model.lexicon, hot)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, pairs = shared.value
         held: list[tuple[np.ndarray, ...]] = []
+        keys: list[np.ndarray] = []
+        n_docs = 0
 
         def sent() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*held)]
+            names = np.concatenate(keys)
+            block = int(mix(names.astype(U) + mix(np.arange(len(names)).astype(U))).sum().astype(np.int64))
             held.clear()
+            keys.clear()
             order = np.argsort(columns[0], kind="stable")
             own = np.flatnonzero(np.append(True, np.diff(columns[0][order]) != 0))
-            rows = [(int(columns[0][part[0]]), _packed(*(c[part] for c in columns[1:]))) for part in np.split(order, own[1:])]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "data"])
+            rows = [(int(columns[0][part[0]]), _packed(*(c[part] for c in columns[1:]), block, None if i else names)) for i, part in enumerate(np.split(order, own[1:]))]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([False] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["shard", "counts", "data"])
 
         for batch, texts in chunks(batches):
+            if not texts.n:
+                continue
             seq = Sequence(texts, model.lexicon)
             names = _names(seq, model.lexicon)
             before, before2 = seq.before(names, 1, START), seq.before(names, 2, START)
-            doc = batch.column("doc").to_numpy()[seq.doc]
-            context = before * CLASSES + model.symbol_class[seq.symbol]
-            shard = (mix(context.astype(U) * U(0x9E3779B97F4A7C15)) % U(shards) + _group(before, before2, doc, model.lexicon, hot).astype(U)) % U(shards)
-            held.append((shard.astype(np.int32), doc, before.astype(np.int32), before2.astype(np.int32), _outputs(seq, model.lexicon).astype(np.int32)))
+            key = batch.column("doc").to_numpy()
+            doc = key[seq.doc]
+            times = _often(before, model.lexicon) // hot + 1
+            part = (mix(doc.astype(U) + U(5)) % pairs.parts_of(before, before2).astype(U)).astype(np.int64)
+            shard = _home(before, model.symbol_class[seq.symbol], (_group(before, before2, doc, model.lexicon, hot) + part) % times, shards)
+            number = (seq.doc + n_docs) << 1 | doc & 1
+            held.append((shard.astype(np.int32), number.astype(np.int32), before.astype(np.int32), before2.astype(np.int32), _outputs(seq, model.lexicon).astype(np.int32)))
+            keys.append(key)
+            n_docs += texts.n
             if sum(len(x[0]) for x in held) > HELD_TOKENS:
                 yield sent()
+                n_docs = 0
         if held:
             yield sent()
 
     return _keyed_docs(docs).mapInArrow(run, TOKENS)
 
 
+def _name(group: np.ndarray, before: np.ndarray, before2: np.ndarray, out: np.ndarray) -> np.ndarray:
+    group, before, before2, out = (x.astype(U) for x in (group, before - START, before2 - START, out))
+    return mix((before << U(32) | out) ^ mix(before2 << U(20) ^ group))
+
+
+def _summed_ngrams(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """group, before, before2, out, n: each n-gram once."""
+    *columns, n = (np.concatenate(x) for x in zip(*held))
+    _, one, which = np.unique(_name(*(c.astype(np.int64) for c in columns)), return_index=True, return_inverse=True)
+    return *(c[one] for c in columns), np.bincount(which, n, len(one)).astype(np.int64)
+
+
+def _pressed(columns: tuple[np.ndarray, ...]) -> bytes:
+    order = np.argsort(_paired(columns[1], columns[3]))
+    *columns, n = (c[order] for c in columns)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*map(_planes, columns), n.astype(np.int64).tobytes()]))
+
+
+def _loose(data: bytes) -> tuple[np.ndarray, ...]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = len(data) // 24
+    return *(_of_planes(data, n, 4 * n * i) for i in range(4)), np.frombuffer(data, np.int64, n, 16 * n)
+
+
+def _shared_counts(learn: DataFrame, model: Model, shards: int, pairs: Hot) -> DataFrame:
+    """The n-grams of the groups of hot pairs with their counts in all training texts, for each shard that has tokens of such a pair. The counts of
+    a group are summed up in tasks, then in its home; from there they go to the pair's shards. Home has the tokens of the group's other pairs itself; elsewhere these are one word before, `REST`."""
+    lexicon, hot = model.lexicon, pairs.hot
+    shared = learn.sparkSession.sparkContext.broadcast((model, pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, pairs = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            kind = _own(model, columns[1].astype(np.int64), columns[3])[0]
+            home = _home(columns[1].astype(np.int64), kind, columns[0].astype(np.int64), shards)
+            order = np.argsort(home, kind="stable")
+            at = np.flatnonzero(np.append(True, np.diff(home[order]) != 0))
+            rows = [(int(home[part[0]]), _pressed(tuple(c[part] for c in columns))) for part in np.split(order, at[1:])]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "data"])
+
+        for _, texts in chunks(batches):
+            seq = Sequence(texts, model.lexicon)
+            names = _names(seq, model.lexicon)
+            before, before2 = seq.before(names, 1, START), seq.before(names, 2, START)
+            group = _group(before, before2, before, model.lexicon, hot)
+            some = np.flatnonzero(_found(pairs.groups, _paired(before, group))[0])
+            before, before2, group = before[some], before2[some], group[some]
+            before2 = np.where(_found(pairs.pair, _paired(before, before2))[0], before2, REST)
+            columns = (group, before, before2, _outputs(seq, model.lexicon)[some])
+            held.append(_summed_ngrams([(*(c.astype(np.int32) for c in columns), np.ones(len(some), np.int64))]))
+            size += len(held[-1][0])
+            if size > 2_000_000:
+                held = [_summed_ngrams(held)]
+                size = len(held[0][0])
+                if size > 1_000_000:
+                    yield out(held.pop())
+                    size = 0
+        if size:
+            yield out(_summed_ngrams(held))
+
+    def add(group: pa.Table) -> pa.Table:
+        model, pairs = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+        for data in group["data"]:
+            held.append(_loose(data.as_py()))
+            if sum(len(x[0]) for x in held) > 2_000_000:
+                held = [_summed_ngrams(held)]
+        columns = _summed_ngrams(held)
+        home = group["shard"][0].as_py()
+        part, before = (x.astype(np.int64) for x in columns[:2])
+        kind = _own(model, before, columns[3])[0]
+        real = columns[2] != REST
+        rows = [(home, _pressed(tuple(c[real] for c in columns)))]
+        times = _often(before, model.lexicon) // pairs.hot + 1
+        parts = pairs.group_parts[_found(pairs.groups, _paired(before, part))[1]]
+        unit = np.unique(np.stack([before * CLASSES + kind, part, times, parts]), axis=1, return_inverse=True)
+        to: dict[int, list[int]] = {}
+        for u, (context, part, times, parts) in enumerate(unit[0].T):
+            near = (part + np.arange(1, parts)) % times
+            for shard in np.unique(_home(np.full(len(near), context // CLASSES), context % CLASSES, near, shards)):
+                if shard != home:
+                    to.setdefault(int(shard), []).append(u)
+        of = unit[1].ravel()
+        order = np.argsort(of, kind="stable")
+        lines = np.split(order, np.cumsum(np.bincount(of, minlength=unit[0].shape[1]))[:-1])
+        for shard, units in to.items():
+            some = np.concatenate([lines[u] for u in units])
+            rows.append((shard, _pressed(tuple(c[some] for c in columns))))
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "counts": pa.array([True] * len(rows)), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+    return learn.select("text").mapInArrow(run, "shard int, data binary").groupBy("shard").applyInArrow(add, TOKENS)
+
+
 def _own(model: Model, before: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of each output, and the log of its share of the class's own distribution."""
     lexicon = model.lexicon
@@ -549,61 +733,72 @@ def _first(number: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _within(docs: DataFrame, model: Model, shards: int, hot: int, parts: int) -> DataFrame:
-    """doc, within, rows: the sum of the second factor's log10, and how many rows have these values: each has one end."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _answer(block: int, doc: np.ndarray, score: np.ndarray, keys: np.ndarray) -> bytes:
+    parts = [np.array([block, len(doc), len(keys)]).tobytes(), keys.tobytes(), _planes(np.diff(doc, prepend=0)), score.astype(np.float32).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
-    def named(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Documents of a pack's tokens, and their n-grams: name, group, before, before2, out."""
-        doc, *rest = _unpacked(data)
-        before, before2, out = (x.astype(np.int64) for x in rest)
-        group = _group(before, before2, doc, shared.value.lexicon, hot)
-        name = mix(((before - START).astype(U) << U(32) | out.astype(U)) ^ mix((before2 - START).astype(U) << U(20) ^ group.astype(U)))
-        return doc, [name, group, before, before2, out]
+
+def _answered(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    block, n, named = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    at = 24 + 8 * named
+    return block, np.cumsum(_of_planes(data, n, at)), np.frombuffer(data, np.float32, n, at + 4 * n), np.frombuffer(data, np.int64, named, 24)
+
+
+def _within(docs: DataFrame, learn: DataFrame, model: Model, shards: int, hot: int, parts: int) -> DataFrame:
+    """doc, within, rows: the sum of the second factor's log10, and how many rows have these values. learn: the training texts."""
+    pairs = hot_pairs(learn, model.lexicon, hot)
+    shared = docs.sparkSession.sparkContext.broadcast((model, pairs))
 
     def run(group: pa.Table) -> pa.Table:
-        seen = []  # a pack's tokens are there one pack at a time; what is held of all is their distinct n-grams
-        for data in group["data"]:
-            doc, (name, *columns) = named(data.as_py())
-            name, one, which = np.unique(name, return_index=True, return_inverse=True)
-            seen.append((name, np.bincount(which, doc & 1).astype(np.int32), *(c[one].astype(np.int32) for c in columns)))
-        names, one, which = np.unique(np.concatenate([x[0] for x in seen]), return_index=True, return_inverse=True)
+        model, pairs = shared.value
+        packs, seen = [], []
+        for data, counts in zip(group["data"], group["counts"].to_pylist()):
+            if counts:
+                columns = _loose(data.as_py())
+                seen.append((_name(*(c.astype(np.int64) for c in columns[:4])), columns[4], *columns[:4]))
+                continue
+            doc, *columns, block, keys = _unpacked(data.as_py())
+            before, before2, out = (x.astype(np.int64) for x in columns)
+            kind = _group(before, before2, doc, model.lexicon, hot)
+            learnt = (doc & 1 == 1) & ~_found(pairs.pair, _paired(before, before2))[0]  # what a hot pair learns from is in the shared counts
+            name, one, which = np.unique(_name(kind, before, before2, out), return_index=True, return_inverse=True)
+            seen.append((name, np.bincount(which, learnt, len(one)).astype(np.int32), *(c[one].astype(np.int32) for c in (kind, before, before2, out))))
+            packs.append((len(seen) - 1, doc >> 1, which.astype(np.int32), block, keys.copy()))
+        ends = np.cumsum([len(x[0]) for x in seen])
+        _, one, which = np.unique(np.concatenate([x[0] for x in seen]), return_index=True, return_inverse=True)
+        which = which.astype(np.int32)
         train = np.bincount(which, np.concatenate([x[1] for x in seen]))
-        del which
         columns = [np.concatenate([x[i] for x in seen])[one] for i in range(2, 6)]
         del seen, one
-        kind, before, before2, out = columns
-        score = shard_scores(shared.value, kind, train, before, before2, out)
-        del columns, kind, train, before, before2, out
+        score = shard_scores(model, columns[0], train, *columns[1:])
+        del columns, train
         rows = []
-        for data in group["data"]:
-            doc, (name, _, _, _, out) = named(data.as_py())
-            own, which = np.unique(doc, return_inverse=True)
-            each = np.bincount(which, score[np.searchsorted(names, name)], len(own))
-            ends = np.bincount(which, out == shared.value.lexicon.end, len(own)).astype(np.int64)
-            part = (mix(own.astype(U)) % U(parts)).astype(np.int32)
-            for p in np.unique(part):
-                mine = part == p
-                rows.append((int(p), own[mine].tobytes() + each[mine].tobytes() + ends[mine].tobytes()))
-        joined: dict[int, list[bytes]] = {}
-        for p, data in rows:
-            joined.setdefault(p, []).append(data)
-        return pa.table({"part": pa.array(list(joined), pa.int32()), "data": pa.array([_summed(x) for x in joined.values()], pa.binary())})
+        for i, doc, own, block, keys in packs:
+            each = score[which[ends[i - 1] if i else 0 : ends[i]][own]]
+            some = np.flatnonzero(np.bincount(doc))
+            rows.append((block % parts, _answer(block, some, np.bincount(doc, each)[some], keys)))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
-        data = np.frombuffer(_summed([x.as_py() for x in group["data"]]), np.int64).reshape(3, -1)
-        return pa.table({"doc": data[0], "within": data[1].view(np.float64), "rows": data[2]})
-
-    each = _dealt(docs, model, shards, hot).groupBy("shard").applyInArrow(run, "part int, data binary")
-    return each.groupBy("part").applyInArrow(add, "doc long, within double, rows long")
-
-
-def _summed(packs: list[bytes]) -> bytes:
-    """Packs of documents, scores and ends (three arrays of one length), with one entry for each document."""
-    each = [np.frombuffer(x, np.int64).reshape(3, -1) for x in packs]
-    doc, score, ends = (np.concatenate(x) for x in zip(*each))
-    own, which = np.unique(doc, return_inverse=True)
-    return own.tobytes() + np.bincount(which, score.view(np.float64), len(own)).tobytes() + np.bincount(which, ends, len(own)).astype(np.int64).tobytes()
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        named: dict[int, list[np.ndarray]] = {}
+        for data in group["data"]:
+            block, doc, score, keys = _answered(data.as_py())
+            held.setdefault(block, []).append((doc, score))
+            if len(keys):
+                named.setdefault(block, []).append(keys)
+        # blocks of the same documents in the same order have one hash: their sums are those of all
+        sums = [np.bincount(np.concatenate([x[0] for x in held[b]]), np.concatenate([x[1] for x in held[b]]).astype(float), len(keys[0])) for b, keys in named.items()]
+        rows = [np.full(len(keys[0]), len(keys)) for keys in named.values()]
+        return pa.table({"doc": np.concatenate([k[0] for k in named.values()]), "within": np.concatenate(sums), "rows": np.concatenate(rows)})
+
+    dealt = _dealt(docs, model, shards, hot, pairs)
+    if len(pairs.pair):
+        dealt = dealt.unionByName(_shared_counts(learn, model, shards, pairs))
+    each = dealt.groupBy("shard").applyInArrow(run, "part int, data binary")
+    sums = each.groupBy("part").applyInArrow(add, "doc long, within double, rows long")
+    return sums.groupBy("doc").agg(F.sum("within").alias("within"), F.sum("rows").alias("rows"))
 
 
 def scores(docs: DataFrame, shard: int = SHARD, hot: int = HOT) -> DataFrame:
@@ -624,7 +819,7 @@ def scores(docs: DataFrame, shard: int = SHARD, hot: int = HOT) -> DataFrame:
         F.sum(F.col("times") * F.log10((count + 0.5) / F.col("room"))).alias("s"),
     )
     shards = int(lex.tokens * 1.25 / shard) + 1
-    within = _within(docs, model, shards, hot, shards // 8 + 1)
+    within = _within(docs, learn, model, shards, hot, shards // 4 + 1)
     # rows of the same values have one key: the sums of all of them are those of one so many times
     sums = within.join(rest, "doc", "left").select("doc", *((F.col(c) / F.col("rows")).alias(n) for c, n in (("within", "w"), ("k", "k"), ("b", "b"), ("s", "s"))))
     whole = partial.where("word is null").select("doc_id", "doc", "held_out", "n_tokens", "n_known", "base", "score")

@@ -189,3 +189,12 @@ def test_edge_cases(make):
     alone = maxent.scores(make(*((i, "one two one") for i in untrained))).collect()
     assert [(r["n_known"], r["train_tokens"], r["n_tokens"]) for r in alone] == [(0, 0, 4)] * 3 and all(math.isfinite(r["score"]) for r in alone)
     assert SYMBOLS > ENDINGS
+
+
+def test_a_hot_pair_learns_from_all_training_texts(make):
+    docs = corpus(30)
+    same = [(i, "once upon a time there was a king " + docs[3][1]) for i in range(1000, 1040)]
+    other = [(i, "once upon a " + docs[i % 7][1]) for i in range(2000, 2040)]
+    by = {r["doc_id"]: r["score"] for r in maxent.scores(make(*docs, *same, *other), shard=200, hot=5).collect()}
+    each = [by[i] for i, _ in same]
+    assert max(each) - min(each) < 1e-4  # one text has one score, whatever documents share its shard
