@@ -22,35 +22,56 @@ from pyspark.sql import DataFrame, Window, functions as F
 from leafgate.functions.text import clean
 from leafgate.operators.chapters import FRONT, segmented
 from leafgate.operators.chunks import BETWEEN, WORDS
+from leafgate.plans.scratch import fresh
 
 PIECE_BYTES = 1 << 20
 _OF = ["book_id", "segment"]
 
 
+def leaves(rows: DataFrame) -> DataFrame:
+    """A row for each page's part of a chapter: book_id, segment, page_no, lines (line_no, line; headings are left out), title, filled (lines that are not blank). rows: of lines.strip_repeated."""
+    body = F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("line_no", "line"))))
+    title, filled = F.max(F.when(F.col("heading"), F.col("stripped"))), F.count_if(~F.col("heading") & (F.col("stripped") != ""))
+    return segmented(rows).groupBy("book_id", "page_no", "segment").agg(body.alias("lines"), title.alias("title"), filled.alias("filled"))
+
+
 def pieces(rows: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """book_id, segment, piece (from 0), text (not cleaned). rows: of lines.strip_repeated."""
-    body = segmented(rows).where(~F.col("heading")).select("book_id", "page_no", "segment", "line_no", "line")
-    leaf = Window.partitionBy("book_id", "page_no", "segment")
-    ends = F.col("line").rlike(r"[.!?]\z") & F.lead("line").over(leaf.orderBy("line_no")).rlike(r"^\p{L}")
-    body = body.withColumn("_cut", F.min(F.when(ends, F.col("line_no"))).over(leaf))  # the first place of a page's part of a chapter
-    leaves = body.groupBy("book_id", "segment", "page_no").agg(F.sum(F.octet_length("line") + 1).alias("_n"), F.first("_cut").alias("_cut"))
+    return pieces_of(_measured(leaves(rows)), piece_bytes)
+
+
+def _measured(leaf: DataFrame) -> DataFrame:
+    """leaves with _n, the bytes of the lines, and _cut: after how many lines is the first place to cut (null: there is none)."""
+    follows = lambda i: F.substring(F.get("lines", i + 1)["line"], 1, 1).rlike(r"\p{L}")
+    ends = F.transform("lines", lambda x, i: F.substring(x["line"], -1, 1).isin(".", "!", "?") & F.coalesce(follows(i), F.lit(False)))
+    at = F.array_position(ends, True)
+    n = F.aggregate("lines", F.lit(0).cast("long"), lambda t, x: t + F.octet_length(x["line"]) + 1)
+    return leaf.withColumn("_n", n).withColumn("_cut", F.nullif(at.cast("int"), F.lit(0)))
+
+
+def pieces_of(leaf: DataFrame, piece_bytes: int) -> DataFrame:
+    """The pieces of measured leaves. The text is read once; places are found from sizes alone."""
+    leaf = leaf.where(F.size("lines") > 0)
     before = Window.partitionBy("book_id", "segment").orderBy("page_no")
-    leaves = leaves.withColumn("_at", F.floor(F.sum("_n").over(before) / piece_bytes))
+    place = leaf.select("book_id", "segment", "page_no", "_cut", F.floor(F.sum("_n").over(before) / piece_bytes).alias("_at"))
     first = Window.partitionBy("book_id", "segment", "_at").orderBy(F.col("_cut").isNull(), "page_no")
-    leaves = leaves.withColumn("_own", (F.row_number().over(first) == 1) & F.col("_cut").isNotNull())  # pages where a piece begins
+    place = place.withColumn("_own", (F.row_number().over(first) == 1) & F.col("_cut").isNotNull())  # pages where a piece begins
     earlier = F.coalesce(F.sum(F.col("_own").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    leaves = leaves.select("book_id", "segment", "page_no", "_own", earlier.alias("_before"))
-    body = body.join(leaves, ["book_id", "segment", "page_no"])
-    body = body.withColumn("piece", F.col("_before") + (F.col("_own") & (F.col("line_no") > F.col("_cut"))).cast("int"))
-    lines = F.array_sort(F.collect_list(F.struct("page_no", "line_no", "line")))
-    return body.groupBy("book_id", "segment", "piece").agg(F.array_join(F.transform(lines, lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("text"))
+    place = place.select("book_id", "segment", "page_no", "_own", earlier.alias("_before"))
+    whole = F.array(F.struct(F.col("_before").alias("piece"), F.col("lines").alias("lines")))
+    cut = F.array(
+        F.struct(F.col("_before").alias("piece"), F.slice("lines", 1, F.col("_cut")).alias("lines")),
+        F.struct((F.col("_before") + 1).alias("piece"), F.slice("lines", F.col("_cut") + 1, F.size("lines")).alias("lines")),
+    )
+    parts = leaf.join(place, ["book_id", "segment", "page_no"]).select("book_id", "segment", "page_no", F.inline(F.when(F.col("_own"), cut).otherwise(whole)))
+    text = F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    texts = F.array_sort(F.collect_list(F.struct("page_no", text.alias("text"))))
+    return parts.groupBy("book_id", "segment", "piece").agg(F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"))
 
 
-def chapter_numbers(rows: DataFrame) -> DataFrame:
+def chapter_numbers(leaf: DataFrame) -> DataFrame:
     """book_id, segment, chapter_no, title of the chapters with a body."""
-    by = segmented(rows).groupBy("book_id", "segment").agg(
-        F.coalesce(F.max(F.when(F.col("heading"), F.col("stripped"))), F.lit(FRONT)).alias("title"), F.count_if(~F.col("heading") & (F.col("stripped") != "")).alias("filled")
-    )
+    by = leaf.groupBy("book_id", "segment").agg(F.coalesce(F.max("title"), F.lit(FRONT)).alias("title"), F.sum("filled").alias("filled"))
     return by.where("filled > 0").select("book_id", "segment", F.row_number().over(Window.partitionBy("book_id").orderBy("segment")).alias("chapter_no"), "title")
 
 
@@ -60,19 +81,21 @@ def _words(sentences: list[str]) -> list[int]:
 
 def _table(sizes: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each state (words in the last chunk; most + 1: it takes no more, or there is none): chunks opened, and the state after."""
-    state, opened = np.arange(most + 2), np.zeros(most + 2, np.int64)
-    for i, n in enumerate(sizes):
-        new = state + n > most
-        if new.all() and (n <= most or i == 0):  # from here on all states are one
-            opened += 1
-            state, extra = _alone(sizes[i + 1 :], min(n, most + 1), most)
-            return opened + extra, np.full(most + 2, state)
-        opened += new
-        state = np.minimum(np.where(new, n, state + n), most + 1)
-    return opened, state
+    # all states whose last chunk takes no more at one sentence go on alike: from a sentence that opens a chunk to the next that does
+    until, n = np.append(0, np.cumsum(sizes, dtype=np.int64)), len(sizes)
+    after = np.maximum(np.searchsorted(until, until[:-1] + most, side="right") - 1, np.arange(n) + 1).tolist()
+    opened, end = [0] * (n + 1), np.minimum(until[-1] - until, most + 1).tolist()
+    for i in range(n - 1, -1, -1):
+        opened[i] = opened[after[i]] + 1
+        if after[i] < n:
+            end[i] = end[after[i]]
+    states = np.arange(most + 2)
+    first = np.maximum(np.searchsorted(until, most - states, side="right") - 1, 0)
+    return np.array(opened)[first], np.where(first < n, np.array(end)[first], np.minimum(states + until[-1], most + 1))
 
 
 def _alone(sizes: list[int], state: int, most: int) -> tuple[int, int]:
+    """The state after, and chunks opened, from one state: what the table says of it, a sentence at a time."""
     opened = 0
     for n in sizes:
         if state + n > most:
@@ -95,24 +118,37 @@ def tabled(cleaned: DataFrame, most: int) -> DataFrame:
 
 
 def begun(tables: DataFrame, most: int) -> DataFrame:
-    """book_id, segment, piece, state, chunk (how many were opened before): how each piece begins. A row of `most` + 2 numbers for each piece of a chapter in one task."""
+    """book_id, segment, piece, state, chunk (how many were opened before): how each piece begins. The tables of a chapter are in one task, which goes through them in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, state, chunk = None, most + 1, 0
+        for batch in batches:
+            out = []
+            for book, segment, piece, opened, after in zip(*(batch[c] for c in ("book_id", "segment", "piece", "opened", "after"))):
+                if of != (book, segment):
+                    of, state, chunk = (book, segment), most + 1, 0
+                out.append((state, chunk))
+                state, chunk = int(after[state]), chunk + int(opened[state])
+            yield batch[["book_id", "segment", "piece"]].assign(state=[x[0] for x in out], chunk=[x[1] for x in out])
+
+    ordered = tables.repartition(*_OF).sortWithinPartitions(*_OF, "piece")
+    return ordered.mapInPandas(run, "book_id string, segment long, piece long, state int, chunk long")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("piece")
-        state, chunk, out = most + 1, 0, []
-        for piece, opened, after in zip(rows["piece"], rows["opened"], rows["after"]):
-            out.append((*key, piece, state, chunk))
-            state, chunk = int(after[state]), chunk + int(opened[state])
-        return pd.DataFrame(out, columns=["book_id", "segment", "piece", "state", "chunk"])
 
-    return tables.groupBy(*_OF).applyInPandas(run, "book_id string, segment long, piece long, state int, chunk long")
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again, so that it is made once."""
+    at = fresh(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def chunked_by_words(rows: DataFrame, most: int = WORDS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """book_id, chapter_no, chunk_no (from 0), chunk of all chapters: what chunks.by_words gives of their cleaned texts. rows: of lines.strip_repeated; book_id is text."""
-    filled = chapter_numbers(rows)
-    cleaned = pieces(rows, piece_bytes).withColumn("text", clean(F.col("text"))).select("book_id", "segment", F.col("piece").cast("long").alias("piece"), "text")
-    cleaned = cleaned.join(filled.select(*_OF), _OF, "left_semi")
+    """book_id, chapter_no, chunk_no (from 0), chunk of all chapters: what chunks.by_words gives of their cleaned texts. rows: of lines.strip_repeated; book_id is text.
+    Leaves and cleaned pieces are written to the shared folder."""
+    leaf = _kept(_measured(leaves(rows)), "leaves")
+    filled = chapter_numbers(leaf)
+    cleaned = pieces_of(leaf, piece_bytes).withColumn("text", clean(F.col("text"))).select("book_id", "segment", F.col("piece").cast("long").alias("piece"), "text")
+    cleaned = _kept(cleaned.join(filled.select(*_OF), _OF, "left_semi"), "pieces")
     starts = begun(tabled(cleaned, most), most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

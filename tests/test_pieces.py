@@ -48,3 +48,9 @@ def test_tables_of_pieces_follow_every_state():
 def test_no_rows(spark):
     none = spark.createDataFrame([], "book_id string, page_no int, text string")
     assert pieces.chunked_by_words(ln.strip_repeated(ln.lines(none))).collect() == []
+
+
+def test_lines_are_cleaned_and_cut_once(spark):
+    found = ln.strip_repeated(ln.lines(spark.createDataFrame([("one", i, t) for i, t in enumerate(book(3, 20))], "book_id string, page_no int, text string")))
+    plan = pieces.chunked_by_words(found, 9, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "posexplode" not in plan.lower()  # the result begins at the written pieces
