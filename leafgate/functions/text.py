@@ -80,7 +80,9 @@ def shouted_words(t: Column) -> Column:
 
 
 def strip_ends(t: Column) -> Column:
-    return F.regexp_replace(t, r"(?U)^\s+|\s+\z", "")
+    """Only texts that begin or end with white space are searched through, and a run of it only from its start."""
+    first, last = (F.substring(t, n, 1).rlike(r"(?U)\s") for n in (1, -1))
+    return F.when(first | last, F.regexp_replace(t, r"(?U)^\s+|(?<!\s)\s++\z", "")).otherwise(t)
 
 
 def clean(t: Column) -> Column:
@@ -92,7 +94,8 @@ def clean(t: Column) -> Column:
 
 def split_lines(t: Column) -> Column:
     """Lines by any Unicode line end; none after the last end, none in an empty text."""
-    whole = F.regexp_replace(t, f"(?:{_LINE_ENDS})\\z", "")  # the last line's end opens no further line
+    ended = F.substring(t, -1, 1).rlike(_LINE_ENDS)
+    whole = F.when(ended, F.regexp_replace(t, f"(?:{_LINE_ENDS})\\z", "")).otherwise(t)  # the last line's end opens no further line
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(whole, _LINE_ENDS))
 
 

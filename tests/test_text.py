@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,11 @@ def test_chunks(spark):
     assert one(spark, lambda t: chunks.by_chars(t, 10), "", "aa. bb. ccccccccccccc. d.") == [[], ["aa. bb.", "ccccccccccccc.", "d."]]
     assert one(spark, lambda t: chunks.by_words(t, 3), "", "a b. c. d e f g h. i.") == [[""], ["a b. c.", "d e f g h.", "i."]]
     assert one(spark, lambda t: chunks.by_words(t, 2), "a b. c d.") == [["a b.", "c d."]]
+
+
+def test_ends_are_stripped_in_linear_time(spark):
+    gap = " " * 400_000
+    given = [f"a{gap}b", f" a{gap}b ", gap, f"{gap}a", f"a{gap}", "\u00a0a\u2003", ""]
+    begun = time.monotonic()
+    assert one(spark, tx.strip_ends, *given) == [f"a{gap}b", f"a{gap}b", "", "a", "a", "a", ""]
+    assert time.monotonic() - begun < 30
