@@ -38,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,8 @@ PARTIAL = "doc_id long, doc long, held_out boolean, n_tokens long, n_known long,
 SHARD, HOT = 1_000_000, 200_000
 #: Steps, the largest one, and the variance of the prior of n-gram weights; tokens of one block.
 NGRAM_STEPS, LARGEST, VARIANCE, HELD_TOKENS = 10, 2.0, 4.0, 2_000_000
+#: What a task holds at a time, about: bytes of packs that it sends, n-grams of a shard whose weights it trains.
+SENT_BYTES, TRAINED = 2_000_000, 250_000
 TOKENS = "shard int, counts boolean, data binary"
 #: What stands for no word before, and for all words before that make no hot pair.
 START, REST = -1, 2**31 - 2
@@ -344,6 +347,13 @@ class Model:
     by_context: np.ndarray  # log10 of P(class | context)
     by_class: np.ndarray  # log of P(symbol | class, class before), by class before and symbol
 
+    @cached_property
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of all that can be predicted: the symbol, and the log of its share of the symbol."""
+        lexicon, first = self.lexicon, SYMBOLS - ENDINGS
+        symbol_of = np.concatenate([np.where(lexicon.symbol >= 0, lexicon.symbol, first + lexicon.ending), first + np.arange(ENDINGS)]).astype(np.int32)
+        return symbol_of, np.concatenate([np.where(lexicon.symbol >= 0, 0.0, np.log((lexicon.count + 0.5) / lexicon.room[lexicon.ending])), np.log(lexicon.other_room / lexicon.room)])
+
 
 def fit(docs: DataFrame, vocab: DataFrame) -> Model:
     """docs: the training texts; vocab: their counts."""
@@ -544,41 +554,51 @@ def _dealt(docs: DataFrame, model: Model, shards: int, hot: int, pairs: Hot | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pairs = shared.value
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = [[] for _ in range(5)]
         keys: list[np.ndarray] = []
         n_docs = 0
 
-        def sent() -> pa.RecordBatch:
-            columns = [np.concatenate(x) for x in zip(*held)]
-            names = np.concatenate(keys)
-            block = int(mix(names.astype(U) + mix(np.arange(len(names)).astype(U))).sum().astype(np.int64))
-            held.clear()
-            keys.clear()
-            order = np.argsort(columns[0], kind="stable")
-            own = np.flatnonzero(np.append(True, np.diff(columns[0][order]) != 0))
-            rows = [(int(columns[0][part[0]]), _packed(*(c[part] for c in columns[1:]), block, None if i else names)) for i, part in enumerate(np.split(order, own[1:]))]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([False] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["shard", "counts", "data"])
-
-        for batch, texts in chunks(batches):
-            if not texts.n:
-                continue
+        def tokens(texts: Texts, key: np.ndarray) -> tuple[np.ndarray, ...]:
+            """shard, number of the document, before, before2, out."""
             seq = Sequence(texts, model.lexicon)
             names = _names(seq, model.lexicon)
             before, before2 = seq.before(names, 1, START), seq.before(names, 2, START)
-            key = batch.column("doc").to_numpy()
             doc = key[seq.doc]
             times = _often(before, model.lexicon) // hot + 1
             part = (mix(doc.astype(U) + U(5)) % pairs.parts_of(before, before2).astype(U)).astype(np.int64)
             shard = _home(before, model.symbol_class[seq.symbol], (_group(before, before2, doc, model.lexicon, hot) + part) % times, shards)
             number = (seq.doc + n_docs) << 1 | doc & 1
-            held.append((shard.astype(np.int32), number.astype(np.int32), before.astype(np.int32), before2.astype(np.int32), _outputs(seq, model.lexicon).astype(np.int32)))
-            keys.append(key)
+            return tuple(c.astype(np.int32) for c in (shard, number, before, before2, _outputs(seq, model.lexicon)))
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            columns = []
+            for c in held:  # one at a time: the slices of a column go as soon as it is whole
+                columns.append(np.concatenate(c))
+                c.clear()
+            names = np.concatenate(keys)
+            keys.clear()
+            block = int(mix(names.astype(U) + mix(np.arange(len(names)).astype(U))).sum().astype(np.int64))
+            order = np.argsort(columns[0], kind="stable").astype(np.int32)
+            own = np.flatnonzero(np.append(True, np.diff(columns[0][order]) != 0))
+            rows: list[tuple[int, bytes]] = []
+            for i, part in enumerate(np.split(order, own[1:])):
+                rows.append((int(columns[0][part[0]]), _packed(*(c[part] for c in columns[1:]), block, None if i else names)))
+                if sum(len(r[1]) for r in rows) > SENT_BYTES or i == len(own) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([False] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["shard", "counts", "data"])
+                    rows.clear()
+
+        for batch, texts in chunks(batches):
+            if not texts.n:
+                continue
+            keys.append(batch.column("doc").to_numpy())
+            for to, c in zip(held, tokens(texts, keys[-1])):
+                to.append(c)
             n_docs += texts.n
-            if sum(len(x[0]) for x in held) > HELD_TOKENS:
-                yield sent()
+            if sum(map(len, held[0])) > HELD_TOKENS:
+                yield from sent()
                 n_docs = 0
-        if held:
-            yield sent()
+        if keys:
+            yield from sent()
 
     return _keyed_docs(docs).mapInArrow(run, TOKENS)
 
@@ -681,10 +701,8 @@ def _shared_counts(learn: DataFrame, model: Model, shards: int, pairs: Hot) -> D
 
 def _own(model: Model, before: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of each output, and the log of its share of the class's own distribution."""
-    lexicon = model.lexicon
-    n, first = len(lexicon.hash), SYMBOLS - ENDINGS
-    symbol_of = np.concatenate([np.where(lexicon.symbol >= 0, lexicon.symbol, first + lexicon.ending), first + np.arange(ENDINGS)])
-    share = np.concatenate([np.where(lexicon.symbol >= 0, 0.0, np.log((lexicon.count + 0.5) / lexicon.room[lexicon.ending])), np.log(lexicon.other_room / lexicon.room)])
+    n = len(model.lexicon.hash)
+    symbol_of, share = model.outputs
     class_before = np.where(before < 0, END_CLASS, model.symbol_class[symbol_of[np.where(before < n, before, n + (before - n) % ENDINGS)]])
     return model.symbol_class[symbol_of[out]], model.by_class[class_before, symbol_of[out]] + share[out]
 
@@ -713,7 +731,20 @@ def _keyed(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shard_scores(model: Model, group: np.ndarray, train: np.ndarray, before: np.ndarray, before2: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """log10 of P(word | class, the two words before) of each n-gram of a shard, after its weights are trained. train: how often it is in training texts."""
+    """log10 of P(word | class, the two words before) of each n-gram of a shard, after its weights are trained. train: how often it is in training texts.
+    A word before shares no weight with another, so they are trained some at a time."""
+    score, order = np.empty(len(before)), np.argsort(before, kind="stable").astype(np.int32)
+    edges = np.flatnonzero(np.diff(before[order], append=-2)) + 1  # where the next word before begins
+    at = 0
+    while at < len(order):
+        to = int(edges[min(np.searchsorted(edges, at + TRAINED), len(edges) - 1)])
+        part = order[at:to]
+        score[part] = _trained_scores(model, *(x[part].astype(np.int64) for x in (group, train, before, before2, out)))
+        at = to
+    return score
+
+
+def _trained_scores(model: Model, group: np.ndarray, train: np.ndarray, before: np.ndarray, before2: np.ndarray, out: np.ndarray) -> np.ndarray:
     kind, own = _own(model, before, out)
     context, _ = _keyed(before - START, group * CLASSES + kind)
     pair, context_of = _keyed(context, out)
@@ -766,10 +797,12 @@ def _within(docs: DataFrame, learn: DataFrame, model: Model, shards: int, hot: i
             seen.append((name, np.bincount(which, learnt, len(one)).astype(np.int32), *(c[one].astype(np.int32) for c in (kind, before, before2, out))))
             packs.append((len(seen) - 1, doc >> 1, which.astype(np.int32), block, keys.copy()))
         ends = np.cumsum([len(x[0]) for x in seen])
-        _, one, which = np.unique(np.concatenate([x[0] for x in seen]), return_index=True, return_inverse=True)
+        names, seen = np.concatenate([x[0] for x in seen]), [x[1:] for x in seen]
+        _, one, which = np.unique(names, return_index=True, return_inverse=True)
+        del names
         which = which.astype(np.int32)
-        train = np.bincount(which, np.concatenate([x[1] for x in seen]))
-        columns = [np.concatenate([x[i] for x in seen])[one] for i in range(2, 6)]
+        train = np.bincount(which, np.concatenate([x[0] for x in seen]))
+        columns = [np.concatenate([x[i] for x in seen])[one] for i in range(1, 5)]
         del seen, one
         score = shard_scores(model, columns[0], train, *columns[1:])
         del columns, train
@@ -809,7 +842,7 @@ def scores(docs: DataFrame, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     model = fit(learn, vocab)
     lex = model.lexicon
     partial = written(_scored(docs, model), "scored")
-    room = spark.createDataFrame([(i, float(x)) for i, x in enumerate(lex.other_room)], "e int, room double")
+    room = spark.createDataFrame(pa.table({"e": pa.array(np.arange(ENDINGS), pa.int32()), "room": lex.other_room}))  # Arrow: no Python workers of its own
     rest = partial.where("word is not null").select("doc", "word", "ending", "times")
     rest = rest.join(vocab.select("word", F.col("n").alias("c")), "word", "left").join(F.broadcast(room), F.col("ending") == F.col("e"))
     count = F.coalesce("c", F.lit(0))

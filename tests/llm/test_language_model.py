@@ -3,6 +3,7 @@
 import functools
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -198,3 +199,34 @@ def test_a_hot_pair_learns_from_all_training_texts(make):
     by = {r["doc_id"]: r["score"] for r in maxent.scores(make(*docs, *same, *other), shard=200, hot=5).collect()}
     each = [by[i] for i, _ in same]
     assert max(each) - min(each) < 1e-4  # one text has one score, whatever documents share its shard
+
+
+def test_a_shard_trains_its_weights_for_some_words_at_a_time(make, monkeypatch):
+    _, model = fitted(make, corpus())
+    n, rng = 400_000, np.random.default_rng(2)
+    grams = np.unique(np.stack([rng.integers(-1, x, n) for x in (200, len(model.lexicon.hash))] + [rng.integers(0, len(model.lexicon.hash), n)]), axis=1).astype(np.int32)
+    before, before2, out = grams[:, rng.permutation(grams.shape[1])]
+    group, train = np.zeros(len(out), np.int32), rng.integers(0, 3, len(out)).astype(float)
+    both = []
+    for trained in (10**9, 20_000):
+        monkeypatch.setattr(maxent, "TRAINED", trained, raising=False)
+        tracemalloc.start()
+        both.append(maxent.shard_scores(model, group, train, before, before2, out))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert np.array_equal(*both)
+    assert most < 50 * len(out), most / len(out)
+
+
+def test_a_task_sends_packs_some_at_a_time(make, monkeypatch):
+    monkeypatch.setattr(maxent, "SENT_BYTES", 10_000, raising=False)
+    docs = corpus(600)
+    frame, model = fitted(make, docs)
+    run, keyed = [], maxent._keyed_docs(frame).toArrow().combine_chunks().to_batches()
+    caught = type("Caught", (), {"mapInArrow": lambda self, f, _: run.append(f)})()
+    monkeypatch.setattr(maxent, "_keyed_docs", lambda _: caught)
+    maxent._dealt(frame, model, 40, 10**9, maxent.Hot(*[np.zeros(0, np.int64)] * 2, model.lexicon, 10**9))
+    sent = [[(r["shard"], maxent._unpacked(r["data"]), len(r["data"])) for r in b.to_pylist()] for b in run[0](iter(keyed))]
+    assert all(sum(x[2] for x in b[:-1]) <= 10_000 for b in sent) and len(sent) > 2
+    assert sum(len(x[1][0]) for b in sent for x in b) == sum(len(t.split()) + 1 for _, t in docs)
+    assert len({x[0] for b in sent for x in b}) == sum(map(len, sent)) and sum(len(x[1][5]) for b in sent for x in b) == len(docs)
