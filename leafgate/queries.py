@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leafgate.functions import signal, text as tx
 from leafgate.operators import acronyms, chapters as ch, chunks, gate, lines as ln, manifest as mf, pcm, pieces, transcript as tr
@@ -389,11 +389,16 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("chapter_no int, title string, n_chunks long, fname string, book_id string").parquet(at)
 
 
-def _books(spark: SparkSession, sf_dir: str, between: str) -> str:
-    """A text file for each source, in a folder of its own."""
+def _decoded(folder: Column) -> Column:
+    """A folder column=value as the value was, before it was made a name."""
+    return F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+
+
+def _books(spark: SparkSession, sf_dir: str) -> str:
+    """A text file for each source, in a folder of its own: its texts in order, each ended by a form feed. A task writes them one by one."""
     at = fresh(spark, "books")
     docs = _table(spark, sf_dir, "documents").select("source", "doc_id", tx.text_or_empty("text").alias("text"))
-    docs.groupBy("source").agg(F.expr(f"listagg(text, '{between}') within group (order by doc_id)").alias("text")).write.partitionBy("source").text(at)
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").option("lineSep", "\f").text(at)
     return at
 
 
@@ -426,8 +431,8 @@ def chapter_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'source=' || source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_no, md5(coalesce(text, '')) AS digest FROM documents")
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = files.extracted_pages(spark, _books(spark, sf_dir, "\\u000c"), lambda b: b.decode()[:-1].split("\f"), "*.txt", recursive=True)
-    return pages.select(F.col("folder").alias("book_id"), "page_no", F.md5("text").alias("digest"))
+    pages = files.extracted_pages(spark, _books(spark, sf_dir), lambda f: files.parted(f, b"\f"), "*.txt", recursive=True, opened=True)
+    return pages.select(_decoded(F.col("folder")).alias("book_id"), "page_no", F.md5("text").alias("digest"))
 
 
 @query(f"SELECT 'book=' || source AS book_id, 'part-' || fifth || '.txt' AS fname, CAST(strlen(t) AS BIGINT) AS length FROM ({_O_FIFTHS})")

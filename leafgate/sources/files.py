@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -13,7 +14,11 @@ from pyspark.sql.types import StructType
 from leafgate.functions.text import stem
 from leafgate.operators.manifest import stitched
 from leafgate.operators.transcript import transcript_texts
-from leafgate.sources.named import read_named, write_named
+from leafgate.sources.named import open_file, read_named, write_named
+
+#: Characters and rows of pages that a task sends on at a time, about.
+SENT_CHARS, SENT_ROWS = 4 << 20, 4096
+PAGE = ["folder", "book_id", "page_no", "text"]
 
 
 def _plain(path: Column) -> Column:
@@ -67,19 +72,53 @@ def stitched_folder(spark: SparkSession, folder: str, pattern: str = "*.mp3", nu
     return stitched(found.select(at.alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname")), "folder", numeric=numeric).withColumn("output", F.concat("folder", F.lit("_full.mp3")))
 
 
-def extracted_pages(spark: SparkSession, folder: str, extract: Callable[[bytes], Iterable[str | None]], pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
-    """folder (that the file is in), book_id, page_no (from 1), text, by a caller's extractor of one file's pages. No extractor is built in."""
+def _batched(pages: Iterable[str | None], folder: str, book: str) -> Iterator[pd.DataFrame]:
+    """Rows of one file's pages, about SENT_CHARS at a time."""
+    held: list[tuple[str, str, int, str]] = []
+    size = 0
+    for i, t in enumerate(pages, 1):
+        held.append((folder, book, i, t or ""))
+        size += len(held[-1][3])
+        if size >= SENT_CHARS or len(held) >= SENT_ROWS:
+            yield pd.DataFrame(held, columns=PAGE)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=PAGE)
+
+
+def extracted_pages(spark: SparkSession, folder: str, extract: Callable[[bytes], Iterable[str | None]] | Callable[[BinaryIO], Iterable[str | None]], pattern: str = "*.pdf", recursive: bool = False, opened: bool = False) -> DataFrame:
+    """folder (that the file is in), book_id, page_no (from 1), text, by a caller's extractor of one file's pages. No extractor is built in.
+
+    The extractor is given a file's bytes or, if opened, the file itself, open for reading from any place, so that a file of any size is never held whole: by a path that
+    executors share, or of a store that pyarrow opens. Either way an extractor may give its pages one by one; they are sent on a few MB at a time."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    files = _loaded(lambda: reader.load(folder), folder).select(_folder(_plain(F.col("path"))).alias("folder"), stem(_plain(F.col("path"))).alias("book_id"), "content")
+    files = _loaded(lambda: reader.load(folder), folder).select("path", _folder(F.col("path")).alias("folder"), stem(F.col("path")).alias("book_id"), *([] if opened else ["content"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at, book, content in zip(batch["folder"], batch["book_id"], batch["content"]):
-                yield pd.DataFrame([(at, book, i, t or "") for i, t in enumerate(extract(content), 1)], columns=["folder", "book_id", "page_no", "text"])
+            for i, (path, at, book) in enumerate(zip(batch["path"], batch["folder"], batch["book_id"])):
+                if opened:
+                    with open_file(path) as file:
+                        yield from _batched(extract(file), at, book)
+                else:
+                    yield from _batched(extract(batch["content"].iat[i]), at, book)
 
     return files.mapInPandas(run, "folder string, book_id string, page_no int, text string")
 
 
+def parted(file: BinaryIO, end: bytes, step: int = 1 << 20) -> Iterator[str]:
+    """An extractor for opened files: the texts that a file holds, each ended by `end`, one byte. What is after the last end is a text too, unless it is empty."""
+    rest: list[bytes] = []
+    while block := file.read(step):
+        first, *others = block.split(end)
+        rest.append(first)
+        for part in others:
+            yield b"".join(rest).decode()
+            rest = [part]
+    if any(rest):
+        yield b"".join(rest).decode()
+
+
 def block_stream(spark: SparkSession, folder: str, schema: str | StructType, files_per_trigger: int = 8) -> DataFrame:
     """Audio blocks as a stream of Parquet files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)

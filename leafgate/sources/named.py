@@ -34,6 +34,16 @@ def _store(path: str):
     return (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
 
 
+def open_file(path: str):
+    """A file of such a path, open for reading from any place; the path is as it stands on disk, as Spark's binaryFile gives it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+    store, at = _store(path)
+    return store.open_input_file(at)
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
         self.path, self.name, self.content = options["path"].rstrip("/"), options["name"], options["content"]
