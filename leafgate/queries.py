@@ -23,6 +23,8 @@ from leafgate.streaming.blocks import block_stream
 from leafgate.streaming.gate import gate_stream
 from leafgate.streaming.ordered import ordered_gate_stream
 
+#: Bytes of a file of text that are held at a time.
+PIECE_BYTES = 1 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -402,12 +404,24 @@ def _books(spark: SparkSession, sf_dir: str) -> str:
     return at
 
 
+def _fifths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of each source by what their documents have in common, each ended by a line feed."""
+    return _table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 5).alias("fifth"), "doc_id", tx.text_or_empty("text").alias("text"))
+
+
 def _chapter_texts(spark: SparkSession, sf_dir: str) -> str:
-    """Several text files for each source, in a folder of its own, named by what their documents have in common."""
+    """Several text files for each source, in a folder of its own, named by what their documents have in common. A task writes a file's texts one by one."""
     at = fresh(spark, "chapters")
-    docs = _table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 5).alias("fifth"), "doc_id", tx.text_or_empty("text").alias("text"))
-    texts = docs.groupBy("source", "fifth").agg(F.expr("listagg(text, '\\n') within group (order by doc_id)").alias("text"))
-    texts.repartition("source", "fifth").write.partitionBy("source", "fifth").text(at)
+    texts = _fifths(spark, sf_dir).repartition("source", "fifth").sortWithinPartitions("source", "fifth", "doc_id")
+    texts.select("source", "fifth", "text").write.partitionBy("source", "fifth").text(at)
+    return at
+
+
+def _chapter_folders(spark: SparkSession, sf_dir: str) -> str:
+    """The same texts as several named files in the folder of each book."""
+    at = fresh(spark, "folders")
+    texts = _fifths(spark, sf_dir).select(F.col("source").alias("book"), F.format_string("part-%s.txt", "fifth").alias("name"), "doc_id", F.concat("text", F.lit("\n")).cast("binary").alias("content"))
+    write_named(texts, at, ["book"], "name", "content", order=["doc_id"])
     return at
 
 
@@ -417,16 +431,15 @@ _O_FIFTHS = "SELECT source, doc_id % 5 AS fifth, string_agg(coalesce(text, ''),
 @query(f"SELECT 'fifth=' || fifth AS folder, 1 AS chapter_no, md5(t) AS digest, source FROM ({_O_FIFTHS})")
 def chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file in each of the folders source=../fifth=.. ."""
-    found = files.chapter_files(spark, _chapter_texts(spark, sf_dir), recursive=True)
-    return found.select(F.col("book_id").alias("folder"), "chapter_no", F.md5("text").alias("digest"), F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"))
+    found = files.digests(files.chapter_files(spark, _chapter_texts(spark, sf_dir), recursive=True, piece_bytes=PIECE_BYTES))
+    return found.select(F.col("book_id").alias("folder"), "chapter_no", "digest", _decoded(F.regexp_extract("path", "source=([^/]*)/", 1)).alias("source"))
 
 
 @query(f"""SELECT source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY fifth) AS INT) AS chapter_no, 'part-' || fifth AS title, md5(t) AS digest FROM ({_O_FIFTHS})""")
 def chapter_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several named files in the folder of each book, numbered by name."""
-    at = fresh(spark, "folders")
-    write_named(spark.read.text(_chapter_texts(spark, sf_dir), wholetext=True).select(F.col("source").alias("book"), F.format_string("part-%s.txt", "fifth").alias("name"), F.col("value").cast("binary").alias("content")), at, ["book"], "name", "content")
-    return files.chapter_files(spark, at, recursive=True).select(F.regexp_replace("book_id", "^book=", "").alias("book_id"), "chapter_no", "title", F.md5("text").alias("digest"))
+    found = files.digests(files.chapter_files(spark, _chapter_folders(spark, sf_dir), recursive=True, piece_bytes=PIECE_BYTES))
+    return found.select(_decoded(F.regexp_replace("book_id", "^book=", "")).alias("book_id"), "chapter_no", "title", "digest")
 
 
 @query("SELECT 'source=' || source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_no, md5(coalesce(text, '')) AS digest FROM documents")
@@ -438,8 +451,7 @@ def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT 'book=' || source AS book_id, 'part-' || fifth || '.txt' AS fname, CAST(strlen(t) AS BIGINT) AS length FROM ({_O_FIFTHS})")
 def finished_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and lengths of the files that are there."""
-    at = fresh(spark, "folders")
-    write_named(spark.read.text(_chapter_texts(spark, sf_dir), wholetext=True).select(F.col("source").alias("book"), F.format_string("part-%s.txt", "fifth").alias("name"), F.col("value").cast("binary").alias("content")), at, ["book"], "name", "content")
+    at = _chapter_folders(spark, sf_dir)
     sizes = files.audio_files(spark, at, "*.txt", recursive=True)
     sizes = sizes.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("book_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"), "length")
     return files.finished_outputs(spark, at, "*.txt").join(sizes, ["book_id", "fname"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
@@ -40,16 +42,62 @@ def _loaded(read: Callable[[], DataFrame], folder: str) -> DataFrame:
         raise
 
 
-def chapter_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """path, book_id (the folder that a file is in), chapter_no (from 1, in the order of names), title, text of the *.txt files of a folder. None is an error."""
-    reader = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", recursive)
-    rows = _loaded(lambda: reader.text(folder, wholetext=True), folder)
-    rows = rows.select(_plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
-    names = rows.select("path").withColumn("book_id", _folder(F.col("path")))  # numbered without the texts
+def chapter_files(spark: SparkSession, folder: str, recursive: bool = False, piece_bytes: int | None = None) -> DataFrame:
+    """path, book_id (the folder that a file is in), chapter_no (from 1, in the order of names), title, text of the *.txt files of a folder. None is an error.
+
+    piece_bytes: a row for about so many bytes of a file instead, with piece (from 0), so that a file of any size is never held whole. The pieces of a file follow each
+    other in order in one task; they are read by a path that executors share, or from a store that pyarrow opens."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", recursive)
+    names = _loaded(lambda: reader.load(folder), folder).select("path", _folder(F.col("path")).alias("book_id"))  # contents are not read
     names = names.withColumn("chapter_no", F.row_number().over(Window.partitionBy(F.regexp_extract("path", "^(.*)/", 1)).orderBy("path")))
     if names.isEmpty():
         raise FileNotFoundError(f"no .txt files in {folder}")
-    return rows.join(names, "path").select("path", "book_id", "chapter_no", stem(F.col("path")).alias("title"), "text")
+    names = names.withColumn("title", stem(F.col("path")))
+    if piece_bytes is None:
+        rows = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", recursive).text(folder, wholetext=True)
+        rows = rows.select(_plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+        return rows.join(names, "path").select("path", "book_id", "chapter_no", "title", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                with open_file(row.path) as file:
+                    for i, text in enumerate(_texts(file, piece_bytes)):
+                        yield pd.DataFrame([(*row, i, text)], columns=[*batch.columns, "piece", "text"])
+
+    dealt = names.repartition(4 * spark.sparkContext.defaultParallelism, "path")  # by a number that is set: few names would be one task's
+    return dealt.mapInPandas(run, "path string, book_id string, chapter_no int, title string, piece long, text string")
+
+
+def _texts(file: BinaryIO, step: int) -> Iterator[str]:
+    """A file's text in pieces of about `step` bytes, cut between characters."""
+    read = codecs.getincrementaldecoder("utf-8")("replace")
+    text = read.decode(file.read(step))
+    while block := file.read(step):
+        yield text
+        text = read.decode(block)
+    yield text + read.decode(b"", True)
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """path, book_id, chapter_no, title, digest (MD5 of the whole text) of chapter_files' pieces, without putting them together."""
+    kept = ["path", "book_id", "chapter_no", "title"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, digest = None, hashlib.md5()
+        for batch in batches:
+            out = []
+            for row in batch[[*kept, "text"]].itertuples(index=False):
+                if of is not None and of[0] != row.path:
+                    out.append((*of, digest.hexdigest()))
+                    digest = hashlib.md5()
+                of = row[:-1]
+                digest.update(row.text.encode())
+            yield pd.DataFrame(out, columns=[*kept, "digest"])
+        if of is not None:
+            yield pd.DataFrame([(*of, digest.hexdigest())], columns=[*kept, "digest"])
+
+    return pieces.mapInPandas(run, "path string, book_id string, chapter_no int, title string, digest string")
 
 
 def audio_files(spark: SparkSession, folder: str, pattern: str = "*.mp3", recursive: bool = False) -> DataFrame:

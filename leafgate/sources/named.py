@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -51,24 +52,31 @@ class _Writer(DataSourceWriter):
         head, _, tail = self.path.rpartition("/")
         self.staged = f"{head}/.{tail}-{uuid.uuid4().hex}"
         self.overwrite = options.get("replace") == "true"
+        self.joined = options.get("joined") == "true"
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         store, at = _store(self.staged)
         made: set[str] = set()
-        for row in iterator:
-            name = row[self.name]
+        for file, rows in self._files(iterator):
+            name = file[-1]
             if not name or "/" in name or name in (".", ".."):
                 raise ValueError(f"{name!r} is no name of a file")
-            folder = "/".join([at, *(f"{c}={NULL if row[c] is None else quote(str(row[c]), safe=' ')}" for c in self.folders)])
+            folder = "/".join([at, *(f"{c}={NULL if v is None else quote(str(v), safe=' ')}" for c, v in zip(self.folders, file))])
             if folder not in made:
                 store.create_dir(folder, recursive=True)
                 made.add(folder)
             part = f"{folder}/.{uuid.uuid4().hex}"
             with store.open_output_stream(part) as out:
-                out.write(bytes(row[self.content] or b""))
+                for row in rows:
+                    out.write(bytes(row[self.content] or b""))
             store.move(part, f"{folder}/{name}")
         return WriterCommitMessage()
 
+    def _files(self, rows: Iterator[Row]) -> Iterator[tuple[tuple, Iterator[Row]]]:
+        """Folders and name of each file, and its rows: one, or all that follow each other."""
+        of = lambda row: (*(row[c] for c in self.folders), row[self.name])
+        return groupby(rows, of) if self.joined else ((of(row), [row]) for row in rows)
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         from pyarrow.fs import FileType
 
@@ -145,7 +153,7 @@ def _batch(files: list[tuple[str, bytes]]) -> pa.RecordBatch:
 
 
 class NamedFiles(DataSource):
-    """Format named_files. Options: path; of a write, name and content (columns), folders (columns, between tabs), replace (what is at the path)."""
+    """Format named_files. Options: path; of a write, name and content (columns), folders (columns, between tabs), replace (what is at the path), joined (rows of one file that follow each other)."""
 
     @classmethod
     def name(cls) -> str:
@@ -166,12 +174,18 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *rows.columns[:-1])
 
 
-def write_named(rows: DataFrame, path: str, folders: list[str], name: str, content: str, replace: bool = False) -> None:
-    """A file for each row, in folders column=value. The path must not be there yet, or is replaced when all files are. Of rows with one name one stays."""
+def write_named(rows: DataFrame, path: str, folders: list[str], name: str, content: str, replace: bool = False, order: list[str] | None = None) -> None:
+    """A file for each row, in folders column=value. The path must not be there yet, or is replaced when all files are. Of rows with one name one stays.
+    order: rows with one name are one file instead, their contents in the order of these columns; a task writes them one by one, so the file is never put together before."""
     spark = rows.sparkSession
     spark.dataSource.register(NamedFiles)
-    kept = _dealt(rows.select(*folders, name, content))
-    said = {"name": name, "content": content, "folders": "\t".join(folders), "replace": str(replace).lower()}
+    if order:
+        own = [*folders, name]
+        n = 4 * spark.sparkContext.defaultParallelism
+        kept = rows.select(*own, *order, content).repartition(n, *own).sortWithinPartitions(*own, *order).select(*own, content)
+    else:
+        kept = _dealt(rows.select(*folders, name, content))
+    said = {"name": name, "content": content, "folders": "\t".join(folders), "replace": str(replace).lower(), "joined": str(bool(order)).lower()}
     kept.write.format("named_files").options(**said).mode("append").save(path)
 
 
