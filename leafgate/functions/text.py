@@ -108,7 +108,11 @@ def word_count(t: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    s = strip_ends(line)
+    return is_stripped_heading(strip_ends(line))
+
+
+def is_stripped_heading(s: Column) -> Column:
+    """The same of a line whose ends are stripped."""
     return (F.length(s) <= HEADING_LIMIT) & s.rlike(f"(?iU)^(?:{'|'.join(HEADINGS)})")
 
 

@@ -377,8 +377,7 @@ SELECT doc_id.b AS book_id, CAST(doc_id.n AS INT) AS chapter_no, CAST(j - 1 AS I
 @query(_O_BOOK_CHUNKS)
 def book_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all chapters, which are cleaned and chunked in pieces and never put together."""
-    rows = _stripped(_headed(spark, sf_dir))
-    return pieces.chunked_by_words(rows, piece_bytes=1 << 14).select("book_id", "chapter_no", "chunk_no", F.md5("chunk").alias("digest"))
+    return pieces.chunked_pages_by_words(_headed(spark, sf_dir), piece_bytes=1 << 14).select("book_id", "chapter_no", "chunk_no", F.md5("chunk").alias("digest"))
 
 
 # sources and sinks: written to the shared folder, and read again
