@@ -179,3 +179,32 @@ def test_many_short_recordings_share_a_task_and_a_long_one_has_many():
         got.setdefault(r.name, []).append((r.low, r.high, r.over))
     assert "4.pcm" not in got and got["3.pcm"] == [(64, 640, False), (640, 640, True)] and got["5.pcm"] == [(0, 640, False), (640, 640, True)]
     assert [a for a, _, _ in got["long.pcm"]] == [0, *(b for _, b, _ in got["long.pcm"][:-1])] and got["long.pcm"][-1][1] == (64 << 20) // 2
+
+
+def test_blocks_are_made_of_rows_without_pandas(spark, tmp_path):
+    """A frame for each device and micro-batch, in and out, cost more than the blocks."""
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("k long, start long, pcm binary").parquet(str(tmp_path / "in"))
+    plan = block_stream(stream, "k", "start", "pcm", 8)._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" in plan and "InPandas" not in plan
+
+
+def test_blocks_of_odd_rows_and_null_devices(spark, tmp_path):
+    """Null devices are one recording; empty, repeated, longer and late rows; an end before what has come; levels of long and short blocks."""
+    rng = random.Random(5)
+    x = rng.randbytes(2 * 100_000)
+    runs = [
+        [(None, 0, x[:100]), (None, 0, x[:60]), (1, 8, x[16:40]), (1, 0, b""), (2, 0, x), (2, 100_000, None), (3, 0, x[:80]), (3, 12, None), (4, None, x)],
+        [(None, 50, x[100:101]), (None, 50, x[100:122]), (1, 0, x[:17]), (1, 8, x[16:30]), (2, 5, x), (3, 40, x[80:100])],
+    ]
+    for rows in runs:
+        spark.createDataFrame(rows, "k long, start long, pcm binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k long, start long, pcm binary").parquet(str(tmp_path / "in"))
+        write_clips(block_stream(stream, "k", "start", "pcm", 8), str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    got = {}
+    for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r["block_no"]):
+        samples = np.frombuffer(r["pcm"], "<i2").astype(float)
+        assert r["n"] == len(samples) and r["level"] == np.sqrt(np.mean(np.square(samples)))
+        got.setdefault(r["k"], []).append((r["block_no"], bytes(r["pcm"])))
+    want = {None: (x[:112], 56), 1: (x[:32], 16), 2: (x, 100_000), 3: (x[:24], 12)}
+    assert got == {k: [(i, s[16 * i : 16 * (i + 1)]) for i in range(-(-n // 8))] for k, (s, n) in want.items()}
