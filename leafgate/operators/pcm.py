stitched_files: pieces go from their shuffle to their files; header and pad share one read

Symptom: stitched_files writes and reads 45 MB of shuffle over 9 MB of conversations; each byte is dealt four times.
Evidence: by stage, 10.6 MB deal the parts, 11.7 MB bring contents to their places, 11.0 MB bring them to their pieces and 9.9 MB deal the same pieces once more by book and piece, to be written. The parts are read four times, two of these for the same sums, since exchanges over a Python source are not reused.
Fix: write_named takes dealt=True for rows that a shuffle by what names them has dealt, and writes them where they are; header and pad come from one branch over the sums instead of two. Nothing is broadcast, held or cached instead; the number of writing tasks now follows the size of the data.
Effect: at 1 GB of input CPU 898 -> 413 s, shuffle 0.55 -> 0.43 GB, spill 0.00 -> 0.00 GB, read 0.11 -> 0.11 GB, longest task 13 -> 4 s, most memory of a task 69 -> 69 MB; at 6 GB of input CPU 1700 -> 1213 s, shuffle 3.18 -> 2.45 GB, spill 0.00 -> 0.00 GB, read 0.65 -> 0.65 GB, longest task 24 -> 20 s, most memory of a task 143 -> 143 MB; with hot keys, at 1 GB of input CPU 490 -> 511 s, shuffle 0.25 -> 0.20 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.05 GB, longest task 4 -> 6 s, most memory of a task 42 -> 42 MB.

@@ -144,9 +144,9 @@ def stitched_pieces(files: DataFrame, by: str, name: str, content: str, piece: i
     placed = rows.join(places, F.col("b").eqNullSafe(F.col("b2")) & F.col("f").eqNullSafe(F.col("f2"))).select("b", "at", "n", "c")
     if rate:
         total = rows.groupBy("b").agg(F.sum("n").alias("t"))
-        pad = total.where("t % 2 = 1").select("b", (F.col("t") + head).alias("at"), F.lit(1).cast("long").alias("n"), F.lit(b"\x00").alias("c"))
-        first = total.select("b", F.lit(0).cast("long").alias("at"), F.lit(head).cast("long").alias("n"), wav_header(F.col("t"), rate, channels).alias("c"))
-        placed = placed.unionByName(first).unionByName(pad)
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.lit(head).cast("long").alias("n"), wav_header(F.col("t"), rate, channels).alias("c"))
+        pad = F.struct((F.col("t") + head).alias("at"), (F.col("t") % 2).alias("n"), F.lit(b"\x00").alias("c"))  # no byte after an even number
+        placed = placed.unionByName(total.select("b", F.inline(F.array(first, pad))))  # at once: each branch would read the files again
     cut = placed.where("n > 0").withColumn("piece_no", F.explode(F.sequence(F.floor(F.col("at") / piece), F.floor((F.col("at") + F.col("n") - 1) / piece))))
     low = F.greatest(F.col("piece_no") * piece, F.col("at"))
     high = F.least((F.col("piece_no") + 1) * piece, F.col("at") + F.col("n"))

@@ -606,7 +606,7 @@ def stitched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda at: read_named(spark, at).select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("book"), F.regexp_extract("path", "([^/]*)$", 1).alias("fname"), "content")
     whole = pcm.stitched_pieces(read(parts).withColumn("content", signal.wav_payload(F.col("content"))), "book", "fname", "content", 4096, 8000)
     at = fresh(spark, "stitched")
-    write_named(whole.select(F.regexp_replace("book", "^conv_id=", "").alias("conv_id"), F.format_string("%06d", "piece_no").alias("fname"), "payload"), at, ["conv_id"], "fname", "payload")
+    write_named(whole.select(F.regexp_replace("book", "^conv_id=", "").alias("conv_id"), F.format_string("%06d", "piece_no").alias("fname"), "payload"), at, ["conv_id"], "fname", "payload", dealt=True)
     return read(at).select(F.col("book").alias("book_id"), F.col("fname").cast("long").alias("piece_no"), F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
 
 

@@ -174,8 +174,9 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *rows.columns[:-1])
 
 
-def write_named(rows: DataFrame, path: str, folders: list[str], name: str, content: str, replace: bool = False, order: list[str] | None = None) -> None:
+def write_named(rows: DataFrame, path: str, folders: list[str], name: str, content: str, replace: bool = False, order: list[str] | None = None, dealt: bool = False) -> None:
     """A file for each row, in folders column=value. The path must not be there yet, or is replaced when all files are. Of rows with one name one stays.
+    dealt: rows are in many tasks already, such as those of a shuffle by what names them, and each task writes its own; they are not dealt once more.
     order: rows with one name are one file instead, their contents in the order of these columns; a task writes them one by one, so the file is never put together before."""
     spark = rows.sparkSession
     spark.dataSource.register(NamedFiles)
@@ -184,7 +185,8 @@ def write_named(rows: DataFrame, path: str, folders: list[str], name: str, conte
         n = 4 * spark.sparkContext.defaultParallelism
         kept = rows.select(*own, *order, content).repartition(n, *own).sortWithinPartitions(*own, *order).select(*own, content)
     else:
-        kept = _dealt(rows.select(*folders, name, content))
+        kept = rows.select(*folders, name, content)
+        kept = kept if dealt else _dealt(kept)
     said = {"name": name, "content": content, "folders": "\t".join(folders), "replace": str(replace).lower(), "joined": str(bool(order)).lower()}
     kept.write.format("named_files").options(**said).mode("append").save(path)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgate.functions.signal import wav
+from leafgate.queries import QUERIES
 from leafgate.sources import files as sources, named
 from leafgate.sources.named import read_named, write_batch, write_named
 
@@ -95,3 +96,15 @@ def test_transcripts_of_very_many_files_are_those_of_sparks_reader(spark, tmp_pa
         (tmp_path / f"k={i}" / "a.json").write_text(said)
     rows = [sorted(map(str, (r.asDict(True) | {"path": r["path"].split("/")[-2]} for r in x.collect()))) for x in (sources.transcripts(spark, str(tmp_path), recursive=True), sources.many_transcripts(spark, str(tmp_path)))]
     assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
+def test_rows_that_a_shuffle_has_dealt_are_not_dealt_again(spark, tmp_path, sf, monkeypatch):
+    """The pieces of stitched files come from a shuffle by book and piece; only the parts, as they come from the table, are dealt."""
+    calls, deal = [], named._dealt
+    monkeypatch.setattr(named, "_dealt", lambda rows: calls.append(rows.columns) or deal(rows))
+    rows = spark.createDataFrame([("a", 1, b"x"), ("b", 2, None), (None, 3, b"")], "k string, no long, c binary").repartition(3, "k")
+    write_named(rows.select("k", F.col("no").cast("string").alias("f"), "c"), f"{tmp_path}/out", ["k"], "f", "c", dealt=True)
+    got = {(r["path"].rpartition("/out/")[2], bytes(r["content"])) for r in read_named(spark, f"{tmp_path}/out").collect()}
+    assert got == {("k=a/1", b"x"), ("k=b/2", b""), ("k=__HIVE_DEFAULT_PARTITION__/3", b"")} and not calls
+    assert QUERIES["stitched_files"](spark, sf).count()
+    assert calls == [["conv_id", "fname", "content"]]

@@ -208,3 +208,14 @@ def test_blocks_of_odd_rows_and_null_devices(spark, tmp_path):
         got.setdefault(r["k"], []).append((r["block_no"], bytes(r["pcm"])))
     want = {None: (x[:112], 56), 1: (x[:32], 16), 2: (x, 100_000), 3: (x[:24], 12)}
     assert got == {k: [(i, s[16 * i : 16 * (i + 1)]) for i in range(-(-n // 8))] for k, (s, n) in want.items()}
+
+
+@pytest.mark.parametrize("n", [3, 4])
+def test_header_and_pad_read_the_files_once(spark, n):
+    """A source that Spark cannot tell to be the same is read again by each branch of a plan: for contents, places and sums, and not for the pad alone."""
+    rows = spark.createDataFrame([("b", "1", bytes(n)), (None, None, b"x"), ("none", "1", None)], "b string, f string, c binary")
+    out = pcm.stitched_pieces(rows, "b", "f", "c", 1000, 8000)
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 3
+    got = {r["b"]: bytes(r["payload"]) for r in out.collect()}
+    whole = lambda c: bytes(spark.range(1).select(wav(F.lit(c), 8000, 1)).first()[0])
+    assert got == {"b": whole(bytes(n)), None: whole(b"x"), "none": whole(b"")}
