@@ -4,7 +4,8 @@ Rows say at which frame they begin, so they may come in any order and more than
 has been taken before is dropped. What is left behind the last whole block is carried over to the next micro-batch. A row without pcm says
 where a recording ends: the rest is then a shorter block, and nothing comes after it.
 
-Rows come and go as such: of a device's few rows in a micro-batch, making pandas frames took more than cutting the blocks.
+Rows come and go as such: of a device's few rows in a micro-batch, making pandas frames took more than cutting the blocks. Spark does not go on from a checkpoint
+that the operator over pandas frames has written, though the state in it is the same: it fails and says so. Such a stream needs a new checkpoint.
 """
 
 from __future__ import annotations
